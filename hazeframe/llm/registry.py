@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .media_columns import op3_media_columns
+from .packing import op10_best_fit_packing
+from .simhash import op2_simhash
 from .token_counts import op1_token_counts
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
     "op3_media_columns": op3_media_columns,
+    "op6_toxicity": op6_toxicity,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_line_dedup": OP9_SQL}
