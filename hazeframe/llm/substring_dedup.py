@@ -33,14 +33,16 @@ LENGTH, GRAM = 100, 32
 #: Bytes whose anchors are computed at once, and bytes of text for each hash bucket.
 PIECE, BUCKET = 1 << 19, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(n - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        tables = [np.full(n, base, np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for table in tables:
+            table[0] = 1
+        _powers[:] = [np.cumprod(table, dtype=np.uint64) for table in tables]
     return _powers[0][:n], _powers[1][:n]
 
 
