@@ -1,6 +1,433 @@
-"""Registered queries of the core engine and their DuckDB oracles."""
+"""Registered queries of the core engine and their DuckDB oracles.
+
+Each query runs an operator over its whole table. Iterative fits use few rounds and no tolerance, so that SQL can unroll them;
+values are rounded because sums depend on the order of rows in their last digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hazeframe.functions import distances as D
+from hazeframe.functions.validation import profile
+from hazeframe.operators import fcm as C
+from hazeframe.operators import granules as G
+from hazeframe.operators import hec as H
+from hazeframe.operators import impute as I
+from hazeframe.operators import local
+from hazeframe.operators import select as S
+from hazeframe.plans.oracles import PROFILE, distance, fcm, members, similarity
+from hazeframe.sources import rows as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+XY = ["qty", "price", "disc"]
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+def part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), (F.col("p_retailprice") / 100).alias("price"), F.col("p_brand").alias("brand"))
+
+
+def part_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part(spark, sf_dir).withColumns({"size": R.null_every("size", 7, 0), "price": R.null_every("price", 11, 3)})
+
+
+PART = "part_rows AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS size, p_retailprice / 100 AS price, p_brand AS brand FROM part)"
+PART_HOLES = PART + ", holes AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE size END AS size, CASE WHEN id % 11 = 3 THEN NULL ELSE price END AS price, brand FROM part_rows)"
+COMPLETE = "complete AS (SELECT * FROM holes WHERE {})"
+PROFILE_COMPLETE = PROFILE + ", " + COMPLETE.format("qty IS NOT NULL AND price IS NOT NULL")
+PART_COMPLETE = PART_HOLES + ", " + COMPLETE.format("size IS NOT NULL AND price IS NOT NULL")
+
+
+def orders_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), R.null_every("o_totalprice", 7, 0, "o_orderkey").alias("price"), F.col("o_orderpriority").alias("priority"))
+
+
+ORDERS = "holes AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderpriority AS priority FROM orders)"
+
+
+# --- rows, validation, simple aggregates
+
+
+@query(f"WITH {ORDERS} SELECT id, price, priority FROM holes WHERE price IS NOT NULL")
+def split_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.split_complete_incomplete(orders_holes(spark, sf_dir), ["price", "priority"])[0]
+
+
+@query(f"WITH {ORDERS} SELECT id, priority FROM holes WHERE price IS NULL")
+def split_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.split_complete_incomplete(orders_holes(spark, sf_dir), ["price", "priority"])[1].select("id", "priority")
+
+
+@query(f"""WITH {PROFILE} SELECT count(*) AS n_rows, count(*) FILTER (WHERE qty IS NOT NULL AND price IS NOT NULL) AS n_complete, count(qty) AS n_qty, count(price) AS n_price,
+round(least(min(qty), min(price), min(disc)), 4) AS low, round(greatest(max(qty), max(price), max(disc)), 4) AS high, round(stddev_pop(qty), 4) AS sd_qty FROM holes""")
+def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = R.order_profile(spark, sf_dir)
+    found = profile(df, XY)
+    bounds = df.agg(F.least(*(F.min(c) for c in XY)).alias("low"), F.greatest(*(F.max(c) for c in XY)).alias("high"), F.stddev_pop("qty").alias("sd_qty"))
+    counts = {"n_rows": found["rows"], "n_complete": found["complete"], "n_qty": found["present"]["qty"], "n_price": found["present"]["price"]}
+    return rounded(bounds.select(*(F.lit(v).cast("long").alias(k) for k, v in counts.items()), "low", "high", "sd_qty"), ["low", "high", "sd_qty"])
+
+
+@query(f"WITH {PROFILE} SELECT id, CAST((qty IS NULL)::INT + (price IS NULL)::INT AS INTEGER) AS n_missing FROM holes")
+def missing_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.order_profile(spark, sf_dir).select("id", R.missing_count(XY).alias("n_missing"))
+
+
+@query("WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal FROM customer) SELECT id, round(coalesce(bal, avg(bal) OVER ()), 4) AS bal FROM c")
+def mean_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), R.null_every("c_acctbal", 7, 0, "c_custkey").alias("bal"))
+    return rounded(I.mean_impute(customers, ["bal"]), ["bal"])
+
+
+@query("SELECT round(coalesce(sum(abs(o_totalprice * 0.01)) / count(*), 0), 4) AS av FROM orders WHERE o_orderkey % 7 = 0")
+def masked_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"new": F.col("o_totalprice") * 1.01, "hole": F.col("o_orderkey") % 7 == 0})
+    return rounded(orders.agg(F.coalesce(F.avg(F.when(F.col("hole"), F.abs(F.col("new") - F.col("o_totalprice")))), F.lit(0.0)).alias("av")), ["av"])
+
+
+CENTRES = [[10.0, 1000.0, 0.02], [120.0, 90000.0, 0.05], [220.0, 250000.0, 0.08]]
+
+
+@query(f"""WITH {PROFILE}, c(k, v0, v1, v2) AS (VALUES (0, 10.0, 1000.0, 0.02), (1, 120.0, 90000.0, 0.05), (2, 220.0, 250000.0, 0.08)),
+d AS (SELECT id, k, {distance(XY, "c.v", range(3))} AS d FROM holes, c)
+SELECT id, CAST(arg_min(k, (d, k)) AS INTEGER) AS nearest, round(min(d), 4) AS d FROM d GROUP BY id""")
+def nan_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = D.centre_distances([F.col(c) for c in XY], CENTRES)
+    return R.order_profile(spark, sf_dir).select("id", D.arg_min(apart).alias("nearest"), F.round(F.least(*apart), 4).alias("d"))
+
+
+@query()
+def stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.stable_sample(R.order_profile(spark, sf_dir), "id", 10_000, 7).select("id")
+
+
+# --- fuzzy c-means
+
+
+def _centres(spark: SparkSession, found: C.Clusters) -> DataFrame:
+    return spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(found.centers)], "k int, " + ", ".join(f"v{j} double" for j in range(found.centers.shape[1])))
+
+
+@query(f"WITH {PART}, {fcm('part_rows', ['size', 'price'], 3, 4)} SELECT CAST(k AS INTEGER) AS k, round(v0, 4) AS v0, round(v1, 4) AS v1 FROM fcm")
+def fcm_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_centres(spark, C.fuzzy_c_means(part(spark, sf_dir), ["size", "price"], 3, max_iter=4, tol=1e-300)), ["v0", "v1"])
+
+
+_U = f"WITH {PART}, {fcm('part_rows', ['size', 'price'], 3, 3)}, u AS ({members('part_rows', 'fcm', ['size', 'price'])})"
+
+
+@query(_U + " SELECT id, round(max(u) FILTER (WHERE k = 0), 4) AS u0, round(max(u) FILTER (WHERE k = 1), 4) AS u1, round(max(u) FILTER (WHERE k = 2), 4) AS u2 FROM u GROUP BY id")
+def fcm_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    found = C.fuzzy_c_means(rows, ["size", "price"], 3, max_iter=3, tol=1e-300)
+    return rounded(C.fcm_predict(rows, ["size", "price"], found.centers).select("id", "u0", "u1", "u2"), ["u0", "u1", "u2"])
+
+
+@query(_U + " SELECT round(sum(power(u, 2) * d * d), 2) AS objective FROM u")
+def fcm_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    found = C.fuzzy_c_means(rows, ["size", "price"], 3, max_iter=3, tol=1e-300)
+    return spark.createDataFrame([(round(C.fcm_objective(rows, ["size", "price"], found.centers), 2),)], "objective double")
+
+
+@query("WITH " + PART + "".join(f", {fcm('part_rows', ['size', 'price'], k, 3, name=f'f{k}')}, o{k} AS (SELECT {k} AS k, round(sum(power(u, 2) * d * d), 2) AS objective FROM ({members('part_rows', f'f{k}', ['size', 'price'])}) AS m)" for k in (2, 3, 4, 5)) + " SELECT CAST(k AS INTEGER) AS k, objective FROM (SELECT * FROM o2 UNION ALL SELECT * FROM o3 UNION ALL SELECT * FROM o4 UNION ALL SELECT * FROM o5) AS x")
+def elbow_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    found = C.elbow_objectives(rows, ["size", "price"], 2, 5, max_iter=3, tol=1e-300, sample=None)
+    return spark.createDataFrame([(k, round(v, 2)) for k, v in found.items()], "k int, objective double")
+
+
+@query()
+def elbow_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(C.find_optimal_clusters(part(spark, sf_dir), ["size", "price"], 2, 6, max_iter=10),)], "k int")
+
+
+# --- imputers
+
+FIT = {"n_clusters": 3, "max_iter": 3, "tol": 1e-300, "feature_cols": XY}
+_PROFILE_FCM = f"WITH {PROFILE_COMPLETE}, {fcm('complete', XY, 3, 3)}"
+_FILLED = "id, round(coalesce(qty, f0), 3) AS qty, round(coalesce(price, f1), 2) AS price, round(disc, 8) AS disc"
+
+
+def _imputed(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("qty", 3).alias("qty"), F.round("price", 2).alias("price"), F.round("disc", 8).alias("disc"))
+
+
+@query(f"""{_PROFILE_FCM}, d AS (SELECT h.id, c.*, {distance(["h." + c for c in XY], "c.v", range(3))} AS d FROM holes h, fcm c),
+near AS (SELECT id, arg_min(v0, (d, k)) AS f0, arg_min(v1, (d, k)) AS f1 FROM d GROUP BY id) SELECT {_FILLED} FROM holes JOIN near USING (id)""")
+def centroid_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.order_profile(spark, sf_dir).persist()
+    return _imputed(I.FCMCentroidImputer(**FIT).fit(rows).transform(rows))
+
+
+@query(f"{_PROFILE_FCM}, u AS ({members('(SELECT id, qty, price, disc FROM holes)', 'fcm', XY)}), f AS (SELECT id, sum(u * v0) AS f0, sum(u * v1) AS f1 FROM u GROUP BY id) SELECT {_FILLED} FROM holes JOIN f USING (id)")
+def parameter_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.order_profile(spark, sf_dir).persist()
+    return _imputed(I.FCMParameterImputer(**FIT).fit(rows).transform(rows))
+
+
+ROUGH = {"n_clusters": 3, "max_iter": 3, "tol": 1e-300, "feature_cols": ["size", "price"], "max_iter_rough_k": 2, "tau": 0.5}
+
+
+def _rough_sql() -> str:
+    parts = [f"WITH {PART_COMPLETE}, {fcm('complete', ['size', 'price'], 3, 3)}", f"m0 AS ({members('(SELECT id, size, price FROM complete)', 'fcm', ['size', 'price'])})", "best AS (SELECT id, size, price, arg_max(k, (u, -k)) AS own FROM m0 GROUP BY ALL HAVING true)"]
+    parts[2] = "best AS (SELECT id, any_value(size) AS size, any_value(price) AS price, arg_max(k, (u, -k)) AS own FROM m0 GROUP BY id)"
+    parts.append("flags0 AS (SELECT k, size, price, own = k AS low, own = k AS up FROM best, range(3) AS t(k))")
+    for i in (1, 2):
+        before = "fcm" if i == 1 else f"r{i - 1}"
+        mean = lambda c, f: f"avg({c}) FILTER (WHERE {f})"
+        new = lambda c, v: f"CASE WHEN count(*) FILTER (WHERE low) = 0 THEN any_value({v}) WHEN count(*) FILTER (WHERE up AND NOT low) > 0 THEN 0.6 * {mean(c, 'low')} + 0.4 * {mean(c, 'up AND NOT low')} ELSE {mean(c, 'low')} END"
+        parts.append(f"r{i} AS (SELECT k, {new('size', 'v0')} AS v0, {new('price', 'v1')} AS v1 FROM flags{i - 1} JOIN {before} USING (k) GROUP BY k)")
+        parts.append(f"a{i} AS (SELECT id, k, size, price, d - min(d) OVER (PARTITION BY id) <= 0.5 AS up FROM (SELECT h.id, h.size, h.price, c.k, {distance(['h.size', 'h.price'], 'c.v', range(2))} AS d FROM complete h, r{i} c) AS x)")
+        parts.append(f"flags{i} AS (SELECT k, size, price, up AND sum(up::INT) OVER (PARTITION BY id) = 1 AS low, up FROM a{i})")
+    parts.append("means AS (SELECT k, avg(size) FILTER (WHERE low) AS l0, avg(price) FILTER (WHERE low) AS l1, avg(size) FILTER (WHERE up) AS p0, avg(price) FILTER (WHERE up) AS p1 FROM flags2 GROUP BY k)")
+    parts.append("sets AS (SELECT r2.k, v0, v1, coalesce(l0, p0, v0) AS l0, coalesce(l1, p1, v1) AS l1, coalesce(p0, l0, v0) AS p0, coalesce(p1, l1, v1) AS p1 FROM r2 JOIN means USING (k))")
+    return ",\n".join(parts)
+
+
+def _rough(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    rows = part_holes(spark, sf_dir)
+    model = I.FCMRoughParameterImputer(**ROUGH, nan_distance=how).fit(rows)
+    return rounded(model.transform(rows).select("id", "size", "price"), ["size", "price"])
+
+
+@query(_rough_sql() + " SELECT id, round(coalesce(size, p0), 4) AS size, round(coalesce(price, p1), 4) AS price FROM holes, (SELECT * FROM sets WHERE k = 0) AS s")
+def rough_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rough(spark, sf_dir, "reference")
+
+
+@query(_rough_sql() + f""", near AS (SELECT id, any_value(size) AS size, any_value(price) AS price, arg_min(s, (d, k)) AS s FROM (SELECT h.id, h.size, h.price, c.k, c AS s, {distance(['h.size', 'h.price'], 'c.v', range(2))} AS d FROM holes h, sets c) AS x GROUP BY id),
+chosen AS (SELECT id, size, price, CASE WHEN {distance(['size', 'price'], 's.l', range(2))} <= {distance(['size', 'price'], 's.p', range(2))} THEN {{'f0': s.l0, 'f1': s.l1}} ELSE {{'f0': s.p0, 'f1': s.p1}} END AS f FROM near)
+SELECT id, round(coalesce(size, f.f0), 4) AS size, round(coalesce(price, f.f1), 4) AS price FROM chosen""")
+def rough_impute_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rough(spark, sf_dir, "observed")
+
+
+@query("""WITH e AS (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) AS n, CASE WHEN event_id % 7 = 0 OR event_id % 11 < 3 THEN NULL ELSE value END AS v FROM events),
+b AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, first_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM e)
+SELECT b.id, round(coalesce(b.v, x.v + (y.v - x.v) * (b.n - b.p) / nullif(b.q - b.p, 0), x.v, y.v), 4) AS value FROM b LEFT JOIN e x ON x.n = b.p LEFT JOIN e y ON y.n = b.q""")
+def linear_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.when(~((F.col("event_id") % 7 == 0) | (F.col("event_id") % 11 < 3)), F.col("value")).alias("value"))
+    return rounded(I.interpolate(events, ["value"], "id"), ["value"])
+
+
+def _ifcm_sql(sigma: bool) -> str:
+    parts = ["WITH " + PART_HOLES, "n AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM holes)"]
+    for c in ("size", "price"):
+        parts.append(f"b_{c} AS (SELECT id, n, {c} AS v, last_value(CASE WHEN {c} IS NOT NULL THEN n END IGNORE NULLS) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, first_value(CASE WHEN {c} IS NOT NULL THEN n END IGNORE NULLS) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM n)")
+        parts.append(f"i_{c} AS (SELECT b.id, coalesce(b.v, x.{c} + (y.{c} - x.{c}) * (b.n - b.p) / nullif(b.q - b.p, 0), x.{c}, y.{c}) AS v FROM b_{c} b LEFT JOIN n x ON x.n = b.p LEFT JOIN n y ON y.n = b.q)")
+    raw = "(((id % 1000003) * (7919 * (k + 1)) + 104729 * (k + 1)) % 1000003 + 1) / 1000003.0"
+    parts.append("s0 AS (SELECT h.id, a.v AS x0, b.v AS x1, h.size IS NULL AS m0, h.price IS NULL AS m1 FROM holes h JOIN i_size a USING (id) JOIN i_price b USING (id))")
+    parts.append(f"u0 AS (SELECT s0.*, k, {raw} / sum({raw}) OVER (PARTITION BY id) AS u FROM s0, range(3) AS t(k))")
+    for i in (1, 2):
+        w = "power(1 - power(1 - least(u, 1), 1 / 0.85), 2)"
+        parts.append(f"c{i} AS (SELECT k, sum({w} * x0) / sum({w}) AS v0, sum({w} * x1) / sum({w}) AS v1 FROM u{i - 1} GROUP BY k)")
+        scale = ", 1 AS g0, 1 AS g1"
+        if sigma:
+            parts.append(f"g{i} AS (SELECT u.k, sum({w} * power(x0 - v0, 2)) / sum({w}) + 1e-10 AS g0, sum({w} * power(x1 - v1, 2)) / sum({w}) + 1e-10 AS g1 FROM u{i - 1} u JOIN c{i} c USING (k) GROUP BY u.k)")
+            scale = ", g.g0, g.g1"
+        join = f" JOIN g{i} g USING (k)" if sigma else ""
+        parts.append(f"k{i} AS (SELECT c.*{scale} FROM c{i} c{join})")
+        if i == 2:
+            break
+        parts.append(f"d{i} AS (SELECT s.*, k.*, greatest(sqrt(power(x0 - v0, 2) / g0 + power(x1 - v1, 2) / g1), 1e-10) AS d FROM s{i - 1} s, k{i} k)")
+        parts.append(f"m{i} AS (SELECT *, power(d, -2) / sum(power(d, -2)) OVER (PARTITION BY id) AS u FROM d{i})")
+        parts.append(f"f{i} AS (SELECT id, sum(u * v0) AS f0, sum(u * v1) AS f1 FROM m{i} GROUP BY id)")
+        parts.append(f"s{i} AS (SELECT s.id, CASE WHEN m0 THEN f0 ELSE x0 END AS x0, CASE WHEN m1 THEN f1 ELSE x1 END AS x1, m0, m1 FROM s{i - 1} s JOIN f{i} USING (id))")
+        parts.append(f"u{i} AS (SELECT s.*, m.k, m.u FROM s{i} s JOIN (SELECT id, k, u FROM m{i}) m USING (id))")
+    return ",\n".join(parts)
+
+
+def _interpolation(spark: SparkSession, sf_dir: str, sigma: bool) -> tuple[DataFrame, I.FCMCentroidModel]:
+    rows = part_holes(spark, sf_dir)
+    return rows, I.FCMInterpolationIterativeImputer(n_clusters=3, max_iter=2, tol=1e-300, sigma=sigma, feature_cols=["size", "price"]).fit(rows)
+
+
+@query(_ifcm_sql(False) + " SELECT CAST(k AS INTEGER) AS k, round(v0, 4) AS v0, round(v1, 4) AS v1 FROM k2")
+def ifcm_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model = _interpolation(spark, sf_dir, False)
+    return rounded(_centres(spark, C.Clusters(np.array(model.fitted("centers")), 2)), ["v0", "v1"])
+
+
+@query(_ifcm_sql(True) + f""", x AS (SELECT h.id, k.*, sqrt(coalesce(power(h.size - v0, 2) / (g0 + 0), 0) + coalesce(power(h.price - v1, 2) / (g1 + 0), 0)) AS d FROM holes h, k2 k),
+near AS (SELECT id, arg_min(v0, (d, k)) AS f0, arg_min(v1, (d, k)) AS f1 FROM x GROUP BY id) SELECT id, round(coalesce(size, f0), 4) AS size, round(coalesce(price, f1), 4) AS price FROM holes JOIN near USING (id)""")
+def interpolation_impute_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = _interpolation(spark, sf_dir, True)
+    return rounded(model.transform(rows).select("id", "size", "price"), ["size", "price"])
+
+
+@query()
+def knn_iterative_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part_holes(spark, sf_dir).drop("brand")
+    model = I.FCMKIterativeImputer(n_clusters=8, max_FCM_iter=5, max_II_iter=5, max_k=10, random_state=1).fit(rows)
+    return rounded(model.transform(rows), ["size", "price"])
+
+
+@query()
+def tree_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.order_profile(spark, sf_dir).select("id", "qty", "price", "disc")
+    model = I.FCMDTIterativeImputer(min_samples_leaf=400, max_iter=2, max_FCM_iter=5, max_clusters=3, refine=False).fit(rows)
+    return rounded(model.transform(rows), ["qty", "price", "disc"], 3)
+
+
+# --- granules
+
+
+_STATS = "s AS (SELECT stddev_pop(size) AS sd_size, stddev_pop(size) / 0.5 AS r_size, stddev_pop(price) AS sd_price, stddev_pop(price) / 0.5 AS r_price, count(*) AS n FROM part_rows)"
+
+
+@query(f"""WITH {PART}, {_STATS}, v AS (SELECT size, count(*) AS c FROM part_rows GROUP BY size)
+SELECT a.size AS x, round(sum(b.c * ({similarity("size")})), 4) AS granule FROM v a, v b, s GROUP BY a.size""")
+def granule_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    feature = G.describe(rows, ["size"], 0.5)[0]
+    return G.single_sizes(rows, feature, "brand").select("x", F.round("size", 4).alias("granule")).distinct()
+
+
+@query(f"""WITH {PART}, {_STATS}, v AS (SELECT size, brand, count(*) AS c FROM part_rows GROUP BY size, brand)
+SELECT a.size AS x, a.brand AS label, round(sum(b.c * ({similarity("size")})), 4) AS granule FROM v a JOIN v b USING (brand), s GROUP BY a.size, a.brand""")
+def granule_sizes_in_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    feature = G.describe(rows, ["size"], 0.5)[0]
+    return G.single_sizes(rows, feature, "brand").select("x", "label", F.round("same", 4).alias("granule"))
+
+
+@query(f"""WITH {PART}, {_STATS} SELECT a.id AS i, round(sum(least({similarity("size")}, {similarity("price")})), 3) AS granule FROM part_rows a, part_rows b, s GROUP BY a.id""")
+def granule_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    return G.set_sizes(rows, G.describe(rows, ["price", "size"], 0.5), "id").select("i", F.round("size", 3).alias("granule"))
+
+
+_BOTH = f"""WITH {PART}, {_STATS}, v AS (SELECT size, brand, count(*) AS c FROM part_rows GROUP BY size, brand),
+z AS (SELECT a.size, a.brand, any_value(a.c) AS c, sum(b.c * ({similarity("size")})) AS b, sum(CASE WHEN a.brand = b.brand THEN b.c ELSE 0 END) AS t, any_value(s.n) AS n FROM v a, v b, s GROUP BY a.size, a.brand)"""
+
+
+@query(_BOTH + """ SELECT round(sum(c * (1 - b / n)) / any_value(n), 4) AS basic, round(sum(c * (greatest(b, t) - b)) / power(any_value(n), 2), 4) AS conditional,
+round(sum(c * (1 + greatest(b, t) / n - (b + t) / n)) / any_value(n), 4) AS joint, round(sum(c * (1 - greatest(b, t) / n)) / any_value(n), 4) AS mutual FROM z""")
+def implication_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    features = {f.name: f for f in G.describe(rows, ["size"], 0.5)}
+    sizes = S.FuzzyGranularitySelector._sizes(rows, features, "brand", "id")
+    n = rows.count()
+    return sizes.agg(*(F.round(G.entropy(kind, F.col("a0"), F.col("of_label"), n), 4).alias(kind) for kind in ("basic", "conditional", "joint", "mutual")))
+
+
+@query(f"""WITH {PART}, {_STATS}, v AS (SELECT size, brand, count(*) AS c FROM part_rows GROUP BY size, brand), cs AS (SELECT brand, stddev_pop(size) AS sd FROM part_rows GROUP BY brand),
+z AS (SELECT a.size, a.brand, any_value(a.c) AS c, sum(b.c * ({similarity("size")})) AS g, sum(CASE WHEN a.brand = b.brand THEN b.c * ({similarity("size")}) ELSE 0 END) AS same, sum(CASE WHEN a.brand = b.brand THEN b.c ELSE 0 END) AS k,
+ sum(CASE WHEN a.brand = b.brand AND abs(a.size - b.size) <= (1 + cs.sd) * least(1, r_size) THEN b.c * greatest(0, 1 - abs(a.size - b.size) / (1 + cs.sd)) ELSE 0 END) AS loc, any_value(s.n) AS n FROM v a JOIN cs ON cs.brand = a.brand, v b, s GROUP BY a.size, a.brand),
+l AS (SELECT brand, sum(c * loc / g) / sum(c) AS loc FROM z GROUP BY brand)
+SELECT round(sum(c * (1 - (k - 2 * same + g) / n)) / any_value(n), 4) AS whole, round((SELECT avg(loc) FROM l), 4) AS local FROM z""")
+def granularity_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    whole, within = G.scores(rows, G.describe(rows, ["size"], 0.5)[0], "brand", rows.count())
+    return spark.createDataFrame([(round(whole, 4), round(within, 4))], "whole double, local double")
+
+
+@query()
+def granularity_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    return S.FuzzyGranularitySelector(label_col="brand", n_features=1).fit(rows).transform(rows)
+
+
+# --- fuzzy-rough relevance
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")) / 1000).alias("bal"), (F.col("s_suppkey") % 13).cast("double").alias("z"), F.concat(F.lit("n"), (F.col("s_nationkey") % 5).cast("string")).alias("zone"), (F.col("s_suppkey") % 3).cast("string").alias("label"))
+
+
+FEATURES = ["bal", "z", "zone"]
+_SUPPLIERS = "sup AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal END / 1000 AS bal, CAST(s_suppkey % 13 AS DOUBLE) AS z, 'n' || CAST(s_nationkey % 5 AS VARCHAR) AS zone, CAST(s_suppkey % 3 AS VARCHAR) AS label FROM supplier)"
+_Q = ["coalesce(power(a.bal - b.bal, 2), 1)", "coalesce(power(a.z - b.z, 2), 1)", "CASE WHEN a.zone = b.zone THEN 0 ELSE 1 END"]
+_HEC = f"WITH {_SUPPLIERS}, hec AS (SELECT a.id AS a_id, b.id AS b_id, sqrt({' + '.join(_Q)}) AS d FROM sup a JOIN sup b ON a.label = b.label AND a.id <> b.id)"
+_KNN = _HEC + ", knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d, b_id) AS n FROM hec) AS x WHERE n <= 5)"
+_LDF = _KNN + """, rho AS (SELECT s.id, coalesce((1 + count(k.d)) / (1 + sum(k.d)), 1) AS rho FROM sup s LEFT JOIN knn k ON k.a_id = s.id GROUP BY s.id),
+ldf AS (SELECT k.a_id AS id, avg(o.rho / r.rho) AS ldf FROM knn k JOIN rho o ON o.id = k.b_id JOIN rho r ON r.id = k.a_id GROUP BY k.a_id)"""
+_REGION = _LDF + ", region AS (SELECT DISTINCT k.b_id AS id FROM knn k JOIN ldf ON ldf.id = k.a_id AND ldf <= 1)"
+_PAIRS = _REGION + f", pairs AS (SELECT a.id AS a_id, b.label AS b_label, {', '.join(f'{q} AS q{k}' for k, q in enumerate(_Q))} FROM sup a, sup b WHERE b.id IN (SELECT id FROM region))"
+
+
+@query(_HEC + " SELECT a_id, b_id, round(d, 4) AS d FROM hec")
+def hec_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.hybrid_distances(suppliers(spark, sf_dir), FEATURES, "id", "label").select("a_id", "b_id", F.round("d", 4).alias("d"))
+
+
+@query(_KNN + " SELECT a_id, b_id, round(d, 4) AS d FROM knn")
+def same_class_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.same_class_neighbours(suppliers(spark, sf_dir), FEATURES, "id", "label", 5), ["d"])
+
+
+@query(_LDF + " SELECT r.id, round(rho, 4) AS rho, round(ldf, 4) AS ldf FROM rho r JOIN ldf USING (id)")
+def density_ldf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suppliers(spark, sf_dir)
+    near = H.same_class_neighbours(rows, FEATURES, "id", "label", 5)
+    rho = H.density(rows, near, "id")
+    return rounded(rho.join(H.local_density_factor(rho, near), "id"), ["rho", "ldf"])
+
+
+@query(_REGION + " SELECT id FROM region")
+def high_density_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.high_density(suppliers(spark, sf_dir), FEATURES, "id", "label", 5)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suppliers(spark, sf_dir)
+    return H.to_region(rows, H.high_density(rows, FEATURES, "id", "label", 5), FEATURES, "id", "label")
+
+
+def _relevance_sql(square: str, name: str) -> str:
+    return f"""m_{name} AS (SELECT a_id, b_label, max(exp(-({square}) / 0.5)) AS m FROM pairs GROUP BY a_id, b_label),
+o_{name} AS (SELECT a_id, max(m) AS nog, 1 - coalesce(max(m) FILTER (WHERE n = 2), 0) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY m DESC) AS n FROM m_{name}) AS x GROUP BY a_id)"""
+
+
+@query(f"{_PAIRS}, {_relevance_sql('q0 + q1 + q2', 'all')} SELECT a_id, round(pos, 4) AS pos, round(nog, 4) AS nog FROM o_all")
+def pos_nog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.positive_negative(_pairs(spark, sf_dir), D.total([F.col(f"q{k}") for k in range(3)]), 0.5), ["pos", "nog"])
+
+
+_SETS = {"0": "q0", "1": "q1", "2": "q2", "0,1": "q0 + q1", "0,2": "q0 + q2", "1,2": "q1 + q2"}
+
+
+@query(_PAIRS + "".join(f", {_relevance_sql(q, f's{k}')}" for k, q in enumerate(_SETS.values())) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS features, round(avg(pos + nog), 4) AS relevance FROM o_s{k}" for k, name in enumerate(_SETS)) + ") AS x")
+def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = H.relevance(_pairs(spark, sf_dir), {name: D.total([F.col(f"q{k}") for k in name.split(",")]) for name in _SETS}, 0.5)
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in found.items()], "features string, relevance double")
+
+
+@query()
+def weighted_rough_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = S.WeightedFuzzyRoughSelector(label_col="label", feature_cols=FEATURES, n_features=2).fit(suppliers(spark, sf_dir))
+    return S.importances(model)
+
+
+@query()
+def fuzzy_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the suppliers of each label, one group in a task."""
+    rows = suppliers(spark, sf_dir).select("label", "z", F.coalesce("bal", F.lit(0.0)).alias("bal"))
+
+    def run(pdf):  # noqa: ANN001, ANN202
+        x = pdf.sort_values(["z", "bal"])[["z", "bal"]].to_numpy(float)
+        _, u = local.c_means(x, 2, 2.0, 20, 1e-6, 0)
+        return pdf.head(1)[["label"]].assign(silhouette=round(local.fuzzy_silhouette(x, u, 1.0), 4))
+
+    return rows.groupBy("label").applyInPandas(run, "label string, silhouette double")
