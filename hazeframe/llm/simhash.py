@@ -1,8 +1,9 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint's 64 bits are cut into segments. Two fingerprints that differ in at most `radius` bits differ in at most r_i bits of
-some segment i, if the r_i + 1 add up to radius + 1 at least. So each fingerprint enumerates a small Hamming ball around each of its
-segments, an equi-join fetches the table's matches, and the complete distance verifies them.
+A fingerprint's 64 bits are cut into segments. Each fingerprint goes to the buckets of a small Hamming ball around each of its
+segments. Two that differ in at most `radius` bits share a bucket, if the balls' radii b_i give sum(2 b_i + 1) > radius. In its
+bucket a fingerprint finds the table's matches, and the complete distance verifies them. A bucket tells no more links than it
+takes to connect its members, so a large group of near copies doesn't give all its pairs.
 
 Null texts count as empty. Texts without words have fingerprint zero and are linked like any others. A null doc_id counts as
 the largest one in the choice of the smallest. Rows repeat as they come; extra columns are ignored. An empty table gives no rows.
@@ -16,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -39,88 +40,201 @@ def shingle_hashes(text: bytes, words: int = 4) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[len(split) - n :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """A bit is 1 if it is set in over half the hashes. Counted by byte values: a histogram of each of the eight bytes tells its bits' counts."""
-    if not len(hashes):
-        return 0
-    by = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    counts = np.concatenate([np.bincount(by[:, k], minlength=256) @ _LANES for k in range(8)])
-    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+def fingerprint(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
+    """64-bit words; a bit is 1 if it is set in over half the hashes. Counted by byte values: a histogram of each byte tells its bits' counts.
 
-
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    Words beyond the first take the hashes mixed once more (splitmix64).
+    """
+    out = np.zeros(n_words, np.uint64)
+    for k in range(n_words if len(hashes) else 0):
+        if k:
+            hashes = hashes + np.uint64(0x9E3779B97F4A7C15)
+            hashes = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes = (hashes ^ hashes >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            hashes ^= hashes >> np.uint64(31)
+        by = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts = np.concatenate([np.bincount(by[:, j], minlength=256) @ _LANES for j in range(8)])
+        out[k] = int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+    return out
+
+
+def fingerprints(docs: DataFrame, words: int = 4, n_words: int = 1) -> DataFrame:
+    """doc_id, w0, ... (the fingerprint's words as signed longs)."""
+    names = [f"w{k}" for k in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
-            own = [fingerprint(shingle_hashes(text, words)) for text in C.as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(own, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            own = np.stack([fingerprint(shingle_hashes(text, words), n_words) for text in C.as_bytes(batch.column("text"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(own[:, k].view(np.int64)) for k in range(n_words))], ["doc_id", *names])
 
     C.bound_batches(docs.sparkSession)
-    return C.texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return C.texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def segments(radii: tuple[int, ...]) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each segment of 64 bits; those with the larger radius take the odd bits."""
-    n = len(radii)
+def segments(n: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of each of n segments of 64 bits."""
     widths = [64 // n + (k < 64 % n) for k in range(n)]
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 
 
-def ball(width: int, radius: int) -> list[int]:
+def ball(width: int, radius: int) -> np.ndarray:
     """All numbers of `width` bits with at most `radius` ones."""
-    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
-
-
-def _keys(radii: tuple[int, ...], of: tuple[int, ...]) -> Column:
-    """For each segment, the segment's value and those around it, with the segment's number above them."""
-    parts = []
-    for k, (low, width) in enumerate(segments(radii)):
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
-        flips = F.array(*(F.lit(f + (k << 40)) for f in ball(width, of[k])))
-        parts.append(F.transform(flips, lambda f, value=value: value.bitwiseXOR(f)))
-    return F.explode(F.concat(*parts))
-
-
-def hamming_links(points: DataFrame, radius: int, radii: tuple[int, ...], groups: str | None = None) -> DataFrame:
-    """points (fp: distinct) to (a, b): each pair at most `radius` bits apart once, a < b. groups: a column; pairs within one group are left out.
-
-    radii: of each segment's ball. The rows that are shuffled are the sum of the balls' sizes for each point.
+    return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)], np.uint64)
+
+
+def finds(balls: tuple[int, ...]) -> int:
+    """The largest distance at which no pair is missed: two balls of radius b around a segment meet if it differs in 2 b bits at most."""
+    return sum(2 * b + 1 for b in balls) - 1
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints (their 64-bit words in the last axis)."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of a[i] and b[i]; label: each node's set, by its smallest node."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+
+
+def _search(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is connected at `radius`: a search that compares with what it has not reached yet only."""
+    left = np.arange(len(words))
+    a, b = [], []
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            step, front = front[:64], front[64:]
+            near = distances(words[step][:, None], words[left][None]) <= radius
+            reached = near.any(axis=0)
+            if reached.any():
+                a.append(step[near[:, reached].argmax(axis=0)])
+                b.append(left[reached])
+                front, left = np.concatenate([front, left[reached]]), left[~reached]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+#: Buckets of up to so many members are compared together, by shifts; larger ones are searched one by one.
+SMALL = 256
+
+
+def spanning_links(keys: np.ndarray, nodes: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members (nodes, words) under bucket keys. Returns links (a < b) between nodes, one less for each connected set than it has nodes."""
+    own, index = np.unique(nodes, return_inverse=True)
+    label = np.arange(len(own))
+    order = np.argsort(keys, kind="stable")
+    keys, index, words = keys[order], index[order], words[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([begins, [len(keys)]]))
+    for begin, size in zip(begins[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        a, b = _search(words[begin : begin + size], radius)
+        _merge(label, index[begin + a], index[begin + b])
+    left = np.repeat(sizes, sizes)  # of a member's bucket, how many members follow it
+    left = np.where(left > SMALL, 0, np.repeat(begins + sizes, sizes) - np.arange(len(keys)) - 1)
+    at = np.flatnonzero(left)
+    shift = 0
+    while len(at):
+        shift += 1
+        at = at[left[at] >= shift]
+        apart = label[index[at]] != label[index[at + shift]]
+        a, b = at[apart], at[apart] + shift
+        near = distances(words[a], words[b]) <= radius
+        _merge(label, index[a[near]], index[b[near]])
+    linked = np.flatnonzero(label != np.arange(len(own)))
+    return own[label[linked]], own[linked]
+
+
+#: Members that meet in one task, about.
+MEET = 1 << 18
+
+
+def near_links(points: DataFrame, radius: int, balls: tuple[int, ...], n_words: int = 1) -> DataFrame:
+    """points (node: distinct; w0, ... w<n_words - 1>; long) to (a, b): links between nodes whose words differ in at most `radius` bits, enough to connect all that such links connect.
+
+    The 64 bits of w0 are cut into len(balls) segments. Each point goes to the bucket of every number in the ball around each
+    segment, packed by groups of buckets. All pairs up to finds(balls) are met; radius may be larger for a further part of them.
     """
-    assert sum(radii) + len(radii) > radius, "the balls can't find all pairs"
-    carried = ["fp"] + ([groups] if groups else [])
-    probes = points.select(_keys(radii, radii).alias("key"), *(F.col(c).alias(f"q_{c}") for c in carried))
-    stored = points.select(_keys(radii, (0,) * len(radii)).alias("key"), *(F.col(c).alias(f"t_{c}") for c in carried))
-    differ = F.col("q_fp").bitwiseXOR(F.col("t_fp"))
-    found = (F.bit_count(differ) <= radius) & (F.col("q_fp") < F.col("t_fp"))
-    if groups:
-        found &= F.col(f"q_{groups}") != F.col(f"t_{groups}")
-    for k, (low, width) in enumerate(segments(radii)[:-1]):  # a pair counts in the first segment that finds it
-        inside = F.bit_count(F.shiftrightunsigned(differ, low).bitwiseAND(F.lit((1 << width) - 1)))
-        found &= (F.shiftright("key", 40) <= k) | (inside > radii[k])
-    joined = probes.join(stored.withColumnRenamed("key", "t_key"), (F.col("key") == F.col("t_key")) & found)
-    return joined.select(F.col("q_fp").alias("a"), F.col("t_fp").alias("b"))
-
-
-#: For a radius of 4: balls of radius 1 around two segments and the value itself of the third; 46 probes for each fingerprint.
-RADIUS, RADII = 4, (1, 1, 0)
-
-
-def near_components(prints: DataFrame, radius: int = RADIUS, radii: tuple[int, ...] = RADII) -> DataFrame:
-    """prints (doc_id, fp) to (fp, first: its smallest doc_id, component: the smallest doc_id reachable over links of at most radius bits)."""
+    spark = points.sparkSession
+    cut = segments(len(balls))
+    around = [ball(width, r) for (_, width), r in zip(cut, balls, strict=True)]
+    groups = 1 + points.count() * sum(map(len, around)) // MEET
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            words = np.stack([batch.column(f"w{k}").to_numpy().view(np.uint64) for k in range(n_words)], axis=1)
+            parts = []
+            for k, ((low, width), flips) in enumerate(zip(cut, around, strict=True)):
+                value = words[:, 0] >> np.uint64(low) & np.uint64((1 << width) - 1)
+                parts.append((value[:, None] ^ flips[None] | np.uint64(k << 40)).ravel())
+            keys = np.concatenate(parts)
+            which = np.concatenate([np.repeat(np.arange(len(node)), len(flips)) for flips in around])
+            group = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % groups
+            order = np.argsort(group, kind="stable")
+            group, keys, which = group[order], keys[order], which[order]
+            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+            ends = [*begins[1:], len(group)]
+            rows = [(int(group[a]), keys[a:b].tobytes(), node[which[a:b]].tobytes(), words[which[a:b]].tobytes()) for a, b in zip(begins, ends, strict=False)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["group", "keys", "nodes", "words"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
+        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
+        words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64).reshape(-1, n_words)
+        a, b = spanning_links(keys, nodes, words, radius)
+        return pa.table({"a": a, "b": b})
+
+    C.bound_batches(spark)
+    dealt = points.select("node", *(f"w{k}" for k in range(n_words))).mapInArrow(deal, "group long, keys binary, nodes binary, words binary")
+    return dealt.groupBy("group").applyInArrow(meet, "a long, b long")
+
+
+#: For a radius of 4: balls of radius 1 around the first of three segments and the values of the others; 25 buckets for each fingerprint.
+RADIUS, BALLS = 4, (1, 0, 0)
+
+
+def near_components(prints: DataFrame, radius: int = RADIUS, balls: tuple[int, ...] = BALLS) -> DataFrame:
+    """prints (doc_id, w0, ...) to (w0, ..., component): each fingerprint once, with the smallest doc_id reachable over links of at most radius bits."""
+    words = [c for c in prints.columns if c != "doc_id"]
     first = F.min(F.coalesce("doc_id", F.lit(2**63 - 1)))
-    points = C.stored(prints.groupBy("fp").agg(first.alias("first")), "fingerprints")
-    links = hamming_links(points.select("fp"), radius, radii)
-    named = links.join(points.select(F.col("fp").alias("a"), F.col("first").alias("first_a")), "a").join(points.select(F.col("fp").alias("b"), F.col("first").alias("first_b")), "b")
-    joined = components(named.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
-    return points.join(joined.withColumnRenamed("node", "first"), "first", "left").select("fp", "first", F.coalesce("component", "first").alias("component"))
+    node = F.col("w0") if len(words) == 1 else F.xxhash64(*words)
+    points = C.stored(prints.groupBy(*words).agg(first.alias("first")).withColumn("node", node), "fingerprints")
+    joined = components(near_links(points, radius, balls, len(words)))
+    sets = points.join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    smallest = sets.groupBy("root").agg(F.min("first").alias("smallest"))
+    return sets.join(smallest, "root").select(*words, F.col("smallest").alias("component"))
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS, radii: tuple[int, ...] = RADII) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS, balls: tuple[int, ...] = BALLS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs (doc_id, text)."""
+    assert finds(balls) >= radius, "these balls would miss links"
     prints = C.stored(fingerprints(docs, words), "prints")
-    groups = near_components(prints, radius, radii).select("fp", "component")
-    return prints.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    groups = near_components(prints, radius, balls)
+    return prints.join(groups, "w0").select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: For near-duplicates by similarity: 256 bits, of which the angle between texts that share 0.8 of their 5-word shingles lets 39 differ
+#: on average; balls of radius 1 around the four 16-bit segments of the first word meet 96 % of pairs at just that similarity, and more above.
+SIMILAR_WORDS, SIMILAR_RADIUS, SIMILAR_BALLS = 4, 40, (1, 1, 1, 1)
+
+
+def near_unique(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) whose doc_id is the smallest of its group of near-duplicates. Rows that share a doc_id are one document."""
+    prints = C.stored(fingerprints(docs, words, SIMILAR_WORDS), "prints")
+    kept = near_components(prints, SIMILAR_RADIUS, SIMILAR_BALLS).select(F.col("component").alias("__kept")).distinct()
+    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("__kept"), "left_semi")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
