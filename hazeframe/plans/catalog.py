@@ -20,7 +20,7 @@ from hazeframe.operators import hec as H
 from hazeframe.operators import impute as I
 from hazeframe.operators import local
 from hazeframe.operators import select as S
-from hazeframe.plans.oracles import PROFILE, distance, fcm, members, similarity
+from hazeframe.plans.oracles import PROFILE, distance, fcm, members, similarity, start
 from hazeframe.sources import rows as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +236,7 @@ def _ifcm_sql(sigma: bool) -> str:
     for c in ("size", "price"):
         parts.append(f"b_{c} AS (SELECT id, n, {c} AS v, last_value(CASE WHEN {c} IS NOT NULL THEN n END IGNORE NULLS) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, first_value(CASE WHEN {c} IS NOT NULL THEN n END IGNORE NULLS) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM n)")
         parts.append(f"i_{c} AS (SELECT b.id, coalesce(b.v, x.{c} + (y.{c} - x.{c}) * (b.n - b.p) / nullif(b.q - b.p, 0), x.{c}, y.{c}) AS v FROM b_{c} b LEFT JOIN n x ON x.n = b.p LEFT JOIN n y ON y.n = b.q)")
-    raw = "(((id % 1000003) * (7919 * (k + 1)) + 104729 * (k + 1)) % 1000003 + 1) / 1000003.0"
+    raw = start(3)
     parts.append("s0 AS (SELECT h.id, a.v AS x0, b.v AS x1, h.size IS NULL AS m0, h.price IS NULL AS m1 FROM holes h JOIN i_size a USING (id) JOIN i_price b USING (id))")
     parts.append(f"u0 AS (SELECT s0.*, k, {raw} / sum({raw}) OVER (PARTITION BY id) AS u FROM s0, range(3) AS t(k))")
     for i in (1, 2):

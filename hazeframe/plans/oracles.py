@@ -13,11 +13,18 @@ def distance(columns: Sequence[str], centre: str, names: Sequence[str]) -> str:
     return "sqrt(" + " + ".join(f"coalesce(power({c} - {centre}{n}, 2), 0)" for c, n in zip(columns, names, strict=True)) + ")"
 
 
+def start(clusters: int, seed: int = 0) -> str:
+    """The raw start membership of id in cluster k."""
+    p = 2147483647
+    powers = [str(pow(48271, k + 3, p)) for k in range(clusters)]
+    return f"(((id % {p}) * list_extract(CAST([{', '.join(powers)}] AS BIGINT[]), CAST(k + 1 AS INTEGER)) + (69621 * ({seed} + k + 1)) % {p}) % {p} + 1) / CAST({p} AS DOUBLE)"
+
+
 def fcm(source: str, columns: Sequence[str], clusters: int, rounds: int, m: float = 2.0, seed: int = 0, name: str = "fcm") -> str:
     """CTEs that end in {name}(k, v0, v1, ...): centres after so many rounds from hashed memberships. source: a relation with id and the columns."""
     d = range(len(columns))
     picked = ", ".join(f"CAST({c} AS DOUBLE) AS x{j}" for j, c in enumerate(columns))
-    raw = f"(((id % 1000003) * (7919 * (k + 1)) + 104729 * ({seed} + k + 1)) % 1000003 + 1) / 1000003.0"
+    raw = start(clusters, seed)
     parts = [
         f"{name}_rows AS (SELECT id, {picked} FROM {source})",
         f"{name}_u0 AS (SELECT r.*, k, {raw} / sum({raw}) OVER (PARTITION BY id) AS u FROM {name}_rows r, range({clusters}) AS t(k))",

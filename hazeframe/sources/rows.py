@@ -26,8 +26,12 @@ def ingest(spark: SparkSession, data: Any, id_col: str = "id") -> DataFrame:
         if array.ndim != 2:
             raise ValueError("the input must be two-dimensional")
         data = pd.DataFrame(array, columns=[f"c{k}" for k in range(array.shape[1])])
-        if array.dtype.kind not in "iufb":
-            data = data.astype(object).where(data.notna(), None).map(lambda v: v if v is None else str(v))
+        for c in data.columns:
+            known = data[c].dropna()
+            if array.dtype.kind not in "iufb" and all(isinstance(v, (int, float, np.number)) for v in known):
+                data[c] = data[c].astype(float)
+            elif array.dtype.kind not in "iufb":
+                data[c] = data[c].map(lambda v: v if v is None else str(v))
     if not len(data):
         raise ValueError("the input must have at least one sample")
     frame = data.rename(columns=str).reset_index(drop=True)
