@@ -32,6 +32,8 @@ from . import _common as C
 LENGTH, GRAM = 100, 32
 #: Bytes whose anchors are computed at once, and bytes of text for each hash bucket.
 PIECE, BUCKET = 1 << 19, 1 << 20
+#: Bytes of text that a writer holds at once.
+ROW_GROUP = 1 << 24
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
@@ -198,7 +200,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     keyed = C.texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order"), "text", F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 15), 16, 10).cast("long").alias("unit"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"hazeframe_units_{uuid.uuid4().hex}"
-    keyed.groupBy("unit").agg(F.min("order").alias("order"), F.first("text").alias("text")).write.format("parquet").option("compression", "zstd").bucketBy(parts, "unit").saveAsTable(name)
+    keyed.groupBy("unit").agg(F.min("order").alias("order"), F.first("text").alias("text")).write.format("parquet").option("parquet.block.size", ROW_GROUP).bucketBy(parts, "unit").saveAsTable(name)
     units = spark.table(name)
     buckets = 1 + (units.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET
     suspects = _suspects(units, buckets)
