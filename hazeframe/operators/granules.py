@@ -64,7 +64,7 @@ def single_sizes(df: DataFrame, feature: Feature, label: str) -> DataFrame:
     whole = _frame_sizes(counts.groupBy("x").agg(F.sum("n").alias("n")), [], feature.reach, feature.scale, "size").drop("n")
     same = _frame_sizes(counts, ["label"], feature.reach, feature.scale, "same")
     deviation = counts.groupBy("label").agg((1 + F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("n") * F.col("x") * F.col("x")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("x")) / F.sum("n"), F.lit(2.0))))).alias("s"))
-    scaled = counts.join(F.broadcast(deviation), "label").select("label", F.col("x").alias("value"), (F.col("x") / F.col("s")).alias("x"), "n")  # one row a label
+    scaled = counts.join(deviation, "label").select("label", F.col("x").alias("value"), (F.col("x") / F.col("s")).alias("x"), "n")
     local = _frame_sizes(scaled, ["label"], min(1.0, feature.radius), 1.0, "local").select("label", F.col("value").alias("x"), "local")
     return same.join(whole, "x").join(local, ["x", "label"])
 
@@ -88,6 +88,13 @@ def set_sizes(df: DataFrame, features: list[Feature], id_col: str, nominal: str
     return left.join(right, on).groupBy("i").agg(F.sum(value).alias("size"))
 
 
+def row_granule(df: DataFrame, features: list[Feature], id_col: str, row_id: object) -> DataFrame:
+    """i, similarity: of every row that is in the granule of one row, under all features at once."""
+    own = df.filter(F.col(id_col) == F.lit(row_id)).first()
+    least = [similarity(F.col(f"`{f.name}`"), F.lit(own[f.name]), f) for f in features]
+    return df.select(F.col(id_col).alias("i"), (F.least(*least) if len(least) > 1 else least[0]).alias("similarity")).filter("similarity > 0")
+
+
 def scores(df: DataFrame, feature: Feature, label: str, n: int) -> tuple[float, float]:
     """Global and local granularity consistency of one feature."""
     sizes = single_sizes(df, feature, label).withColumn("of_label", F.sum("n").over(Window.partitionBy("label")))

@@ -414,6 +414,39 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(v, 4)) for k, v in found.items()], "features string, relevance double")
 
 
+_SINGLE = _PAIRS + "".join(f", {_relevance_sql(q, f's{k}')}" for k, q in enumerate(_SETS.values())) + ", rel AS (" + " UNION ALL ".join(f"SELECT {k} AS n, avg(pos + nog) AS r, avg(pos) AS p, avg(nog) AS g FROM o_s{k}" for k in range(6)) + ")"
+
+
+@query(_SINGLE + """, red(a, b, v) AS (SELECT 0, 1, max(r) FILTER (WHERE n = 0) + max(r) FILTER (WHERE n = 1) - max(r) FILTER (WHERE n = 3) FROM rel UNION ALL SELECT 0, 2, max(r) FILTER (WHERE n = 0) + max(r) FILTER (WHERE n = 2) - max(r) FILTER (WHERE n = 4) FROM rel
+UNION ALL SELECT 1, 2, max(r) FILTER (WHERE n = 1) + max(r) FILTER (WHERE n = 2) - max(r) FILTER (WHERE n = 5) FROM rel)
+SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(v, 4) AS redundancy FROM red""")
+def redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = H.relevance(_pairs(spark, sf_dir), {name: D.total([F.col(f"q{k}") for k in name.split(",")]) for name in _SETS}, 0.5)
+    rows = [(a, b, round(found[f"{a}"] + found[f"{b}"] - found[f"{a},{b}"], 4)) for a, b in ((0, 1), (0, 2), (1, 2))]
+    return spark.createDataFrame(rows, "a int, b int, redundancy double")
+
+
+@query(_SINGLE + " SELECT round(avg(p), 4) AS positive, round(avg(g), 4) AS negative FROM rel WHERE n < 3")
+def gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = H.gamma(_pairs(spark, sf_dir), [F.col(f"q{k}") for k in range(3)], 0.5)
+    return spark.createDataFrame([tuple(round(v, 4) for v in found)], "positive double, negative double")
+
+
+@query(f"""WITH {_SUPPLIERS}, r AS (SELECT a.id, a.z AS truth, b.z AS v, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.bal - b.bal), b.id) AS k FROM sup a JOIN sup b ON a.label = b.label AND a.id <> b.id WHERE a.bal IS NOT NULL AND b.bal IS NOT NULL),
+e AS (SELECT id, k, abs(avg(v) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - truth) AS e FROM r WHERE k <= 10) SELECT id, CAST(arg_min(k, (e, k)) AS INTEGER) AS k FROM e GROUP BY id""")
+def adaptive_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suppliers(spark, sf_dir).filter("bal IS NOT NULL")
+    a, b = rows.select("id", "label", F.col("z").alias("truth"), F.col("bal").alias("x")), rows.select(F.col("id").alias("other"), "label", F.col("z").alias("value"), F.col("bal").alias("y"))
+    return H.adaptive_k(a.join(b, "label").filter("id <> other").withColumn("d", F.abs(F.col("x") - F.col("y"))), 10)
+
+
+@query(f"""WITH {PART}, {_STATS} SELECT b.id AS i, round(least({similarity("size")}, {similarity("price")}), 4) AS similarity FROM part_rows a, part_rows b, s WHERE a.id = (SELECT min(id) FROM part_rows) AND least({similarity("size")}, {similarity("price")}) > 0""")
+def row_granule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = part(spark, sf_dir)
+    first = rows.agg(F.min("id")).first()[0]
+    return rounded(G.row_granule(rows, G.describe(rows, ["size", "price"], 0.5), "id", first), ["similarity"])
+
+
 @query()
 def weighted_rough_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = S.WeightedFuzzyRoughSelector(label_col="label", feature_cols=FEATURES, n_features=2).fit(suppliers(spark, sf_dir))
