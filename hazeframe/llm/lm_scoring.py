@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Tokens whose counts every worker holds; of these, tokens with a class of their own; classes of endings; distinct tokens that a worker counts before it hands them on.
-HEAD, WORDS, ENDINGS, FLUSH = 1 << 18, 1500, 500, 400_000
+HEAD, WORDS, ENDINGS, FLUSH = 1 << 17, 1000, 300, 400_000
 SAMPLE, SAMPLE_BYTES = 1500, 20_000
 SIZE, BATCH, NOISE, EPOCHS, RATE = 32, 1024, 256, 1, 0.2
 #: No word is empty, so this stands for the end of a text.
@@ -92,7 +92,7 @@ def train_network(sequences: list[np.ndarray], shares: np.ndarray, seed: int = 0
     noise /= noise.sum()
     log_noise = np.log(noise * NOISE).astype(np.float32)
     p = {"r": random.normal(0, 0.1, (n + 1, SIZE)), "e": random.normal(0, 0.1, (n, SIZE)), "c": np.ones((2, SIZE)), "b": np.log(noise)}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
+    p = {k: v.astype(np.float32) for k, v in p.items()}  # the driver's memory is small
     seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
     cumulated = np.cumsum(noise)
     for _ in range(EPOCHS):
@@ -137,17 +137,35 @@ def normalisers(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """log of the sum over classes of exp(first[a, c] + second[b, c]), for all a and b: one matrix product."""
     top, low = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
     product = np.exp(first - top) @ np.exp(second - low).T
-    return np.log(np.maximum(product, 1e-30)) + top + low.T
+    np.log(np.maximum(product, 1e-30, out=product), out=product)
+    product += top
+    product += low.T
+    return product
 
 
 def class_of(token: bytes, endings: dict[bytes, int], own: int) -> int:
     return endings.get(token[-2:], own)
 
 
+def most_frequent(counts: DataFrame, n: int) -> list[tuple[bytes, int]]:
+    """The tokens from a count on, as many as there are up to n; the count comes from a histogram by eighths of octaves, so nothing is sorted. At least the first such step is taken, by order."""
+    step = F.floor(8 * F.log2("n"))
+    histogram = sorted(((row["step"], row["count"]) for row in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    total, least = 0, None
+    for at, size in histogram:
+        if total + size > n:
+            break
+        total, least = total + size, at
+    chosen = counts.filter(step >= least) if least is not None else counts.orderBy(F.desc("n"), "token").limit(n)
+    table = chosen.toArrow()
+    pairs = zip(table.column("token").to_pylist(), table.column("n").to_pylist(), strict=True)
+    return sorted(pairs, key=lambda x: (-x[1], x[0]))
+
+
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
     """docs: those to learn from (doc_id, text). counts: their token_counts, stored."""
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(row["token"]), row["n"]) for row in counts.orderBy(F.desc("n"), "token").limit(HEAD).collect()]
+    head = most_frequent(counts, HEAD)
     singles = head[:WORDS]
     if all(token != END for token, _ in singles):
         ends = [pair for pair in head if pair[0] == END] or [(END, 0)]
