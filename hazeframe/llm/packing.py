@@ -19,7 +19,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,14 +136,15 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) ->
     kept = C.stored(cut_pieces, "pieces")
     blocks = max(1, -(-kept.count() // block))
 
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["doc_id", "piece", "start", "ids_crc32"], ignore_index=True)
-        sequence, offset = sum_of_squares(own["length"].to_numpy(np.int64), capacity)
-        return own.drop(columns="block").assign(sequence_id=(np.int64(key[0]) << 32) + sequence, offset=offset)
+    def run(own: pa.Table) -> pa.Table:
+        own = own.sort_by([(name, "ascending") for name in ("doc_id", "piece", "start", "ids_crc32")])
+        sequence, offset = sum_of_squares(own.column("length").to_numpy(), capacity)
+        first = own.column("block")[0].as_py() << 32 if own.num_rows else 0
+        return own.drop_columns(["block"]).append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
     schema = kept.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     dealt = kept.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(run, schema)
+    return dealt.groupBy("block").applyInArrow(run, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -288,6 +288,9 @@ def test_packing_places_every_id_once(spark):
         assert at <= 64
     total = sum(r.length for r in rows)
     assert len(used) <= math.ceil(total / 64) * 1.1 + 1
+    large = 2**60 + 1
+    ids = spark.createDataFrame([(None, "a"), (large, "b"), (large, "b")], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in packing.pack_documents(ids, path).collect()) == [0, large, large]
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
