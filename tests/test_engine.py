@@ -210,6 +210,15 @@ def test_pipeline_and_persistence(spark, tmp_path):
     assert model.transform(df).orderBy("id").collect() == again.transform(df).orderBy("id").collect()
 
 
+@pytest.mark.parametrize("k", [3, 6])
+def test_models_with_data_persist(spark, tmp_path, k):
+    df = R.ingest(spark, NUMBERS)
+    model = ALL[k].fit(df)
+    model.save(str(tmp_path / "m"))
+    again = type(model).load(str(tmp_path / "m"))
+    assert model.transform(df).orderBy("id").collect() == again.transform(df).orderBy("id").collect()
+
+
 def test_stream(spark, tmp_path):
     df = R.ingest(spark, NUMBERS)
     df.write.parquet(str(tmp_path / "in"))
