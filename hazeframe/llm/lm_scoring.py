@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Tokens whose counts every worker holds; of these, tokens with a class of their own; classes of endings; distinct tokens that a worker counts before it hands them on.
-HEAD, WORDS, ENDINGS, FLUSH = 1 << 17, 1000, 300, 400_000
+HEAD, WORDS, ENDINGS, FLUSH = 1 << 17, 1000, 300, 100_000
 SAMPLE, SAMPLE_BYTES = 1500, 20_000
 SIZE, BATCH, NOISE, EPOCHS, RATE = 32, 1024, 256, 1, 0.2
 #: No word is empty, so this stands for the end of a text.
@@ -71,13 +71,14 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["token", "n"])
                 counts.clear()
 
-        for batch in C.slices(batches):
+        for batch in C.slices(batches, 128):
             for text in C.as_bytes(batch.column("text")):
                 counts.update(words(text))
                 counts[END] += 1
             if len(counts) > FLUSH:
                 yield from out()
         yield from out()
+        C.release_memory()
 
     return C.texts(docs).select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -259,12 +260,13 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in C.slices(batches):
+        for batch in C.slices(batches, 128):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), C.as_bytes(batch.column("text")), strict=True):
                 out.append((row, doc_id, *scored_head(text, shared.value)))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(names), kinds, strict=True)], names)
+        C.release_memory()
 
     part = C.stored(everything.mapInArrow(run, "row long, doc_id long, n_tokens long, held double, n_held long, log_p double, tokens array<binary>, numbers array<long>"), "scored")
     rare = part.select("row", F.explode(F.arrays_zip("tokens", "numbers")).alias("x")).select("row", F.col("x.tokens").alias("token"), F.col("x.numbers").alias("k"))
