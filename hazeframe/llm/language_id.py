@@ -52,19 +52,22 @@ def codes(text: str) -> np.ndarray:
 
 def train(rows: list[tuple[str, str]]) -> Model | None:
     """rows: (text, language)."""
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(1 << 24, np.int64))
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
     for text, language in rows:
-        own, n = np.unique(codes(text), return_counts=True)
-        counts[language][own] += n
-    if not counts:
+        found[language].append(np.unique(codes(text), return_counts=True))
+    if not found:
         return None
-    languages = sorted(counts)
-    shares = np.stack([counts[x] / max(1, counts[x].sum()) for x in languages])
-    weight = shares.max(axis=0)
-    known = np.flatnonzero(weight)
-    trigrams = np.sort(known[np.argsort(-weight[known], kind="stable")[:TRIGRAMS]])
-    own = np.stack([np.append(counts[x][trigrams], counts[x].sum() - counts[x][trigrams].sum()) for x in languages]) + 0.5
-    return Model(languages, trigrams, (own / own.sum(axis=1, keepdims=True)).astype(np.float32))
+    languages = sorted(found)
+    known = np.unique(np.concatenate([own for parts in found.values() for own, _ in parts]))
+    counts = np.zeros((len(languages), len(known)))
+    for k, language in enumerate(languages):
+        for own, n in found[language]:
+            counts[k, np.searchsorted(known, own)] += n
+    whole = counts.sum(axis=1, keepdims=True)
+    weight = (counts / np.maximum(whole, 1)).max(axis=0)
+    chosen = np.sort(np.argsort(-weight, kind="stable")[:TRIGRAMS])
+    own = np.concatenate([counts[:, chosen], whole - counts[:, chosen].sum(axis=1, keepdims=True)], axis=1) + 0.5
+    return Model(languages, known[chosen], (own / own.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
 _tables: dict[int, np.ndarray] = {}
