@@ -286,7 +286,7 @@ def knn_iterative_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tree_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.order_profile(spark, sf_dir).select("id", "qty", "price", "disc")
-    model = I.FCMDTIterativeImputer(min_samples_leaf=400, max_iter=2, max_FCM_iter=5, max_clusters=3, refine=False).fit(rows)
+    model = I.FCMDTIterativeImputer(min_samples_leaf=400, random_state=1).fit(rows)
     return rounded(model.transform(rows), ["qty", "price", "disc"], 3)
 
 

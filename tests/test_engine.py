@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 from hazeframe.functions import distances as D
@@ -173,6 +174,38 @@ def test_imputers_fill_only_what_is_missing(spark, k):
         model.transform(df.select("id", "num2", "num1", "num3"))
 
 
+def test_tree_query_refines_like_brute_force(spark, monkeypatch):
+    from hazeframe.operators import local
+    from hazeframe.plans import catalog
+
+    make, made, seen = impute.FCMDTIterativeImputer, [], []
+    monkeypatch.setattr(impute, "FCMDTIterativeImputer", lambda **p: made.append(p) or make(**{**p, "max_iter": 2, "max_FCM_iter": 5, "max_clusters": 3}))
+    fill = impute.FCMDTIterativeModel.first_fill
+    monkeypatch.setattr(impute.FCMDTIterativeModel, "first_fill", lambda model, df: seen.append((model, fill(model, df))) or seen[-1][1])
+    got = {r.id: r for r in catalog.tree_impute(spark, "/root/testdata/sf0.001").collect()}
+    assert made[0].get("refine", True) and not {"max_iter", "max_FCM_iter", "max_clusters"} & set(made[0])
+    model, first = seen[0]
+    state = first.orderBy("__id").toPandas()
+    train = model.train.toPandas()[model.columns].to_numpy(float)
+    options = {k: model.get(k) for k in ("m", "max_FCM_iter", "tol", "alpha", "max_clusters", "random_state", "learning_rate")}
+    x = state[["x0", "x1", "x2"]].to_numpy(float)
+    start = x.copy()
+    leaves = []
+    for j, tree in enumerate(model.trees):
+        features = [DenseVector(np.delete(row, j)) for row in train]
+        leaves.append(np.array([tree.predictLeaf(f) for f in features]))
+    for _ in range(2):
+        for j in range(3):
+            for leaf in state[f"l{j}"].dropna().unique():
+                held = (state[f"l{j}"] == leaf).to_numpy()
+                rows = train[leaves[j] == leaf]
+                rows = np.concatenate([rows[np.lexsort(rows.T[::-1])], x[held]])
+                x[held, j] = local.corrected(rows, np.arange(len(rows)) >= len(rows) - held.sum(), j, **options)
+    assert np.abs(x - start).max() > 1
+    want = dict(zip(state["__id"], x, strict=True))
+    assert all(np.allclose([got[k].qty, got[k].price, got[k].disc], v, atol=2e-3) for k, v in want.items())
+
+
 def test_rows_without_values(spark):
     df = R.ingest(spark, pd.concat([NUMBERS, pd.DataFrame({c: [None] for c in NUMBERS}, dtype=float)]))
     centroid = impute.FCMCentroidImputer(n_clusters=2).fit(df)
