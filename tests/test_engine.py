@@ -206,6 +206,13 @@ def test_tree_query_refines_like_brute_force(spark, monkeypatch):
     assert all(np.allclose([got[k].qty, got[k].price, got[k].disc], v, atol=2e-3) for k, v in want.items())
 
 
+def test_trees_grow_until_leaves_are_small(spark):
+    rows = [(3 * k + i, float(k), 3.0**k) for k in range(20) for i in range(3)]
+    model = impute.FCMDTIterativeImputer(min_samples_leaf=3, random_state=1).fit(spark.createDataFrame(rows, "id long, a double, b double"))
+    assert model.trees[1].depth > 12
+    assert len({model.trees[1].predictLeaf(DenseVector([float(k)])) for k in range(20)}) == 20
+
+
 def test_rows_without_values(spark):
     df = R.ingest(spark, pd.concat([NUMBERS, pd.DataFrame({c: [None] for c in NUMBERS}, dtype=float)]))
     centroid = impute.FCMCentroidImputer(n_clusters=2).fit(df)
