@@ -7,7 +7,8 @@ normaliser of every context comes from one batched matrix product. Within a clas
 of the class, so probabilities add up to one over all known tokens and, for each such class, one unknown one.
 
 Token counts cover all texts that are learned from and stay distributed: workers hold the HEAD most frequent tokens (a fixed
-number); the counts of all others come by a join. The network is trained on a bounded sample (SAMPLE rows of up to SAMPLE_BYTES).
+number); the counts of all others come by a join. The network starts from a bounded sample (SAMPLE rows of up to SAMPLE_BYTES) and
+is then trained over all texts on the executors.
 
 Null texts count as empty: one token, the end. Rows repeat as they come; extra columns are ignored; an empty table gives no rows.
 """
@@ -30,7 +31,9 @@ from . import _common as C
 #: Tokens whose counts every worker holds; of these, tokens with a class of their own; classes of endings; distinct tokens that a worker counts before it hands them on.
 HEAD, WORDS, ENDINGS, FLUSH = 1 << 17, 1000, 300, 100_000
 SAMPLE, SAMPLE_BYTES = 1500, 20_000
-SIZE, BATCH, NOISE, EPOCHS, RATE = 32, 1024, 256, 1, 0.2
+SIZE, BATCH, NOISE, RATE = 32, 1024, 256, 0.2
+#: In the pass over all texts: noise of a batch, tokens that are shuffled together, sums that reach the driver.
+PASS_NOISE, PIECE, SUMS = 64, 1 << 17, 8
 #: No word is empty, so this stands for the end of a text.
 END = b""
 
@@ -83,43 +86,97 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return C.texts(docs).select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def train_network(sequences: list[np.ndarray], shares: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of each class (columns; bias in the first) by the class before and the class before that. sequences: classes of texts; shares: the noise, each class's share of tokens."""
+Network = dict[str, np.ndarray]
+
+
+def new_network(shares: np.ndarray, seed: int = 0) -> tuple[Network, Network]:
+    """Weights, and the sums of squared gradients that set their rates."""
+    n, random = len(shares), np.random.default_rng(seed)
+    p = {"r": random.normal(0, 0.1, (n + 1, SIZE)), "e": random.normal(0, 0.1, (n, SIZE)), "c": np.ones((2, SIZE)), "b": np.log(_noise(shares))}
+    p = {k: v.astype(np.float32) for k, v in p.items()}  # the driver's memory is small
+    return p, {k: np.full_like(v, 1e-3) for k, v in p.items()}
+
+
+def _noise(shares: np.ndarray) -> np.ndarray:
+    noise = np.maximum(shares, 1e-9)
+    return noise / noise.sum()
+
+
+def learn(p: Network, seen: Network, sequences: list[np.ndarray], shares: np.ndarray, random: np.random.Generator, false_ones: int) -> None:
+    """One pass over the classes of texts, in place. shares: the noise, each class's share of tokens."""
     n, start = len(shares), len(shares)
-    random = np.random.default_rng(seed)
     own = [np.concatenate([[start, start], s]) for s in sequences]
     triples = np.concatenate([np.stack([s[1:-1], s[:-2], s[2:]], axis=1) for s in own]) if own else np.zeros((0, 3), np.int64)
-    noise = np.maximum(shares, 1e-9)
-    noise /= noise.sum()
-    log_noise = np.log(noise * NOISE).astype(np.float32)
-    p = {"r": random.normal(0, 0.1, (n + 1, SIZE)), "e": random.normal(0, 0.1, (n, SIZE)), "c": np.ones((2, SIZE)), "b": np.log(noise)}
-    p = {k: v.astype(np.float32) for k, v in p.items()}  # the driver's memory is small
-    seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+    noise = _noise(shares)
+    log_noise = np.log(noise * false_ones).astype(np.float32)
     cumulated = np.cumsum(noise)
-    for _ in range(EPOCHS):
-        order = random.permutation(len(triples))
-        for at in range(0, len(order), BATCH):
-            a, b, target = triples[order[at : at + BATCH]].T
-            false = np.minimum(np.searchsorted(cumulated, random.random(NOISE)), n - 1)
-            ra, rb, et, ef = p["r"][a], p["r"][b], p["e"][target], p["e"][false]
-            q = ra * p["c"][0] + rb * p["c"][1]
-            dt = _sigmoid((q * et).sum(axis=1) + p["b"][target] - log_noise[target]) - 1
-            df = _sigmoid(q @ ef.T + p["b"][false] - log_noise[false])
-            dq = dt[:, None] * et + df @ ef
-            m = len(a)
-            gradients = {
-                "r": _scatter(np.concatenate([a, b]), np.concatenate([dq * p["c"][0], dq * p["c"][1]]), n + 1),
-                "e": _scatter(np.concatenate([target, false]), np.concatenate([dt[:, None] * q, df.T @ q]), n),
-                "c": np.stack([(dq * ra).sum(axis=0), (dq * rb).sum(axis=0)]),
-                "b": np.bincount(np.concatenate([target, false]), np.concatenate([dt, df.sum(axis=0)]), n),
-            }
-            for k, g in gradients.items():
-                g = (g / m).astype(np.float32)
-                seen[k] += g * g
-                p[k] -= RATE * (0.1 if k == "b" else 1.0) * g / np.sqrt(seen[k])
+    order = random.permutation(len(triples))
+    for at in range(0, len(order), BATCH):
+        a, b, target = triples[order[at : at + BATCH]].T
+        false = np.minimum(np.searchsorted(cumulated, random.random(false_ones)), n - 1)
+        ra, rb, et, ef = p["r"][a], p["r"][b], p["e"][target], p["e"][false]
+        q = ra * p["c"][0] + rb * p["c"][1]
+        dt = _sigmoid((q * et).sum(axis=1) + p["b"][target] - log_noise[target]) - 1
+        df = _sigmoid(q @ ef.T + p["b"][false] - log_noise[false])
+        dq = dt[:, None] * et + df @ ef
+        m = len(a)
+        gradients = {
+            "r": _scatter(np.concatenate([a, b]), np.concatenate([dq * p["c"][0], dq * p["c"][1]]), n + 1),
+            "e": _scatter(np.concatenate([target, false]), np.concatenate([dt[:, None] * q, df.T @ q]), n),
+            "c": np.stack([(dq * ra).sum(axis=0), (dq * rb).sum(axis=0)]),
+            "b": np.bincount(np.concatenate([target, false]), np.concatenate([dt, df.sum(axis=0)]), n),
+        }
+        for k, g in gradients.items():
+            g = (g / m).astype(np.float32)
+            seen[k] += g * g
+            p[k] -= RATE * (0.1 if k == "b" else 1.0) * g / np.sqrt(seen[k])
+
+
+def scores(p: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of each class (columns; bias in the first) by the class before and the class before that."""
     return (p["r"] * p["c"][0]) @ p["e"].T + p["b"], (p["r"] * p["c"][1]) @ p["e"].T
 
 
+def learn_everywhere(docs: DataFrame, p: Network, seen: Network, shares: np.ndarray, place: dict[bytes, int], endings: dict[bytes, int], own: int) -> tuple[Network, int]:
+    """The network after one pass over all texts, and the tokens it saw. Each task goes on from the same weights over its rows; the mean of the tasks' weights, by tokens, is added up on the executors in two steps."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((p, seen, shares, place, endings, own))
+    cuts = np.cumsum([v.size for v in p.values()])[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, seen, shares, place, endings, own = shared.value
+        p, seen = ({k: v.copy() for k, v in x.items()} for x in (p, seen))
+        task = TaskContext.get().partitionId()
+        random = np.random.default_rng(task)
+        held, n, total = [], 0, 0
+        for batch in C.slices(batches, 128):
+            for text in C.as_bytes(batch.column("text")):
+                split = [*words(text), END]
+                held.append(np.fromiter((place[w] if w in place else class_of(w, endings, own) for w in split), np.int64, len(split)))
+                n += len(split)
+                if n > PIECE:
+                    learn(p, seen, held, shares, random, PASS_NOISE)
+                    held, n, total = [], 0, total + n
+        learn(p, seen, held, shares, random, PASS_NOISE)
+        total += n
+        if total:
+            weights = np.concatenate([v.ravel() for v in p.values()]).astype(np.float64) * total
+            yield pa.RecordBatch.from_arrays([pa.array([task % SUMS], pa.int32()), pa.array([total], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "n", "weights"])
+        C.release_memory()
+
+    def add(table: pa.Table) -> pa.Table:
+        weights = sum(np.frombuffer(w.as_py()) for w in table.column("weights"))
+        return pa.table({"n": [sum(table.column("n").to_pylist())], "weights": pa.array([weights.tobytes()], pa.binary())})
+
+    trained = C.stored(docs.select("text").mapInArrow(run, "part int, n long, weights binary"), "weights")
+    rows = trained.groupBy("part").applyInArrow(add, "n long, weights binary").collect()  # SUMS rows at most, of fixed size
+    total = sum(row["n"] for row in rows)
+    if not total:
+        return p, 0
+    mean = sum(np.frombuffer(row["weights"]) for row in rows) / total
+    return {k: part.reshape(v.shape).astype(np.float32) for (k, v), part in zip(p.items(), np.split(mean, cuts), strict=True)}, total
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -198,7 +255,7 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     for k, (token, _) in enumerate(head):
         classes[k] = numbers[token] if token in alone else class_of(token, endings, own)
     tokens = [token for token, _ in head]
-    # a bounded sample for the network
+    # a bounded sample to start the network from
     small = C.texts(docs).filter(F.octet_length("text") <= SAMPLE_BYTES)
     chosen = F.broadcast(small.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct())
     place = {token: int(c) for token, c in zip(tokens, classes, strict=True)}
@@ -207,7 +264,10 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     for row in sorted(small.join(chosen, "doc_id").collect()):
         sequences.append(np.array([place.get(w, -1) if w in place else class_of(w, endings, own) for w in [*words(row["text"].encode()), END]]))
     shares = (mass + 0.5) / (mass + 0.5).sum()
-    first, second = train_network(sequences, shares)
+    p, seen = new_network(shares)
+    learn(p, seen, sequences, shares, np.random.default_rng(0), NOISE)
+    p, _ = learn_everywhere(C.texts(docs), p, seen, shares, place, endings, own)
+    first, second = scores(p)
     logs = np.log10(np.array([n for _, n in head]) + 0.5)
     return Model(tokens, logs, classes, own, endings, log_class, first.astype(np.float32), second.astype(np.float32), normalisers(first, second).astype(np.float32), int(whole[0]), int(whole[1]))
 

@@ -355,6 +355,27 @@ def test_languages_and_mixtures(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_lm_learns_word_order_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE", 1)
+    rng, seen = random.Random(3), []
+    monkeypatch.setattr(lm_scoring, "learn_everywhere", lambda *a, f=lm_scoring.learn_everywhere: seen.append(f(*a)) or seen[-1])
+    follow = {f"w{k}": f"w{(7 * k + 3) % 20}" for k in range(20)}
+    texts = []
+    for size in [100] * 150 + [9000] * 4:  # the last ones are longer than SAMPLE_BYTES
+        own = [f"w{rng.randrange(20)}"]
+        while len(own) < size:
+            own.append(follow[own[-1]] if rng.random() < 0.9 else f"w{rng.randrange(20)}")
+        texts.append(" ".join(own))
+    df = frame(spark, texts)
+    model = lm_scoring.fit(df, C.stored(lm_scoring.token_counts(df), "c"))
+    assert seen[0][1] == sum(len(t.split()) + 1 for t in texts)
+    place = dict(zip(model.tokens, model.classes.tolist(), strict=True))
+    for a, b in follow.items():
+        a, b = place[a.encode()], place[b.encode()]
+        scores = [model.first[a, b] + model.second[c, b] - model.log_z[a, c] for c in (place[x.encode()] for x in follow)]
+        assert np.exp(np.median(scores)) > 0.15  # 0.05 by counts alone
+
+
 def test_lm_scores_are_normalised_and_counts_exact(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HEAD", 30)
     monkeypatch.setattr(lm_scoring, "WORDS", 10)
