@@ -225,15 +225,189 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS, balls:
     return prints.join(groups, "w0").select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: For near-duplicates by similarity: 256 bits, of which the angle between texts that share 0.8 of their 5-word shingles lets 39 differ
-#: on average; balls of radius 1 around the four 16-bit segments of the first word meet 96 % of pairs at just that similarity, and more above.
-SIMILAR_WORDS, SIMILAR_RADIUS, SIMILAR_BALLS = 4, 40, (1, 1, 1, 1)
+#: Near-duplicates share SIMILAR of their shingles. Candidates come from fingerprints of 64 x SIMILAR_WORDS bits: they agree in all
+#: SIMILAR_BITS sampled bits of one of SIMILAR_TABLES tables and differ in at most SIMILAR_RADIUS bits of all. Their shingles decide.
+SIMILAR, SIMILAR_WORDS, SIMILAR_TABLES, SIMILAR_BITS, SIMILAR_RADIUS = (4, 5), 3, 96, 14, 56
+
+
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """The text's distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def set_fingerprint(own: np.ndarray, n_words: int = SIMILAR_WORDS) -> np.ndarray:
+    """The fingerprint of a set of shingles. In a set of even size the smallest hash counts twice, so no bit is a tie."""
+    return fingerprint(own if len(own) % 2 else np.concatenate([own[:1], own]), n_words)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) share SIMILAR or more of their union; two empty ones do."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * shared >= SIMILAR[0] * (len(a) + len(b) - shared)
+
+
+def set_prints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node (a hash of the set of shingles), size (of the set), w0, ..., text."""
+    names = [f"w{k}" for k in range(SIMILAR_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            sets = [shingle_set(text, words) for text in C.as_bytes(batch.column("text"))]
+            own = np.stack([set_fingerprint(s) for s in sets]).view(np.int64)
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            columns = [batch.column("doc_id"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(own[:, k]) for k in range(SIMILAR_WORDS)), batch.column("text")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", *names, "text"])
+        C.release_memory()
+
+    C.bound_batches(docs.sparkSession)
+    return C.texts(docs).mapInArrow(run, "doc_id long, node long, size long, " + ", ".join(f"{n} long" for n in names) + ", text string")
+
+
+def sampled_bits() -> np.ndarray:
+    """SIMILAR_TABLES rows of bit numbers, the same everywhere."""
+    random = np.random.default_rng(SEED)
+    return np.stack([random.permutation(64 * SIMILAR_WORDS)[:SIMILAR_BITS] for _ in range(SIMILAR_TABLES)])
+
+
+def _near(words: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs may be alike, by distance and by the sizes of their sets."""
+    fits = SIMILAR[1] * np.minimum(sizes[a], sizes[b]) >= SIMILAR[0] * np.maximum(sizes[a], sizes[b])
+    fits[fits] = distances(words[a[fits]], words[b[fits]]) <= SIMILAR_RADIUS
+    return fits
+
+
+def _across(label: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All near pairs with different labels: the members of each label, the rarest first, against those of labels that come later."""
+    _, which, counts = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((which, counts[which]))
+    ends = np.flatnonzero(np.concatenate([which[order][1:] != which[order][:-1], [True]])) + 1
+    a, b, begin = [], [], 0
+    for end in ends.tolist():
+        for at in range(begin, end, 64):
+            step = order[at : min(at + 64, end)]
+            x, y = np.nonzero(distances(words[step][:, None], words[order[end:]][None]) <= SIMILAR_RADIUS)
+            a.append(step[x])
+            b.append(order[end + y])
+        begin = end
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidate_pairs(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, words: np.ndarray, clusters: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Members of buckets to pairs (a < b) of nodes that may be alike. clusters None: pairs enough to connect what near pairs connect; else all near pairs of different clusters."""
+    own, first, index = np.unique(nodes, return_index=True, return_inverse=True)
+    words, sizes = words[first], sizes[first]
+    label = np.arange(len(own)) if clusters is None else clusters[first]
+    order = np.argsort(keys, kind="stable")
+    keys, index = keys[order], index[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate([begins, [len(keys)]]))
+    found = [np.zeros((2, 0), np.int64)]
+    for begin, count in zip(begins[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
+        members = index[begin : begin + count]
+        a, b = (members[x] for x in (_search(words[members], SIMILAR_RADIUS) if clusters is None else _across(label[members], words[members])))
+        near = _near(words, sizes, a, b)
+        found.append(np.stack([a[near], b[near]]))
+        if clusters is None:
+            _merge(label, a[near], b[near])
+    left = np.repeat(counts, counts)
+    left = np.where(left > SMALL, 0, np.repeat(begins + counts, counts) - np.arange(len(keys)) - 1)
+    at, shift = np.flatnonzero(left), 0
+    while len(at):
+        shift += 1
+        at = at[left[at] >= shift]
+        a, b = index[at], index[at + shift]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        near = _near(words, sizes, a, b)
+        found.append(np.stack([a[near], b[near]]))
+        if clusters is None:
+            _merge(label, a[near], b[near])
+    pairs = np.concatenate(found, axis=1)
+    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+    return own[pairs[0]], own[pairs[1]]
+
+
+def candidates(points: DataFrame) -> DataFrame:
+    """points (node: distinct; size, w0, ..., and cluster if pairs within one are not wanted) to (a, b), a < b, repeats included: see candidate_pairs."""
+    sample = sampled_bits()
+    names = ["node", "size", *(f"w{k}" for k in range(SIMILAR_WORDS)), *(["cluster"] if "cluster" in points.columns else [])]
+    groups = 1 + points.count() * SIMILAR_TABLES // MEET
+    parts = ["keys", "nodes", "sizes", "words", "clusters"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, 1024):
+            column = {n: batch.column(n).to_numpy() for n in names}
+            words = np.stack([column[f"w{k}"].view(np.uint64) for k in range(SIMILAR_WORDS)], axis=1)
+            bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+            keys = np.zeros((len(words), SIMILAR_TABLES), np.uint32)
+            for k in range(SIMILAR_BITS):
+                keys |= bits[:, sample[:, k]].astype(np.uint32) << np.uint32(k)
+            keys = (keys | np.arange(SIMILAR_TABLES, dtype=np.uint32) << np.uint32(SIMILAR_BITS)).ravel()
+            which = np.repeat(np.arange(len(words)), SIMILAR_TABLES)
+            group = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % groups
+            order = np.argsort(group, kind="stable")
+            group, keys, which = group[order], keys[order], which[order]
+            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+            held = [column["node"], column["size"].astype(np.int32), words, column.get("cluster", np.zeros(0, np.int64))]
+            rows = [(int(group[a]), keys[a:b].tobytes(), *(x[which[a:b]].tobytes() if len(x) else b"" for x in held)) for a, b in zip(begins, [*begins[1:], len(group)], strict=False)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5), strict=True)], ["group", *parts])
+        C.release_memory()
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, nodes, sizes, words, clusters = (np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in zip(parts, (np.uint32, np.int64, np.int32, np.uint64, np.int64), strict=True))
+        a, b = candidate_pairs(keys, nodes, sizes.astype(np.int64), words.reshape(-1, SIMILAR_WORDS), clusters if "cluster" in names else None)
+        return pa.table({"a": a, "b": b})
+
+    C.bound_batches(points.sparkSession)
+    dealt = points.select(*names).mapInArrow(deal, "group long, " + ", ".join(f"{n} binary" for n in parts))
+    return dealt.groupBy("group").applyInArrow(meet, "a long, b long")
+
+
+def verified(pairs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """Those of pairs (a, b) whose texts are alike by their shingles; only the texts of nodes in pairs move."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = C.stored(prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            held: dict[int, np.ndarray] = {}  # of one slice only
+            fits = []
+            for a, b, ta, tb in zip(*(batch.column(n).to_pylist() for n in ("a", "b")), *(C.as_bytes(batch.column(n)) for n in ("ta", "tb")), strict=True):
+                for node, text in ((a, ta), (b, tb)):
+                    if node not in held:
+                        held[node] = shingle_set(text, words)
+                fits.append(alike(held[a], held[b]))
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+        C.release_memory()
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def similar_components(prints: DataFrame, words: int) -> DataFrame:
+    """set_prints, stored, to (node, first, component): each set once, with the smallest doc_id that has it and that is reachable over pairs that are alike.
+
+    First each node is verified with the smallest candidate it has; that joins most of what belongs together, so dense groups
+    don't give all their pairs. Then all candidates that are still apart are verified.
+    """
+    names = [f"w{k}" for k in range(SIMILAR_WORDS)]
+    points = C.stored(prints.groupBy("node", "size", *names).agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first")), "fingerprints")
+    met = C.stored(candidates(points), "met")
+    tried = C.stored(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    links = C.stored(verified(tried, prints, words), "links")
+    near = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    apart = points.join(near, "node").join(components(links), "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component")
+    more = candidates(C.stored(apart, "apart")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(C.stored(verified(C.stored(more, "more"), prints, words), "links"))
+    sets = points.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    return sets.join(sets.groupBy("root").agg(F.min("first").alias("component")), "root").drop("root")
 
 
 def near_unique(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of docs (doc_id, text and any others) whose doc_id is the smallest of its group of near-duplicates. Rows that share a doc_id are one document."""
-    prints = C.stored(fingerprints(docs, words, SIMILAR_WORDS), "prints")
-    kept = near_components(prints, SIMILAR_RADIUS, SIMILAR_BALLS).select(F.col("component").alias("__kept")).distinct()
+    prints = C.stored(set_prints(docs, words), "prints")
+    kept = similar_components(prints, words).select(F.col("component").alias("__kept")).distinct()
     return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("__kept"), "left_semi")
 
 

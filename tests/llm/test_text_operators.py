@@ -129,6 +129,27 @@ def test_components_of_a_long_chain(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_near_unique_is_exact_at_the_threshold(spark):
+    random, texts = np.random.default_rng(5), []
+    for k in range(150):
+        base = [f"w{x}" for x in random.integers(0, 10**6, 200)]  # 196 shingles
+        new = [20, 21, 22, 23, 26, 30][k % 6]  # at one end: similarity (196 - new) / (196 + new), 0.815 to 0.734
+        texts += [" ".join(base), " ".join([*base[new:], *(f"v{x}" for x in random.integers(0, 10**6, new))])]
+    sets = [simhash.shingle_set(t.encode()) for t in texts]
+    want = {k for k in range(len(texts)) if k % 2 == 0 or 5 * (n := len(np.intersect1d(sets[k - 1], sets[k]))) < 4 * (len(sets[k - 1]) + len(sets[k]) - n)}
+    assert 200 < len(want) < 260
+    got = {r.doc_id for r in simhash.near_unique(frame(spark, texts)).collect()}
+    assert got == want
+
+
+def test_near_unique_verifies_what_the_first_round_left_apart(spark, monkeypatch):
+    base = [f"w{x}" for x in np.random.default_rng(6).integers(0, 10**6, 300)]
+    texts = [" ".join([*base[k * 12 :], *(f"v{x}" for x in range(k * 12))]) for k in range(8)]  # neighbours are alike, the ends are not
+    for small in (simhash.SMALL, 1):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        assert [r.doc_id for r in simhash.near_unique(frame(spark, texts)).collect()] == [0]
+
+
 def test_near_unique_keeps_one_of_each_group(spark):
     rng = random.Random(2)
     base = [words_text(rng, 400, 5000) for _ in range(4)]
