@@ -69,3 +69,11 @@ def pick(index: Column, values: Sequence[Column]) -> Column:
     for k, v in enumerate(values[1:], 1):
         choice = choice.when(index == k, v)
     return choice
+
+
+def mean_masked_change(new: Sequence[Column | str], old: Sequence[Column | str], masks: Sequence[Column | str]) -> Column:
+    """An aggregate: the mean of |new - old| over all cells that a mask marks, whose difference is known; 0 if there are none."""
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
+    changes = [F.when(as_column(m), F.abs(as_column(a) - as_column(b))) for a, b, m in zip(new, old, masks, strict=True)]
+    count = F.sum(total([c.isNotNull().cast("long") for c in changes]))
+    return F.coalesce(F.sum(total([F.coalesce(c, F.lit(0.0)) for c in changes])) / F.nullif(count, F.lit(0)), F.lit(0.0))

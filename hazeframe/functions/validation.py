@@ -81,3 +81,10 @@ def check_input(df: Any, columns: list[str], *, require_numeric: bool = False, a
     if no_nan_columns and (empty := [c for c, n in found["present"].items() if not n]):
         raise ValueError(f"{len(empty)} columns have only missing values")
     return found
+
+
+def check_unique(df: DataFrame, id_col: str) -> None:
+    """A ValueError if an id is NULL or repeats: results are joined back by id, and such rows would multiply or be lost."""
+    bad = df.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL").first()
+    if bad is not None:
+        raise ValueError(f"{id_col} must be unique and not NULL, got {bad['id']!r} in {bad['n']} rows")

@@ -1,18 +1,19 @@
-"""Fuzzy granules by range windows.
+"""Fuzzy granules by sums over ranges.
 
 The similarity of two numbers is 1 - |x - y| / (1 + sd), kept where it reaches 1 - radius. A row's granule size, the sum of its
-similarities, then needs only counts and sums over a range frame, so no matrix of pairs exists. Rows are first counted by
-distinct value (and label), which is what the windows run over.
+similarities, then needs only counts and sums over a range, which are differences of running sums, so no matrix of pairs exists.
+Rows are first counted by distinct value (and label).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeframe.functions.validation import is_numeric
+from hazeframe.operators.blocks import range_sums
 
 
 @dataclass(frozen=True)
@@ -47,43 +48,45 @@ def similarity(a: Column, b: Column, feature: Feature) -> Column:
     return F.when(F.abs(a - b) <= F.lit(feature.reach), value).otherwise(0.0)
 
 
-def _frame_sizes(counts: DataFrame, by: list[str], reach: float, scale: float, to: str) -> DataFrame:
-    """counts (x, n, and the columns of by) with the granule size of each x within by."""
-    part = f"PARTITION BY {', '.join(by)}" if by else ""
-    over = f"OVER ({part} ORDER BY x RANGE BETWEEN {{}} AND {{}})"
-    left, right = over.format(f"{reach!r}D PRECEDING", "CURRENT ROW"), over.format("CURRENT ROW", f"{reach!r}D FOLLOWING")
-    near = f"sum(n) {left} + sum(n) {right} - n"
-    return counts.withColumn(to, F.expr(f"({near}) - ((x * sum(n) {left} - sum(n * x) {left}) + (sum(n * x) {right} - x * sum(n) {right})) / {scale!r}D"))
+def _frame_sizes(counts: DataFrame, by: list[str], reach: float, scale: float, to: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """counts (x, n, keep, and the columns of by) with the granule size of each x within by."""
+    summed = range_sums(counts.withColumn("nx", F.col("n") * F.col("x")), by, reach, ["n", "nx"], keep)
+    near = F.col("n_left") + F.col("n_right") - F.col("n")
+    apart = (F.col("x") * F.col("n_left") - F.col("nx_left")) + (F.col("nx_right") - F.col("x") * F.col("n_right"))
+    return summed.select(*by, "x", "n", *keep, (near - apart / F.lit(scale)).alias(to))
 
 
 def single_sizes(df: DataFrame, feature: Feature, label: str) -> DataFrame:
     """By distinct value and label: x, label, n; size (over all rows), same (over rows of the label), local (of the label, with the label's own deviation)."""
     counts = df.groupBy(F.col(f"`{feature.name}`").cast("double" if feature.numeric else "string").alias("x"), F.col(f"`{label}`").cast("string").alias("label")).agg(F.count("*").cast("double").alias("n"))
     if not feature.numeric:
-        return counts.withColumns({"size": F.sum("n").over(Window.partitionBy("x")), "same": F.col("n"), "local": F.col("n")})
+        return counts.join(counts.groupBy("x").agg(F.sum("n").alias("size")), "x").withColumns({"same": F.col("n"), "local": F.col("n")}).select("x", "label", "n", "size", "same", "local")
     whole = _frame_sizes(counts.groupBy("x").agg(F.sum("n").alias("n")), [], feature.reach, feature.scale, "size").drop("n")
     same = _frame_sizes(counts, ["label"], feature.reach, feature.scale, "same")
     deviation = counts.groupBy("label").agg((1 + F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("n") * F.col("x") * F.col("x")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("x")) / F.sum("n"), F.lit(2.0))))).alias("s"))
     scaled = counts.join(deviation, "label").select("label", F.col("x").alias("value"), (F.col("x") / F.col("s")).alias("x"), "n")
-    local = _frame_sizes(scaled, ["label"], min(1.0, feature.radius), 1.0, "local").select("label", F.col("value").alias("x"), "local")
+    local = _frame_sizes(scaled, ["label"], min(1.0, feature.radius), 1.0, "local", ("value",)).select("label", F.col("value").alias("x"), "local")
     return same.join(whole, "x").join(local, ["x", "label"])
 
 
 def set_sizes(df: DataFrame, features: list[Feature], id_col: str, nominal: str | None = None) -> DataFrame:
-    """id and size of each row's granule under all features at once (the least similarity counts); nominal: a further column compared by equality.
+    """id and size of each row's granule under all features at once (the least similarity counts); nominal: a further column compared by equality. Without any feature all sizes are 0.
 
-    Rows meet in bins as wide as the first numeric feature's reach, in an equi-join with the neighbouring bins.
+    Rows meet in bins as wide as the first numeric feature's reach, in an equi-join with the neighbouring bins. A numeric feature
+    without reach tells apart what is not equal, so it is compared by equality.
     """
+    if not features and not nominal:
+        return df.select(F.col(id_col).alias("i"), F.lit(0.0).alias("size"))
     base = df.select(F.col(id_col).alias("i"), *(F.col(f"`{f.name}`").cast("double" if f.numeric else "string").alias(f"x{k}") for k, f in enumerate(features)), *([F.col(f"`{nominal}`").cast("string").alias("c")] if nominal else []))
     first = next((k for k, f in enumerate(features) if f.numeric and f.reach > 0), None)
-    exact = [f"x{k}" for k, f in enumerate(features) if not f.numeric] + (["c"] if nominal else [])
+    exact = [f"x{k}" for k, f in enumerate(features) if not f.numeric or f.reach == 0] + (["c"] if nominal else [])
     bin_of = F.floor(F.col(f"x{first}") / F.lit(features[first].reach)) if first is not None else F.lit(0)
     left = base.withColumn("bin", F.explode(F.array(*((bin_of + k) for k in ((-1, 0, 1) if first is not None else (0,))))))
     right = base.withColumn("r_bin", bin_of).select(*(F.col(c).alias(f"r_{c}") for c in base.columns), "r_bin")
     on = F.col("bin") == F.col("r_bin")
     for c in exact:
         on &= F.col(c) == F.col(f"r_{c}")
-    least = [similarity(F.col(f"x{k}"), F.col(f"r_x{k}"), f) for k, f in enumerate(features) if f.numeric]
+    least = [similarity(F.col(f"x{k}"), F.col(f"r_x{k}"), f) for k, f in enumerate(features) if f.numeric and f.reach > 0]
     value = F.least(*least) if len(least) > 1 else least[0] if least else F.lit(1.0)
     return left.join(right, on).groupBy("i").agg(F.sum(value).alias("size"))
 
@@ -97,7 +100,8 @@ def row_granule(df: DataFrame, features: list[Feature], id_col: str, row_id: obj
 
 def scores(df: DataFrame, feature: Feature, label: str, n: int) -> tuple[float, float]:
     """Global and local granularity consistency of one feature."""
-    sizes = single_sizes(df, feature, label).withColumn("of_label", F.sum("n").over(Window.partitionBy("label")))
+    sizes = single_sizes(df, feature, label)
+    sizes = sizes.join(df.groupBy(F.col(f"`{label}`").cast("string").alias("label")).agg(F.count("*").cast("double").alias("of_label")), "label")
     ratio = F.when(F.col("size") == 0, 1.0).otherwise(F.col("local") / F.col("size"))
     by_label = sizes.groupBy("label").agg(F.sum(F.col("n") * (1 - (F.col("of_label") - 2 * F.col("same") + F.col("size")) / F.lit(float(n)))).alias("whole"), (F.sum(F.col("n") * ratio) / F.sum("n")).alias("local"))
     row = by_label.agg((F.sum("whole") / n).alias("whole"), F.avg("local").alias("local")).first()

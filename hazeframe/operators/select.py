@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeframe.functions import distances as D
@@ -72,7 +72,7 @@ class FuzzyGranularitySelector(FuzzyEstimator):
     def _sizes(df: DataFrame, features: dict[str, G.Feature], label: str, id_col: str) -> DataFrame:
         """id, of_label and for each feature its granule size a<k> and that within the label s<k>."""
         wide = df.select(F.col(id_col).alias("i"), F.col(f"`{label}`").cast("string").alias("label"), *(F.col(f"`{c}`").cast("double" if f.numeric else "string").alias(f"x{k}") for k, (c, f) in enumerate(features.items())))
-        wide = wide.withColumn("of_label", F.count("*").over(Window.partitionBy("label")).cast("double"))
+        wide = wide.join(wide.groupBy("label").agg(F.count("*").cast("double").alias("of_label")), "label")
         for k, f in enumerate(features.values()):
             own = G.single_sizes(df, f, label).select(F.col("x").alias(f"x{k}"), "label", F.col("size").alias(f"a{k}"), F.col("same").alias(f"s{k}"))
             wide = wide.join(own, [f"x{k}", "label"])
@@ -108,9 +108,11 @@ def feature_weights(relevance: list[float], redundancy: dict[tuple[int, int], fl
         low, span = min(values), max(values) - min(values)
         return [(v - low) / (span or 1.0) for v in values]
 
-    own = scaled(relevance)
-    pairs = dict(zip(redundancy, scaled(list(redundancy.values())), strict=True)) if redundancy else {}
-    return [own[a] - sum(pairs.get((min(a, b), max(a, b)), 0.0) for b in range(d) if b != a) / max(d - 1, 1) for a in range(d)]
+    sums = [0.0] * d  # the rows of the symmetric matrix of scaled redundancies
+    for (a, b), value in zip(redundancy, scaled(list(redundancy.values())) if redundancy else [], strict=True):
+        sums[a] += value
+        sums[b] += value
+    return [own - total / max(d - 1, 1) for own, total in zip(scaled(relevance), sums, strict=True)]
 
 
 @with_params(label_col="label", n_features=1, alpha=0.5, k=5, weight_mode="reference")
@@ -140,7 +142,7 @@ class WeightedFuzzyRoughSelector(FuzzyEstimator):
         region = hec.high_density(df, columns, id_col, label, min(self.get("k"), rows - 1)).persist()
         if not region.limit(1).count():
             raise ValueError("no region of high density was found: every class has a single row")
-        pairs = hec.to_region(df, region, columns, id_col, label).persist()
+        pairs = hec.to_region(df, region, columns, id_col, label)
         try:
             q = [F.col(f"q{a}") for a in range(d)]
             found = hec.relevance(pairs, {f"{a}": q[a] for a in range(d)} | {f"{a},{b}": q[a] + q[b] for a in range(d) for b in range(a + 1, d)}, alpha)
@@ -153,7 +155,6 @@ class WeightedFuzzyRoughSelector(FuzzyEstimator):
                 value = hec.relevance(pairs, {f"{a}": self._square(q, [*chosen, a], weights) for a in left}, alpha)
                 chosen.append(max(left, key=lambda a: value[f"{a}"]))
         finally:
-            pairs.unpersist()
             region.unpersist()
         return self.to_model(SelectorModel, columns=columns, ranking=[columns[a] for a in chosen], weights=[weights[a] for a in chosen], relevance=single, n_features=self.get("n_features"))
 

@@ -102,7 +102,7 @@ def mean_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT round(coalesce(sum(abs(o_totalprice * 0.01)) / count(*), 0), 4) AS av FROM orders WHERE o_orderkey % 7 = 0")
 def masked_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"new": F.col("o_totalprice") * 1.01, "hole": F.col("o_orderkey") % 7 == 0})
-    return rounded(orders.agg(F.coalesce(F.avg(F.when(F.col("hole"), F.abs(F.col("new") - F.col("o_totalprice")))), F.lit(0.0)).alias("av")), ["av"])
+    return rounded(orders.agg(D.mean_masked_change(["new"], ["o_totalprice"], ["hole"]).alias("av")), ["av"])
 
 
 CENTRES = [[10.0, 1000.0, 0.02], [120.0, 90000.0, 0.05], [220.0, 250000.0, 0.08]]
@@ -116,7 +116,7 @@ def nan_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.order_profile(spark, sf_dir).select("id", D.arg_min(apart).alias("nearest"), F.round(F.least(*apart), 4).alias("d"))
 
 
-@query()
+@query(f"WITH {PROFILE} SELECT id FROM holes ORDER BY ((id + 7) % 2147483647 * {pow(48271, 5, 2147483647)} + 69621) % 2147483647, id LIMIT 10000")
 def stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stable_sample(R.order_profile(spark, sf_dir), "id", 10_000, 7).select("id")
 
@@ -157,9 +157,15 @@ def elbow_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(v, 2)) for k, v in found.items()], "k int, objective double")
 
 
-@query()
+_ELBOW = "".join(f", {fcm('part_rows', ['size', 'price'], k, 10, name=f'f{k}')}, o{k} AS (SELECT {k} AS k, sum(power(u, 2) * d * d) AS o FROM ({members('part_rows', f'f{k}', ['size', 'price'])}) AS m)" for k in range(2, 7))
+
+
+@query(f"""WITH {PART}{_ELBOW}, o AS ({" UNION ALL ".join(f"SELECT * FROM o{k}" for k in range(2, 7))}),
+d AS (SELECT k, 1 - (o - min(o) OVER ()) / nullif(max(o) OVER () - min(o) OVER (), 0) - (k - 2) / 4.0 AS v FROM o),
+n AS (SELECT k, v, lag(v) OVER (ORDER BY k) AS before, lead(v) OVER (ORDER BY k) AS after FROM d), peak AS (SELECT k, v, lead(k, 1, 7) OVER (ORDER BY k) AS following FROM n WHERE v >= before AND v >= after)
+SELECT CAST(coalesce(min(p.k), 4) AS INTEGER) AS k FROM peak p JOIN d ON d.k > p.k AND d.k < p.following AND d.v < p.v - 0.25""")
 def elbow_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(C.find_optimal_clusters(part(spark, sf_dir), ["size", "price"], 2, 6, max_iter=10),)], "k int")
+    return spark.createDataFrame([(C.find_optimal_clusters(part(spark, sf_dir), ["size", "price"], 2, 6, max_iter=10, tol=1e-300, sample=None),)], "k int")
 
 
 # --- imputers
@@ -176,13 +182,13 @@ def _imputed(df: DataFrame) -> DataFrame:
 @query(f"""{_PROFILE_FCM}, d AS (SELECT h.id, c.*, {distance(["h." + c for c in XY], "c.v", range(3))} AS d FROM holes h, fcm c),
 near AS (SELECT id, arg_min(v0, (d, k)) AS f0, arg_min(v1, (d, k)) AS f1 FROM d GROUP BY id) SELECT {_FILLED} FROM holes JOIN near USING (id)""")
 def centroid_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.order_profile(spark, sf_dir).persist()
+    rows = R.order_profile(spark, sf_dir)
     return _imputed(I.FCMCentroidImputer(**FIT).fit(rows).transform(rows))
 
 
 @query(f"{_PROFILE_FCM}, u AS ({members('(SELECT id, qty, price, disc FROM holes)', 'fcm', XY)}), f AS (SELECT id, sum(u * v0) AS f0, sum(u * v1) AS f1 FROM u GROUP BY id) SELECT {_FILLED} FROM holes JOIN f USING (id)")
 def parameter_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.order_profile(spark, sf_dir).persist()
+    rows = R.order_profile(spark, sf_dir)
     return _imputed(I.FCMParameterImputer(**FIT).fit(rows).transform(rows))
 
 
@@ -343,10 +349,47 @@ def granularity_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(whole, 4), round(within, 4))], "whole double, local double")
 
 
-@query()
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part with a nominal feature of few values beside the numeric ones."""
+    return part(spark, sf_dir).withColumn("kind", F.concat(F.lit("k"), F.pmod("id", F.lit(7)).cast("string")))
+
+
+def _ranking_sql() -> str:
+    """score(f, score), mutual entropies m(a, b, v) of features and the label l, t(a, b, v) of a and (label, b), ranked(f, place): the greedy search by SQL for three features."""
+    names = ("size", "price", "kind")
+    near = {"size": similarity("size"), "price": similarity("price"), "kind": "CASE WHEN a.kind = b.kind THEN 1 ELSE 0 END"}
+    own = {c: f"CASE WHEN abs(a.{c} - b.{c}) <= (1 + c.own_{c}) * least(1, s.r_{c}) THEN greatest(0, 1 - abs(a.{c} - b.{c}) / (1 + c.own_{c})) ELSE 0 END" for c in ("size", "price")} | {"kind": "CASE WHEN a.kind = b.kind THEN 1 ELSE 0 END"}
+    parts = ["WITH " + PART, _STATS, "kinds AS (SELECT *, 'k' || CAST(id % 7 AS VARCHAR) AS kind FROM part_rows)", "cs AS (SELECT brand, stddev_pop(size) AS own_size, stddev_pop(price) AS own_price FROM kinds GROUP BY brand)"]
+    sums = ", ".join(f"sum({near[c]}) AS g_{c}, sum(CASE WHEN a.brand = b.brand THEN {near[c]} ELSE 0 END) AS s_{c}, sum(CASE WHEN a.brand = b.brand THEN {own[c]} ELSE 0 END) AS l_{c}" for c in names)
+    parts.append(f"z AS (SELECT a.id, any_value(a.brand) AS brand, any_value(s.n) AS n, sum(CASE WHEN a.brand = b.brand THEN 1 ELSE 0 END) AS k, {sums} FROM kinds a JOIN cs c ON c.brand = a.brand, kinds b, s GROUP BY a.id)")
+    parts.append("by_brand AS (SELECT brand, " + ", ".join(f"avg(CASE WHEN g_{c} = 0 THEN 1 ELSE l_{c} / g_{c} END) AS l_{c}" for c in names) + " FROM z GROUP BY brand)")
+    parts.append("score AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, {k} AS o, (SELECT sum(1 - (k - 2 * s_{c} + g_{c}) / n) / any_value(n) FROM z) + (SELECT avg(l_{c}) FROM by_brand) AS score" for k, c in enumerate(names)) + ")")
+    mutual = lambda b, t: f"(SELECT sum(1 - greatest({b}, {t}) / n) / any_value(n) FROM z)"
+    parts.append("gain AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, '{g}' AS given, {mutual('k', f'g_{c}')} + {mutual(f'g_{c}', f'g_{g}')} - {mutual(f'g_{c}', f's_{g}')} AS v" for c in names for g in names if c != g) + ")")
+    parts.append("given AS (" + " UNION ALL ".join(f"SELECT '{c}' AS given, (SELECT sum(greatest(g_{c}, k) - g_{c}) / power(any_value(n), 2) FROM z) AS h" for c in names) + ")")
+    parts.append("one AS (SELECT f FROM score ORDER BY score DESC, o LIMIT 1)")
+    parts.append("two AS (SELECT s.f FROM score s JOIN gain g ON g.f = s.f JOIN given h ON h.given = g.given WHERE g.given = (SELECT f FROM one) ORDER BY (1 + h.h / (h.h + 0.01)) * s.score - g.v DESC, s.o LIMIT 1)")
+    parts.append("ranked AS (SELECT f, score, CASE WHEN f = (SELECT f FROM one) THEN 1 WHEN f = (SELECT f FROM two) THEN 2 ELSE 3 END AS place FROM score)")
+    return ", ".join(parts)
+
+
+def _granularity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, S.SelectorModel]:
+    rows = kinds(spark, sf_dir)
+    return rows, S.FuzzyGranularitySelector(label_col="brand", n_features=2, feature_cols=["size", "price", "kind"]).fit(rows)
+
+
+@query(_ranking_sql() + " SELECT f AS feature, CAST(place AS INTEGER) AS place, round(score, 4) AS score FROM ranked")
+def granularity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model = _granularity(spark, sf_dir)
+    return spark.createDataFrame([(f, k, round(model.fitted("scores")[f], 4)) for k, f in enumerate(model.fitted("ranking"), 1)], "feature string, place int, score double")
+
+
+@query(_ranking_sql() + " SELECT id, brand, r.f AS feature, CASE r.f WHEN 'size' THEN CAST(size AS VARCHAR) WHEN 'price' THEN CAST(CAST(round(price * 1000) AS BIGINT) AS VARCHAR) ELSE kind END AS value FROM kinds, ranked r WHERE r.place <= 2")
 def granularity_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = part(spark, sf_dir)
-    return S.FuzzyGranularitySelector(label_col="brand", n_features=1).fit(rows).transform(rows)
+    """The selected columns (price in thousandths), a row for each of their cells."""
+    rows, model = _granularity(spark, sf_dir)
+    kept = model.transform(rows.withColumns({"price": F.round(F.col("price") * 1000).cast("long"), "size": F.col("size").cast("double")}))
+    return kept.select("id", "brand", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in model.selected))).alias("cell")).select("id", "brand", "cell.*")
 
 
 # --- fuzzy-rough relevance
@@ -447,20 +490,49 @@ def row_granule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.row_granule(rows, G.describe(rows, ["size", "price"], 0.5), "id", first), ["similarity"])
 
 
-@query()
+_SCALED = _SINGLE + """, one AS (SELECT n, r, (r - min(r) OVER ()) / coalesce(nullif(max(r) OVER () - min(r) OVER (), 0), 1) AS v FROM rel WHERE n < 3),
+two AS (SELECT n, ra.r + rb.r - p.r AS v, a, b FROM (SELECT n, r, CASE n WHEN 5 THEN 1 ELSE 0 END AS a, CASE n WHEN 3 THEN 1 ELSE 2 END AS b FROM rel WHERE n > 2) AS p JOIN (SELECT n AS na, r FROM rel) ra ON ra.na = p.a JOIN (SELECT n AS nb, r FROM rel) rb ON rb.nb = p.b),
+scaled AS (SELECT a, b, (v - min(v) OVER ()) / coalesce(nullif(max(v) OVER () - min(v) OVER (), 0), 1) AS v FROM two),
+weight AS (SELECT one.n, 1 / power(1 + exp(-(any_value(one.v) - sum(s.v) / 2)), 2) AS w FROM one JOIN scaled s ON s.a = one.n OR s.b = one.n GROUP BY one.n)"""
+
+
+@query(_SCALED + " SELECT CASE n WHEN 0 THEN 'bal' WHEN 1 THEN 'z' ELSE 'zone' END AS feature, round(w, 4) AS importance FROM weight")
 def weighted_rough_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = S.WeightedFuzzyRoughSelector(label_col="label", feature_cols=FEATURES, n_features=2).fit(suppliers(spark, sf_dir))
-    return S.importances(model)
+    return rounded(S.importances(model), ["importance"])
 
 
-@query()
+@query(_SINGLE + " SELECT 'z' AS feature, round(max(r) FILTER (WHERE n = 3) - max(r) FILTER (WHERE n = 0), 4) AS separability FROM rel UNION ALL SELECT 'zone', round(max(r) FILTER (WHERE n = 4) - max(r) FILTER (WHERE n = 0), 4) FROM rel")
+def separability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What z and zone add to bal."""
+    found = H.separability(_pairs(spark, sf_dir), [F.col(f"q{k}") for k in range(3)], [0], [1, 2], 0.5)
+    return spark.createDataFrame([(FEATURES[k], round(v, 4)) for k, v in found.items()], "feature string, separability double")
+
+
+_W = [[1.0, 0.25, 0.0], [0.25, 0.5, 0.1], [0.0, 0.1, 2.0]]
+
+
+@query(_HEC + ", w AS (SELECT a.id AS a_id, b.id AS b_id, sqrt(greatest(0, " + " + ".join(f"{w} * sqrt({_Q[i]}) * sqrt({_Q[j]})" for i, row in enumerate(_W) for j, w in enumerate(row) if w) + ")) AS d FROM sup a JOIN sup b ON a.label = b.label AND a.id <> b.id) SELECT a_id, b_id, round(d, 4) AS d FROM w")
+def hec_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.hybrid_distances(suppliers(spark, sf_dir), FEATURES, "id", "label", _W).select("a_id", "b_id", F.round("d", 4).alias("d"))
+
+
+_PLAIN = "plain AS (SELECT id, label, z, coalesce(bal, 0) AS bal FROM sup)"
+
+
+@query(f"""WITH {_SUPPLIERS}, {_PLAIN}, {fcm('plain', ['z', 'bal'], 2, 5)}, m AS ({members('(SELECT id, z, bal FROM plain)', 'fcm', ['z', 'bal'])}),
+own AS (SELECT id, any_value(z) AS z, any_value(bal) AS bal, arg_max(k, (u, -k)) AS k, max(u) - min(u) AS gap FROM m GROUP BY id), held AS (SELECT own.*, label FROM own JOIN plain USING (id)),
+apart AS (SELECT a.id, a.label, a.k, a.gap, b.k AS other, avg(sqrt(power(a.z - b.z, 2) + power(a.bal - b.bal, 2))) AS d FROM held a JOIN held b ON a.label = b.label GROUP BY ALL),
+s AS (SELECT id, label, any_value(gap) AS gap, max(d) FILTER (WHERE other = k) AS a, min(d) FILTER (WHERE other <> k) AS b FROM apart GROUP BY id, label)
+SELECT label, round(coalesce(sum(gap * coalesce((b - a) / nullif(greatest(a, b), 0), 0)) / nullif(sum(gap), 0), 0), 4) AS silhouette FROM s GROUP BY label""")
 def fuzzy_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the suppliers of each label, one group in a task."""
-    rows = suppliers(spark, sf_dir).select("label", "z", F.coalesce("bal", F.lit(0.0)).alias("bal"))
+    """Of the suppliers of each label, one group in a task, under the memberships of all."""
+    rows = suppliers(spark, sf_dir).select("id", "label", "z", F.coalesce("bal", F.lit(0.0)).alias("bal"))
+    found = C.fuzzy_c_means(rows, ["z", "bal"], 2, max_iter=5, tol=1e-300)
+    placed = C.fcm_predict(rows, ["z", "bal"], found.centers)
 
     def run(pdf):  # noqa: ANN001, ANN202
-        x = pdf.sort_values(["z", "bal"])[["z", "bal"]].to_numpy(float)
-        _, u = local.c_means(x, 2, 2.0, 20, 1e-6, 0)
-        return pdf.head(1)[["label"]].assign(silhouette=round(local.fuzzy_silhouette(x, u, 1.0), 4))
+        held = local.fuzzy_silhouette(pdf[["z", "bal"]].to_numpy(float), pdf[["u0", "u1"]].to_numpy(float), 1.0)
+        return pdf.head(1)[["label"]].assign(silhouette=round(held, 4))
 
-    return rows.groupBy("label").applyInPandas(run, "label string, silhouette double")
+    return placed.groupBy("label").applyInPandas(run, "label string, silhouette double")

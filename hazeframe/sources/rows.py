@@ -59,9 +59,20 @@ def missing_count(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("int") for c in columns])
 
 
+#: A prime below 2**31: products of two numbers below it stay below 2**63.
+MODULUS = 2**31 - 1
+
+
+def sample_rank(id_col: str, seed: int | None = None) -> Column:
+    """A number below MODULUS that scatters whole-number ids by plain arithmetic; ids of other types go through a hash first."""
+    return F.pmod(F.pmod(F.pmod(F.col(f"`{id_col}`").cast("long"), F.lit(MODULUS)) + (seed or 0) % MODULUS, F.lit(MODULUS)) * pow(48271, 5, MODULUS) + 69621, F.lit(MODULUS))
+
+
 def stable_sample(df: DataFrame, id_col: str, n: int = 10_000, seed: int | None = None) -> DataFrame:
     """min(rows, n) rows without replacement, the same on every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed or 0)), id_col).limit(n)
+    whole = isinstance(df.schema[id_col].dataType, T.IntegralType)
+    rank = sample_rank(id_col, seed) if whole else F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed or 0))
+    return df.orderBy(rank, f"`{id_col}`").limit(n)
 
 
 def order_profile(spark: SparkSession, sf_dir: str, nulls: bool = True) -> DataFrame:

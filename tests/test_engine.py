@@ -403,3 +403,63 @@ def test_weighted_selector(spark):
 def test_feature_weights():
     assert select.feature_weights([1.0, 3.0, 2.0], {(0, 1): 0.0, (0, 2): 2.0, (1, 2): 1.0}) == pytest.approx([0 - 0.5, 1 - 0.25, 0.5 - 0.75])
     assert select.feature_weights([2.0], {}) == [0.0]
+
+
+def test_ids_must_be_unique(spark):
+    rows = [(k % 9, float(k), None if k % 4 == 0 else float(k * k)) for k in range(10)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    for model in (impute.FCMKIterativeImputer(n_clusters=2, max_FCM_iter=2), impute.FCMDTIterativeImputer(min_samples_leaf=2)):
+        with pytest.raises(ValueError, match="unique"):
+            model.fit(df).transform(df)
+
+
+@pytest.mark.parametrize(
+    "new, old, mask, want",
+    [([1.0, 2.0], [0.0, 4.0], [True, True], 1.5), ([1.0, 2.0], [0.0, 4.0], [True, False], 1.0), ([1.0, 2.0], [0.0, 4.0], [False, False], 0.0), ([None, 2.0], [0.0, 4.0], [True, True], 2.0), ([1.0, 1.0], [1.0, 1.0], [True, True], 0.0)],
+)
+def test_mean_masked_change(spark, new, old, mask, want):
+    df = spark.createDataFrame([tuple(new + old + mask)], "a double, b double, c double, d double, m boolean, n boolean")
+    assert df.agg(D.mean_masked_change(["a", "b"], ["c", "d"], ["m", "n"])).first()[0] == want
+
+
+def test_granules_of_no_feature_and_without_reach(spark):
+    df = spark.createDataFrame([(k, 1.0, "x") for k in range(3)], "id long, v double, c string")
+    assert [r["size"] for r in granules.set_sizes(df, [], "id").collect()] == [0.0] * 3
+    assert [r["size"] for r in granules.set_sizes(df, granules.describe(df, ["v"], 0.5), "id").collect()] == [3.0] * 3
+
+
+def test_quadratic_form_equals_numpy(spark):
+    w = [[1.0, 0.5], [0.5, 2.0]]
+    df = spark.createDataFrame([(0, 1.0, 2.0, "a"), (1, 4.0, None, "a"), (2, 0.0, 0.0, "a")], "id long, u double, v double, y string")
+    got = {(r.a_id, r.b_id): r.d for r in hec.hybrid_distances(df, ["u", "v"], "id", "y", w).collect()}
+    x = {0: (1.0, 2.0), 1: (4.0, None), 2: (0.0, 0.0)}
+    for (a, b), d in got.items():
+        gap = np.array([1.0 if p is None or q is None else abs(p - q) for p, q in zip(x[a], x[b], strict=True)])
+        assert d == pytest.approx(np.sqrt(gap @ np.array(w) @ gap))
+    assert len(got) == 6
+
+
+def test_blocks_meet_all_pairs(spark, monkeypatch):
+    from hazeframe.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 2)
+    df = spark.createDataFrame([(k, float(k % 5), "ab"[k % 2]) for k in range(11)], "id long, u double, y string")
+    pairs = hec.hybrid_distances(df, ["u"], "id", "y").collect()
+    assert sorted((r.a_id, r.b_id) for r in pairs) == [(a, b) for a in range(11) for b in range(11) if a != b and a % 2 == b % 2]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_interpolation_is_by_order_then_id(spark, parts):
+    rows = [(k, float(k // 2), None if k % 3 else float(k)) for k in range(40)] + [(40, 99.0, None)]
+    df = spark.createDataFrame(rows, "id long, t double, v double").repartition(parts)
+    got = [r.v for r in impute.interpolate(df, ["v"], "t", "id").orderBy("id").collect()]
+    want = pd.Series([r[2] for r in rows]).interpolate(limit_direction="both")
+    assert np.allclose(got, want)
+    both = impute.interpolate(df, ["t", "v"], "t", "id")
+    assert both.columns == ["id", "t", "v"] and both.count() == 41
+
+
+def test_samples_are_by_arithmetic_or_hash(spark):
+    df = spark.range(100)
+    assert {r.id for r in R.stable_sample(df, "id", 10, 3).collect()} == {r.id for r in R.stable_sample(df.repartition(5), "id", 10, 3).collect()}
+    assert R.stable_sample(df.select(F.col("id").cast("string").alias("id")), "id", 10, 3).count() == 10
