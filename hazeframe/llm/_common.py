@@ -45,11 +45,38 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/hazeframe/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows after a write to the shared folder: lineage ends there, so a lost executor costs no earlier stage."""
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows after a write to the shared folder, and where they lie: lineage ends there, so a lost executor costs no earlier stage."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    return stored_at(df, label)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what was stored, once no result is read from it any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+class Scratch:
+    """Tables that an operator stores on its way; `clear` removes all but those that its result reads."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = stored_at(df, label)
+        self.paths.append(path)
+        return out
+
+    def clear(self, keep: int = 0) -> None:
+        """Removes all tables but the last `keep`."""
+        while len(self.paths) > keep:
+            remove(self.spark, self.paths.pop(0))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -4,28 +4,29 @@ Each language is a distribution over byte trigrams of lower-cased text. A docume
 expectation-maximisation estimates the document's proportions. Of the sets of its k most likely languages, the one with the
 largest penalised likelihood is kept, and its proportions are estimated once more. The prediction is the largest of them.
 
-The distributions are fitted on a bounded sample (SAMPLE rows of each of at most LANGUAGES languages, texts of up to SAMPLE_BYTES);
-the prediction reads every whole text. A text that is null or has no letter is `und`, as is every text where nothing was
-learned. Rows repeat as they come. Ties go to the language that sorts first.
+The distributions are counted over all whole texts whose language is known, whatever their number and length: workers add up
+trigrams by language, and only the counts of the TRIGRAMS chosen ones reach the driver. The prediction reads every whole text. A
+text that is null or has no letter is `und`, as is every text where nothing was learned. Rows repeat as they come; an empty table
+gives no rows. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
 
-SAMPLE, SAMPLE_BYTES, LANGUAGES = 1500, 20_000, 64
 #: Trigrams with a place of their own; all others share one.
 TRIGRAMS = 3072
+#: Distinct trigrams that a worker holds before it hands them on, and codes that it counts at once.
+FLUSH, CODES = 1 << 20, 1 << 22
 STEPS = 20
 #: For each language beyond the first, times the logarithm of the number of trigrams. Trigrams overlap, so three of them tell what one would.
 PENALTY = 3.0
@@ -50,24 +51,68 @@ def codes(text: str) -> np.ndarray:
     return data[:-2] << 16 | data[1:-1] << 8 | data[2:]
 
 
-def train(rows: list[tuple[str, str]]) -> Model | None:
-    """rows: (text, language)."""
-    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-    for text, language in rows:
-        found[language].append(np.unique(codes(text), return_counts=True))
-    if not found:
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """docs (text, lang; not null) to (lang, gram, n); each worker adds up before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[np.ndarray]] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
+
+        def add() -> None:
+            for lang, parts in waiting.items():
+                own, n = np.unique(np.concatenate(parts), return_counts=True)
+                if lang in held:
+                    before, m = held[lang]
+                    both, index = np.unique(np.concatenate([before, own]), return_inverse=True)
+                    held[lang] = both, np.bincount(index, np.concatenate([m, n])).astype(np.int64)
+                else:
+                    held[lang] = own, n.astype(np.int64)
+            waiting.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (own, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.int32()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+            held.clear()
+
+        for batch in C.slices(batches):
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                own = codes(text)
+                waiting.setdefault(lang, []).append(own)
+                size += len(own)
+                if size > CODES:
+                    add()
+                    size = 0
+                    if sum(len(own) for own, _ in held.values()) > FLUSH:
+                        yield from out()
+        add()
+        yield from out()
+        C.release_memory()
+
+    return docs.select("text", "lang").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, learn: Column | None = None) -> Model | None:
+    """docs (doc_id, text, lang). learn: a condition on doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
+    C.bound_batches(docs.sparkSession)
+    counts, path = C.stored_at(trigram_counts(rows.filter(learn) if learn is not None else rows), "trigrams")
+    whole = {row["lang"]: row["n"] for row in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not whole:
         return None
-    languages = sorted(found)
-    known = np.unique(np.concatenate([own for parts in found.values() for own, _ in parts]))
-    counts = np.zeros((len(languages), len(known)))
-    for k, language in enumerate(languages):
-        for own, n in found[language]:
-            counts[k, np.searchsorted(known, own)] += n
-    whole = counts.sum(axis=1, keepdims=True)
-    weight = (counts / np.maximum(whole, 1)).max(axis=0)
-    chosen = np.sort(np.argsort(-weight, kind="stable")[:TRIGRAMS])
-    own = np.concatenate([counts[:, chosen], whole - counts[:, chosen].sum(axis=1, keepdims=True)], axis=1) + 0.5
-    return Model(languages, known[chosen], (own / own.sum(axis=1, keepdims=True)).astype(np.float32))
+    # a trigram's weight is its largest share of a language
+    totals = F.broadcast(docs.sparkSession.createDataFrame(list(whole.items()), "lang string, whole long"))
+    weights = counts.join(totals, "lang").groupBy("gram").agg(F.max(F.col("n") / F.col("whole")).alias("weight"))
+    chosen = weights.orderBy(F.desc("weight"), "gram").limit(TRIGRAMS).select("gram")  # TRIGRAMS rows at most
+    own = counts.join(F.broadcast(chosen), "gram").collect()
+    C.remove(docs.sparkSession, path)
+    grams = np.unique(np.array([row["gram"] for row in own], np.int64))
+    languages = sorted(whole)
+    place = {lang: k for k, lang in enumerate(languages)}
+    table = np.full((len(languages), len(grams) + 1), 0.5)
+    table[[place[row["lang"]] for row in own], np.searchsorted(grams, [row["gram"] for row in own])] += [row["n"] for row in own]
+    table[:, -1] += np.array([whole[lang] for lang in languages]) - (table[:, :-1] - 0.5).sum(axis=1)
+    return Model(languages, grams, (table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
 _tables: dict[int, np.ndarray] = {}
@@ -104,28 +149,18 @@ def infer(texts: list[str], model: Model) -> np.ndarray:
     rank = np.argsort(np.argsort(-everything, axis=1, kind="stable"), axis=1)
     price = PENALTY * np.log(counts.sum(axis=1) + 1)
     best, kept = np.full(len(texts), -np.inf), np.zeros((len(texts), n), np.float32)
+    left = np.arange(len(texts))  # a document leaves where one more language doesn't pay
     for k in range(1, n + 1):
-        p, likelihood = mixture(counts, shares, rank < k)
-        better = likelihood - (k - 1) * price > best
-        best[better], kept[better] = (likelihood - (k - 1) * price)[better], p[better]
-        if not better.any():
+        p, likelihood = mixture(counts[left], shares, rank[left] < k)
+        value = likelihood - (k - 1) * price[left]
+        better = value > best[left]
+        left = left[better]
+        best[left], kept[left] = value[better], p[better]
+        if not len(left):
             break
     return kept
 
 
-def fit(docs: DataFrame, learn: Column | None = None) -> Model | None:
-    """docs (doc_id, text, lang). learn: a condition on doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    rows = rows.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = rows.filter(learn) if learn is not None else rows
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).drop("count")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE).select("doc_id").distinct()
-    # the ids are SAMPLE * LANGUAGES at most
-    sample = rows.join(F.broadcast(chosen), "doc_id").join(F.broadcast(common), "lang").select("text", "lang").collect()
-    return train([(row["text"], row["lang"]) for row in sample])
-
-
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and languages (array of (lang, share), largest first); all columns pass through, those of these names are replaced."""
     others = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
@@ -151,6 +186,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 start = end
             columns = [batch.column("row"), pa.array([f[0]["lang"] if f else UNDETERMINED for f in found], pa.string()), pa.array([f[0]["share"] if f else 0.0 for f in found], pa.float64()), pa.array(found, pairs)]
             yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score", "languages"])
+        C.release_memory()
 
     C.bound_batches(docs.sparkSession)
     packed = docs.select(F.struct(*others).alias("row"), F.col("text").alias("text"))
