@@ -3,10 +3,12 @@
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased. A key of at least `min_chars` code points that
 at least two documents hold loses all its lines except in the smallest doc_id that holds it.
 
-One scan puts each document's distinct keys into a pair of filters of fixed size: once-seen and twice-seen, merged by slices,
-so that a bit that two documents (or two keys) set ends in the second. A second scan asks the broadcast twice-seen filter.
-Documents without a suspected key pass through and are never shuffled. Suspected keys go, as SHA-256, to an exact count; false
-alarms of the filter end there, and a full filter costs shuffle, never results.
+One scan puts each document's distinct keys into a pair of filters: once-seen and twice-seen, merged by slices, so that a bit that
+two documents (or two keys) set ends in the second. Their size follows the input's bytes, between MIN_BITS and MAX_BITS. A second
+scan asks the broadcast twice-seen filter; only ids and SHA-256 digests of suspected keys go to an exact count, false alarms of the
+filter end there, and a full filter costs shuffle, never results. Documents without a suspected key pass through and are never
+shuffled; the others meet the digests that they lose. Keys that very many documents hold (there are HOT at most) are broadcast, so
+that no task holds all of a key's documents.
 
 Null texts count as one empty line and stay null. A null doc_id counts as the largest one. Rows with the same doc_id are one
 document. Extra columns pass through; one named like a result is replaced. An empty table gives no rows.
@@ -15,7 +17,8 @@ document. Extra columns pass through; one named like a result is replaced. An em
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,14 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MIN_CHARS = 10
-#: log2 of each filter's bits; 2**28 bits are the 32 MB that are broadcast, whatever the input.
-FILTER_BITS = 28
+#: log2 of each filter's bits, at least and at most; 2**30 bits are the 128 MB that are broadcast at most, whatever the input.
+MIN_BITS, MAX_BITS = 20, 30
+#: Filter bits for each byte of text: a key has ten bytes or more.
+BITS_PER_BYTE = 0.5
+#: Keys that are held by more than a HOT-th of all suspected lines count as very frequent.
+HOT = 4096
+#: Hashes that a worker gathers before it hands bits on.
+FLUSH = 1 << 20
 #: log2 of the bits of a slice, the unit in which filters are merged.
 SLICE_BITS = 20
 WHITE = b" \t\n\x0b\x0c\r"
@@ -52,20 +61,35 @@ def _hashes(document: bytes, min_chars: int) -> set[int]:
     return {xxhash.xxh3_64_intdigest(key) for key in set(keys(document, min_chars)) if key is not None}
 
 
-def twice_seen(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> np.ndarray:
+def filter_bits_for(docs: DataFrame) -> int:
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(1 + size * BITS_PER_BYTE))))
+
+
+def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     """The twice-seen filter of docs (text), packed bits."""
     part = min(SLICE_BITS, bits)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [h for text in C.as_bytes(batch.column("text")) for h in _hashes(text, min_chars)]
-            first, second = places(np.array(own, np.uint64), bits)
+        held: list[int] = []
+
+        def out() -> pa.RecordBatch:
+            first, second = places(np.array(held, np.uint64), bits)
+            held.clear()
             # a key's own two bits may be one
             both = np.concatenate([first, second[first != second]])
             found, counts = np.unique(both, return_counts=True)
             cuts = np.flatnonzero(np.diff(found >> part)) + 1
             rows = [(int(f[0] >> part), f.tobytes(), f[c > 1].tobytes()) for f, c in zip(np.split(found, cuts), np.split(counts, cuts), strict=True) if len(f)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "once", "twice"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "once", "twice"])
+
+        for batch in C.slices(batches):
+            for text in C.as_bytes(batch.column("text")):
+                held.extend(_hashes(text, min_chars))
+                if len(held) > FLUSH:
+                    yield out()
+        yield out()
+        C.release_memory()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, seen, again = None, None, None
@@ -97,59 +121,77 @@ def twice_seen(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_B
     return whole
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """docs (doc_id, text and any others) with text cleaned, and n_lines (before), n_dropped, long."""
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, filter_bits: int | None = None) -> DataFrame:
+    """docs (doc_id, text and any others) with text cleaned, and n_lines (before), n_dropped, long. filter_bits: log2 of the filters' bits, by the input's size if None."""
     spark = docs.sparkSession
     C.bound_batches(spark)
+    bits = filter_bits_for(docs) if filter_bits is None else filter_bits
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    twice = spark.sparkContext.broadcast(twice_seen(docs, min_chars, filter_bits))
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    # the text goes by itself, so that no row holds it twice
+    rows = docs.select(F.struct(*(c for c in others if c != "text"), F.col("text").isNull().alias("__null")).alias("row"), ids.alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    twice = spark.sparkContext.broadcast(twice_seen(docs, min_chars, bits))
 
     def suspected(text: bytes) -> list[bytes]:
         own = sorted({key for key in keys(text, min_chars) if key is not None})
         if not own:
             return []
-        bits = twice.value
+        table = twice.value
         hit = np.ones(len(own), bool)
-        for p in places(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), filter_bits):
-            hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+        for p in places(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), bits):
+            hit &= (table[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
         return [own[k] for k in np.flatnonzero(hit)]
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             found = [[hashlib.sha256(key).digest() for key in suspected(text)] for text in C.as_bytes(batch.column("text"))]
-            held = pa.array([bool(f) for f in found], pa.bool_())
-            yield batch.append_column("digests", pa.array(found, pa.list_(pa.binary()))).filter(held)
-
-    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches):
-            documents = C.as_bytes(batch.column("text"))
-            held = pa.array([not suspected(text) for text in documents], pa.bool_())
-            lines = pa.array([text.count(b"\n") + 1 for text in documents], pa.int64())
-            yield batch.append_column("n_lines", lines).append_column("n_dropped", pa.array([0] * len(documents), pa.int64())).filter(held)
+            flat = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(flat)), pa.array([d for f in found for d in f], pa.binary())], ["id", "digest"])
+        C.release_memory()
+
+    def parted(clear: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in C.slices(batches):
+                documents = C.as_bytes(batch.column("text"))
+                held = pa.array([(not suspected(text)) == clear for text in documents], pa.bool_())
+                if not clear:
+                    yield batch.filter(held)
+                    continue
+                lines = pa.array([text.count(b"\n") + 1 for text in documents], pa.int64())
+                yield batch.append_column("n_lines", lines).append_column("n_dropped", pa.array([0] * len(documents), pa.int64())).filter(held)
+            C.release_memory()
+
+        return run
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             texts, n_lines, n_dropped = [], [], []
-            for text, digests in zip(C.as_bytes(batch.column("text")), batch.column("drops").to_pylist(), strict=True):
+            for text, gone in zip(C.as_bytes(batch.column("text")), batch.column("drops").to_pylist(), strict=True):
                 lines = text.split(b"\n")
-                gone = set(digests or ())
+                gone = set(gone or ())
                 keep = [line for line, key in zip(lines, keys(text, min_chars), strict=True) if key is None or hashlib.sha256(key).digest() not in gone] if gone else lines
                 texts.append(b"\n".join(keep).decode("utf-8", "replace"))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(keep))
             columns = [batch.column("row"), batch.column("id"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "text", "n_lines", "n_dropped"])
+        C.release_memory()
 
-    with_digests = rows.withColumn("digests", F.lit(None).cast("array<binary>")).schema
     counted = rows.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
-    kept = C.stored(rows.mapInArrow(suspects, with_digests), "suspects")
-    links = kept.select("id", F.explode("digests").alias("digest"))
-    repeated = links.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest", "first")
-    drops = links.join(repeated, "digest").filter("id > first").groupBy("id").agg(F.collect_set("digest").alias("drops"))
-    cleaned = kept.select("row", "id", "text").join(drops, "id", "left").select("row", "id", "text", "drops").mapInArrow(drop, counted)
-    out = rows.mapInArrow(clear, counted).unionByName(cleaned)
-    changed = F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.col("text"))
+    links, links_at = C.stored_at(rows.select("id", "text").mapInArrow(digests, "id long, digest binary"), "suspects")
+    repeated = links.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("first < last")
+    repeated, repeated_at = C.stored_at(repeated.select("digest", "first", "n"), "repeated")
+    most = 1 + links.count() // HOT
+    few, many = (repeated.filter(condition).select("digest", "first") for condition in (F.col("n") <= most, F.col("n") > most))
+    met = links.join(F.broadcast(many), "digest", "left").withColumnRenamed("first", "often")  # HOT rows at most
+    rare = met.filter("often IS NULL").drop("often").join(few, "digest").filter("id > first").select("id", "digest")
+    gone = met.filter("id > often").select("id", "digest").unionByName(rare)
+    drops, _ = C.stored_at(gone.groupBy("id").agg(F.collect_set("digest").alias("drops")), "drops")
+    for path in (links_at, repeated_at):
+        C.remove(spark, path)
+    cleaned = rows.mapInArrow(parted(False), rows.schema).join(drops, "id", "left").select("row", "id", "text", "drops").mapInArrow(drop, counted)
+    out = rows.mapInArrow(parted(True), counted).unionByName(cleaned)
+    changed = F.when(~F.col("row").getField("__null"), F.col("text"))
     return out.select(*(changed.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in others), "n_lines", "n_dropped")
 
 
