@@ -11,6 +11,7 @@ the largest one in the choice of the smallest. Rows repeat as they come; extra c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -225,9 +226,15 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS, balls:
     return prints.join(groups, "w0").select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Near-duplicates share SIMILAR of their shingles. Candidates come from fingerprints of 64 x SIMILAR_WORDS bits: they agree in all
-#: SIMILAR_BITS sampled bits of one of SIMILAR_TABLES tables and differ in at most SIMILAR_RADIUS bits of all. Their shingles decide.
-SIMILAR, SIMILAR_WORDS, SIMILAR_TABLES, SIMILAR_BITS, SIMILAR_RADIUS = (4, 5), 3, 96, 14, 56
+#: Near-duplicates share SIMILAR of their shingles. Candidates come from fingerprints of 64 x SIMILAR_WORDS bits: they meet in a bucket
+#: and differ in at most SIMILAR_RADIUS bits of all. Their shingles decide.
+SIMILAR, SIMILAR_WORDS, SIMILAR_RADIUS = (4, 5), 3, 56
+#: Fingerprints that meet in one group, about; tables within a group; members of a bucket by chance, as a power of two.
+TOGETHER, TABLES, CHANCE = 1 << 15, 8, 3
+#: Bands are as many as it takes to miss at most MISSED of pairs that differ in UNLIKE bits; at a similarity of SIMILAR, 29 differ on average and one pair in 40 in more than UNLIKE.
+UNLIKE, MISSED = 40, 0.01
+#: A bucket with more members is not compared pair by pair, and a node with more partners still apart is resolved by its rare shingles.
+CROWD, PARTNERS = 2048, 64
 
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
@@ -246,132 +253,238 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * shared >= SIMILAR[0] * (len(a) + len(b) - shared)
 
 
+def set_node(own: np.ndarray) -> int:
+    """A set's number: a hash of its shingles."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """id (a null doc_id as the largest) and text."""
+    return C.texts(docs).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text")
+
+
 def set_prints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), size (of the set), w0, ..., text."""
+    """id, node, size (of the set of shingles), w0, ..."""
     names = [f"w{k}" for k in range(SIMILAR_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             sets = [shingle_set(text, words) for text in C.as_bytes(batch.column("text"))]
             own = np.stack([set_fingerprint(s) for s in sets]).view(np.int64)
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(own[:, k]) for k in range(SIMILAR_WORDS)), batch.column("text")]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", *names, "text"])
+            columns = [batch.column("id"), pa.array([set_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(own[:, k]) for k in range(SIMILAR_WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "size", *names])
         C.release_memory()
 
     C.bound_batches(docs.sparkSession)
-    return C.texts(docs).mapInArrow(run, "doc_id long, node long, size long, " + ", ".join(f"{n} long" for n in names) + ", text string")
+    return _identified(docs).mapInArrow(run, "id long, node long, size long, " + ", ".join(f"{n} long" for n in names))
 
 
-def sampled_bits() -> np.ndarray:
-    """SIMILAR_TABLES rows of bit numbers, the same everywhere."""
+def layout(n: int) -> tuple[int, int, int]:
+    """For n fingerprints: bits that route a fingerprint to its group, bits of a segment, bands.
+
+    Groups hold about TOGETHER fingerprints and buckets 2 ** CHANCE of them by chance, so both stay small as n grows; the bands make up
+    for what the routes then miss.
+    """
+    route = max(0, math.ceil(math.log2(max(1, n) / TOGETHER)))
+    segment = min(14, max(6, math.ceil(math.log2(max(2, n))) - CHANCE - route))
+    same = 1 - UNLIKE / (64 * SIMILAR_WORDS)
+    table = same**segment + segment * same ** (segment - 1) * (1 - same)
+    band = same**route * (1 - (1 - table) ** TABLES)
+    return route, segment, max(2, math.ceil(math.log(MISSED) / math.log(1 - band)))
+
+
+def sampled_bits(route: int, segment: int, bands: int) -> np.ndarray:
+    """For each band its bit numbers: the route's, then those of each segment; the same everywhere."""
     random = np.random.default_rng(SEED)
-    return np.stack([random.permutation(64 * SIMILAR_WORDS)[:SIMILAR_BITS] for _ in range(SIMILAR_TABLES)])
+    return np.stack([random.permutation(64 * SIMILAR_WORDS)[: route + TABLES * segment] for _ in range(bands)])
+
+
+def _value(bits: np.ndarray) -> np.ndarray:
+    """Numbers from their bits (rows)."""
+    return (bits.astype(np.int64) << np.arange(bits.shape[1])).sum(axis=1)
 
 
-def _near(words: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs may be alike, by distance and by the sizes of their sets."""
+def _unpacked(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+
+
+def _fits(words: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs may be alike, by the sizes of their sets and by distance."""
     fits = SIMILAR[1] * np.minimum(sizes[a], sizes[b]) >= SIMILAR[0] * np.maximum(sizes[a], sizes[b])
     fits[fits] = distances(words[a[fits]], words[b[fits]]) <= SIMILAR_RADIUS
     return fits
 
 
-def _across(label: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All near pairs with different labels: the members of each label, the rarest first, against those of labels that come later."""
-    _, which, counts = np.unique(label, return_inverse=True, return_counts=True)
-    order = np.lexsort((which, counts[which]))
-    ends = np.flatnonzero(np.concatenate([which[order][1:] != which[order][:-1], [True]])) + 1
-    a, b, begin = [], [], 0
-    for end in ends.tolist():
-        for at in range(begin, end, 64):
-            step = order[at : min(at + 64, end)]
-            x, y = np.nonzero(distances(words[step][:, None], words[order[end:]][None]) <= SIMILAR_RADIUS)
-            a.append(step[x])
-            b.append(order[end + y])
-        begin = end
-    return np.concatenate(a), np.concatenate(b)
-
-
-def candidate_pairs(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, words: np.ndarray, clusters: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Members of buckets to pairs (a < b) of nodes that may be alike. clusters None: pairs enough to connect what near pairs connect; else all near pairs of different clusters."""
-    own, first, index = np.unique(nodes, return_index=True, return_inverse=True)
-    words, sizes = words[first], sizes[first]
-    label = np.arange(len(own)) if clusters is None else clusters[first]
-    order = np.argsort(keys, kind="stable")
-    keys, index = keys[order], index[order]
-    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.concatenate([begins, [len(keys)]]))
-    found = [np.zeros((2, 0), np.int64)]
-    for begin, count in zip(begins[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
-        members = index[begin : begin + count]
-        a, b = (members[x] for x in (_search(words[members], SIMILAR_RADIUS) if clusters is None else _across(label[members], words[members])))
-        near = _near(words, sizes, a, b)
-        found.append(np.stack([a[near], b[near]]))
-        if clusters is None:
-            _merge(label, a[near], b[near])
-    left = np.repeat(counts, counts)
-    left = np.where(left > SMALL, 0, np.repeat(begins + counts, counts) - np.arange(len(keys)) - 1)
-    at, shift = np.flatnonzero(left), 0
-    while len(at):
-        shift += 1
-        at = at[left[at] >= shift]
-        a, b = index[at], index[at + shift]
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        near = _near(words, sizes, a, b)
-        found.append(np.stack([a[near], b[near]]))
-        if clusters is None:
-            _merge(label, a[near], b[near])
-    pairs = np.concatenate(found, axis=1)
-    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-    return own[pairs[0]], own[pairs[1]]
+def _matches(key: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs of members of one table whose keys differ in one bit at most: for each number in the ball around a key, the table's matches. (members, their partners, False), a bounded number at once; crowds, which are not paired, as (members, members of the other bucket, True)."""
+    order = np.argsort(key, kind="stable")
+    offsets = np.searchsorted(key[order], np.arange((1 << segment) + 1))
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))
+    for crowd in np.flatnonzero(np.diff(offsets) > CROWD).tolist():
+        members = order[offsets[crowd] : offsets[crowd + 1]]
+        yield members, members, True
+    for flip in ball(segment, 1).astype(np.int64).tolist():
+        probes = np.flatnonzero(key & flip == 0)
+        wanted = key[probes] | flip
+        begin = place[probes] + 1 if flip == 0 else offsets[wanted]
+        n = offsets[wanted + 1] - begin
+        crowded = np.diff(offsets)[wanted] > CROWD
+        if flip and crowded.any():
+            for bucket in np.unique(wanted[crowded]).tolist():
+                yield probes[wanted == bucket], order[offsets[bucket] : offsets[bucket + 1]], True
+        n = np.where(crowded, 0, n)
+        begin, probes, n = begin[n > 0], probes[n > 0], n[n > 0]
+        ends = np.cumsum(n)
+        for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
+            low, high = np.searchsorted(ends, at, side="right"), np.searchsorted(ends, min(at + (1 << 20), int(ends[-1])), side="left") + 1
+            own = n[low:high]
+            first = np.repeat(np.cumsum(own) - own, own)
+            within = np.arange(own.sum()) - first
+            a, b = np.repeat(probes[low:high], own), order[np.repeat(begin[low:high], own) + within]
+            spot = np.repeat(ends[low:high] - own, own) + within
+            now = (spot >= at) & (spot < at + (1 << 20))
+            yield a[now], b[now], False
+
+
+def spanning_pairs(words: np.ndarray, sizes: np.ndarray, keys: list[np.ndarray], segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may be alike, enough to connect what such pairs connect. In a crowd also each member with the one that is nearest to their majority, as copies are alike to their source before each other."""
+    label, found = np.arange(len(words)), [np.zeros(0, np.int64)]
+    for key in keys:
+        for a, b, crowd in _matches(key, segment):
+            if crowd:
+                if a is not b:
+                    continue
+                middle = np.packbits(2 * _unpacked(words[a]).sum(axis=0, dtype=np.int64) > len(a), bitorder="little").view("<u8")
+                hub = a[distances(words[a], middle[None]).argmin()]
+                x, y = _search(words[a], SIMILAR_RADIUS)
+                a, b = np.concatenate([a[x], np.full(len(a), hub)]), np.concatenate([b[y], a])
+                a, b = a[a != b], b[a != b]
+            else:
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+            fits = _fits(words, sizes, a, b)
+            a, b = a[fits], b[fits]
+            found.append(np.minimum(a, b) * len(words) + np.maximum(a, b))
+            _merge(label, a, b)
+    return np.divmod(np.unique(np.concatenate(found)), len(words))
+
+
+def pairs_apart(words: np.ndarray, sizes: np.ndarray, cluster: np.ndarray, keys: list[np.ndarray], segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of different clusters that may be alike, but those between two of the nodes that are told third: with more than PARTNERS such pairs, or in a crowd of several clusters."""
+    many, held = np.zeros(len(words), bool), np.zeros(0, np.int64)
+    for key in keys:
+        for a, b, crowd in _matches(key, segment):
+            if crowd:
+                if len(np.unique(cluster[np.concatenate([a, b])])) > 1:
+                    many[a] = many[b] = True
+                continue
+            apart = (cluster[a] != cluster[b]) & ~(many[a] & many[b])
+            a, b = a[apart], b[apart]
+            fits = _fits(words, sizes, a, b)
+            if fits.any():
+                held = np.unique(np.concatenate([held, (np.minimum(a, b) * len(words) + np.maximum(a, b))[fits]]))
+                a, b = np.divmod(held, len(words))
+                many |= np.bincount(a, minlength=len(words)) + np.bincount(b, minlength=len(words)) > PARTNERS
+                held = held[~(many[a] & many[b])]
+    return *np.divmod(held, len(words)), np.flatnonzero(many)
 
 
 def candidates(points: DataFrame) -> DataFrame:
-    """points (node: distinct; size, w0, ..., and cluster if pairs within one are not wanted) to (a, b), a < b, repeats included: see candidate_pairs."""
-    sample = sampled_bits()
+    """points (node: distinct; size, w0, ..., and cluster in the second round) to (a, b, d), repeats included: pairs of nodes that may be alike, and their distance. First round: spanning_pairs; second: pairs_apart, a node of many partners as b null."""
+    n_points = points.count()
+    route, segment, bands = layout(n_points)
+    sample = sampled_bits(route, segment, bands)
     names = ["node", "size", *(f"w{k}" for k in range(SIMILAR_WORDS)), *(["cluster"] if "cluster" in points.columns else [])]
-    groups = 1 + points.count() * SIMILAR_TABLES // MEET
-    parts = ["keys", "nodes", "sizes", "words", "clusters"]
+    parts = ["nodes", "sizes", "words", "clusters"]
+    C.bound_batches(points.sparkSession)
+
+    def words_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(f"w{k}").to_numpy().view(np.uint64) for k in range(SIMILAR_WORDS)], axis=1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, 1 << 16):
+            bits = _unpacked(words_of(batch))
+            found = [np.unique(_value(bits[:, sample[band, :route]]) | band << 40, return_counts=True) for band in range(bands)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], ["group", "n"])
+
+    large: dict[int, int] = {}  # groups far beyond TOGETHER, as copies make them: a few, each with further bits for its route
+    if n_points > 8 * TOGETHER:
+        sizes = points.select(*names[2 : 2 + SIMILAR_WORDS]).mapInArrow(count, "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
+        large = {row["group"]: min(40 - route, math.ceil(math.log2(row["n"] / TOGETHER))) for row in sizes.filter(F.col("n") > 8 * TOGETHER).collect()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches, 1024):
-            column = {n: batch.column(n).to_numpy() for n in names}
-            words = np.stack([column[f"w{k}"].view(np.uint64) for k in range(SIMILAR_WORDS)], axis=1)
-            bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-            keys = np.zeros((len(words), SIMILAR_TABLES), np.uint32)
-            for k in range(SIMILAR_BITS):
-                keys |= bits[:, sample[:, k]].astype(np.uint32) << np.uint32(k)
-            keys = (keys | np.arange(SIMILAR_TABLES, dtype=np.uint32) << np.uint32(SIMILAR_BITS)).ravel()
-            which = np.repeat(np.arange(len(words)), SIMILAR_TABLES)
-            group = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % groups
-            order = np.argsort(group, kind="stable")
-            group, keys, which = group[order], keys[order], which[order]
-            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-            held = [column["node"], column["size"].astype(np.int32), words, column.get("cluster", np.zeros(0, np.int64))]
-            rows = [(int(group[a]), keys[a:b].tobytes(), *(x[which[a:b]].tobytes() if len(x) else b"" for x in held)) for a, b in zip(begins, [*begins[1:], len(group)], strict=False)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5), strict=True)], ["group", *parts])
+        for batch in C.slices(batches, 4096):
+            words = words_of(batch)
+            bits = _unpacked(words)
+            held = [batch.column("node").to_numpy(), batch.column("size").to_numpy().astype(np.int32), words, batch.column("cluster").to_numpy() if "cluster" in names else np.zeros(0, np.int64)]
+            rows = []
+            for band in range(bands):
+                to = _value(bits[:, sample[band, :route]])
+                for group, more in large.items():
+                    if group >> 40 == band:
+                        own = np.flatnonzero(to == group & (1 << 40) - 1)
+                        to[own] |= _value(bits[own][:, sample[(band + 1) % bands, route : route + more]]) + 1 << route
+                order = np.argsort(to, kind="stable")
+                begins = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0])) if len(to) else []
+                for at, end in zip(begins, [*begins[1:], len(to)], strict=False):
+                    which = order[at:end]
+                    rows.append((band << 48 | int(to[which[0]]), *(x[which].tobytes() if len(x) else b"" for x in held)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["group", *parts])
         C.release_memory()
 
-    def meet(table: pa.Table) -> pa.Table:
-        keys, nodes, sizes, words, clusters = (np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in zip(parts, (np.uint32, np.int64, np.int32, np.uint64, np.int64), strict=True))
-        a, b = candidate_pairs(keys, nodes, sizes.astype(np.int64), words.reshape(-1, SIMILAR_WORDS), clusters if "cluster" in names else None)
-        return pa.table({"a": a, "b": b})
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, sizes, words, clusters = (np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in zip(parts, (np.int64, np.int32, np.uint64, np.int64), strict=True))
+        words, sizes = words.reshape(-1, SIMILAR_WORDS), sizes.astype(np.int64)
+        band = key[0].as_py() >> 48
+        own = sample[band][route:]
+        # members that even further bits don't part are near copies in masses: each band parts them in its own way, so chance joins the parts
+        shares = 1 + len(nodes) // (8 * TOGETHER)
+        share = (nodes.view(np.uint64) * np.uint64(2 * band + 0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shares
+        out = []
+        for k in range(shares):
+            of = np.flatnonzero(share == k) if shares > 1 else np.arange(len(nodes))
+            bits = _unpacked(words[of])
+            keys = [_value(bits[:, own[t * segment : (t + 1) * segment]]) for t in range(TABLES)]
+            del bits
+            if "cluster" not in names:
+                (a, b), many = spanning_pairs(words[of], sizes[of], keys, segment), np.zeros(0, np.int64)
+            else:
+                a, b, many = pairs_apart(words[of], sizes[of], clusters[of], keys, segment)
+                many = np.arange(len(of)) if shares > 1 else many
+            a, b, many = of[a], of[b], of[many]
+            lone = np.arange(len(a) + len(many)) >= len(a)
+            out.append(pa.table({"a": np.concatenate([nodes[a], nodes[many]]), "b": pa.array(np.concatenate([nodes[b], nodes[many]]), pa.int64(), mask=lone), "d": np.concatenate([distances(words[a], words[b]), np.zeros(len(many), np.int64)])}))
+        C.release_memory()
+        return pa.concat_tables(out)
 
-    C.bound_batches(points.sparkSession)
     dealt = points.select(*names).mapInArrow(deal, "group long, " + ", ".join(f"{n} binary" for n in parts))
-    return dealt.groupBy("group").applyInArrow(meet, "a long, b long")
+    return dealt.groupBy("group").applyInArrow(meet, "a long, b long, d long")
 
 
-def verified(pairs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
-    """Those of pairs (a, b) whose texts are alike by their shingles; only the texts of nodes in pairs move."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = C.stored(prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
-    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+def texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, text) of wanted (node, first: the smallest id that has it); only these texts move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
+            own = [set_node(shingle_set(text, words)) for text in C.as_bytes(batch.column("text"))]
+            yield batch.select(["node", "text"]).filter(pa.array(np.array(own, np.int64) == batch.column("node").to_numpy()))  # rows that share an id may differ
+        C.release_memory()
+
+    met = _identified(docs).join(wanted.withColumnRenamed("first", "id"), "id").select("node", "text")
+    return met.mapInArrow(run, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Those of pairs (a, b) whose texts are alike by their shingles. The text of a node in many pairs goes to several tasks, each with a part of them."""
+    degree = pairs.groupBy("a").agg((F.count("*") / F.lit(512)).cast("int").alias("most"))
+    left = texts.join(degree, texts["node"] == degree["a"]).select("a", F.explode(F.sequence(F.lit(0), "most")).alias("salt"), F.col("text").alias("ta"))
+    salted = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("most") + 1).cast("int").alias("salt"))
+    met = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "salt"]).select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, 64):
             held: dict[int, np.ndarray] = {}  # of one slice only
             fits = []
             for a, b, ta, tb in zip(*(batch.column(n).to_pylist() for n in ("a", "b")), *(C.as_bytes(batch.column(n)) for n in ("ta", "tb")), strict=True):
@@ -385,29 +498,80 @@ def verified(pairs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def similar_components(prints: DataFrame, words: int) -> DataFrame:
-    """set_prints, stored, to (node, first, component): each set once, with the smallest doc_id that has it and that is reachable over pairs that are alike.
+#: Counters by which shingles are ranked; any ranking is right, a good one keeps groups small.
+RANKS = 1 << 18
+
+
+def pairs_by_rare_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """texts (node, cluster, text) to (a, b): all pairs of different clusters that can be alike.
+
+    In one ranking of all shingles, two sets that share SIMILAR of their union share one of the first n - ceil(SIMILAR n) + 1 shingles of
+    each (Chaudhuri et al. 2006), so pairs meet at their rare shingles and what a crowd has in common pairs no one.
+    """
+    spark = texts.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros(RANKS, np.int64)
+        for batch in C.slices(batches):
+            for text in C.as_bytes(batch.column("text")):
+                np.add.at(whole, shingle_set(text, words) & np.uint64(RANKS - 1), 1)
+        used = np.flatnonzero(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(whole[used], pa.int64())], ["rank", "n"])
+
+    ranks = np.zeros(RANKS, np.int64)
+    for row in texts.select("text").mapInArrow(count, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).toLocalIterator():  # RANKS rows at most
+        ranks[row["rank"]] = row["n"]
+    shared = spark.sparkContext.broadcast(ranks)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            sets = [shingle_set(text, words) for text in C.as_bytes(batch.column("text"))]
+            heads = []
+            for own in sets:
+                n = len(own)
+                heads.append(own[np.lexsort((own, shared.value[own & np.uint64(RANKS - 1)]))][: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1])
+            which = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+            columns = [pa.array(np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)), *(batch.column(n).take(pa.array(which)) for n in ("node", "cluster")), pa.array(np.array([len(s) for s in sets], np.int64)[which])]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "node", "cluster", "size"])
+        C.release_memory()
+
+    heads = texts.select("node", "cluster", "text").mapInArrow(first, "shingle long, node long, cluster long, size long")
+    a, b = (heads.select("shingle", F.col("node").alias(x), F.col("cluster").alias(f"c{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (SIMILAR[1] * F.least("na", "nb") >= SIMILAR[0] * F.greatest("na", "nb"))
+    return a.join(b, "shingle").filter(fits).select("a", "b").distinct()
+
+
+def similar_components(docs: DataFrame, words: int, scratch: C.Scratch) -> DataFrame:
+    """(first, component): for each distinct set of shingles the smallest id that has it, and the smallest that is reachable over pairs that are alike.
 
-    First each node is verified with the smallest candidate it has; that joins most of what belongs together, so dense groups
-    don't give all their pairs. Then all candidates that are still apart are verified.
+    First each node is verified with the nearest candidate it has; that joins most of what belongs together, so dense groups don't
+    give all their pairs. Then all candidates that are still apart are verified, those within a crowd by their rare shingles.
     """
     names = [f"w{k}" for k in range(SIMILAR_WORDS)]
-    points = C.stored(prints.groupBy("node", "size", *names).agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first")), "fingerprints")
-    met = C.stored(candidates(points), "met")
-    tried = C.stored(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-    links = C.stored(verified(tried, prints, words), "links")
-    near = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    apart = points.join(near, "node").join(components(links), "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component")
-    more = candidates(C.stored(apart, "apart")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(C.stored(verified(C.stored(more, "more"), prints, words), "links"))
-    sets = points.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
-    return sets.join(sets.groupBy("root").agg(F.min("first").alias("component")), "root").drop("root")
+    points = scratch.stored(set_prints(docs, words).groupBy("node", "size", *names).agg(F.min("id").alias("first")), "fingerprints")
+    met = scratch.stored(candidates(points).groupBy("a", "b").agg(F.min("d").alias("d")), "met")
+    ways = met.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "d"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "d"))).alias("x")).select("x.*")
+    nearest = ways.groupBy("node").agg(F.min(F.struct("d", "other"))["other"].alias("other"))
+    tried = scratch.stored(nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
+    near = ways.select("node").distinct()
+    texts = scratch.stored(texts_of(docs, points.join(near, "node").select("node", "first"), words), "texts")
+    links = scratch.stored(verified(tried, texts, words), "links")
+    clusters = scratch.stored(components(links, scratch), "clusters")
+    apart = scratch.stored(points.join(near, "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component", "first"), "apart")
+    more = scratch.stored(candidates(apart).select("a", "b").distinct(), "more")
+    crowd = more.filter("b IS NULL").select(F.col("a").alias("node"))
+    rare = pairs_by_rare_shingles(texts.join(apart.select("node", "cluster"), "node").join(crowd, "node", "left_semi"), words) if crowd.limit(1).count() else more.limit(0).select("a", "b")
+    ordered = more.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(rare).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(scratch.stored(verified(scratch.stored(ordered, "ordered"), texts, words), "links"))
+    sets = points.select("node", "first").join(components(links, scratch), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    return sets.join(sets.groupBy("root").agg(F.min("first").alias("smallest")), "root").select("first", F.col("smallest").alias("component"))
 
 
 def near_unique(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of docs (doc_id, text and any others) whose doc_id is the smallest of its group of near-duplicates. Rows that share a doc_id are one document."""
-    prints = C.stored(set_prints(docs, words), "prints")
-    kept = similar_components(prints, words).select(F.col("component").alias("__kept")).distinct()
+    scratch = C.Scratch(docs.sparkSession)
+    kept = scratch.stored(similar_components(docs, words, scratch).select(F.col("component").alias("__kept")).distinct(), "kept")
+    scratch.clear(keep=1)
     return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("__kept"), "left_semi")
 
 

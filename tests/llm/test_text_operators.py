@@ -142,12 +142,51 @@ def test_near_unique_is_exact_at_the_threshold(spark):
     assert got == want
 
 
-def test_near_unique_verifies_what_the_first_round_left_apart(spark, monkeypatch):
+@pytest.mark.parametrize("crowd, partners, together", [(2048, 64, 1 << 15), (1, 0, 1 << 15), (2048, 0, 16), (2, 64, 4)])
+def test_near_unique_verifies_what_the_first_round_left_apart(spark, monkeypatch, crowd, partners, together):
     base = [f"w{x}" for x in np.random.default_rng(6).integers(0, 10**6, 300)]
     texts = [" ".join([*base[k * 12 :], *(f"v{x}" for x in range(k * 12))]) for k in range(8)]  # neighbours are alike, the ends are not
-    for small in (simhash.SMALL, 1):
-        monkeypatch.setattr(simhash, "SMALL", small)
-        assert [r.doc_id for r in simhash.near_unique(frame(spark, texts)).collect()] == [0]
+    for name, value in (("CROWD", crowd), ("PARTNERS", partners), ("TOGETHER", together)):
+        monkeypatch.setattr(simhash, name, value)
+    assert [r.doc_id for r in simhash.near_unique(frame(spark, texts)).collect()] == [0]
+
+
+@pytest.mark.parametrize("crowd", [2048, 8])
+def test_near_copies_of_one_source_are_found_though_not_alike_to_each_other(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 204)]  # 200 shingles; 20 of them go: 180 / 220 is alike, 160 / 240 is not
+    copies = []
+    for k in range(60):
+        at = 3 * k
+        copies.append(" ".join([*base[:at], *(f"c{k}_{x}" for x in range(16)), *base[at + 16 :]]))
+    got = {r.doc_id for r in simhash.near_unique(frame(spark, [" ".join(base), *copies, "another text of six words here"])).collect()}
+    assert got == {0, 61}
+
+
+def test_pairs_by_rare_shingles_are_all_that_are_alike(spark):
+    rng = random.Random(8)
+    common = [f"k{x}" for x in range(60)]
+    texts = [" ".join([*common, *(f"r{rng.randrange(40)}" for _ in range(rng.randint(0, 14)))]) for _ in range(60)]
+    df = spark.createDataFrame([(k, k % 50, t) for k, t in enumerate(texts)], "node long, cluster long, text string")
+    got = {(r.a, r.b) for r in simhash.pairs_by_rare_shingles(df, 5).collect()}
+    sets = [simhash.shingle_set(t.encode()) for t in texts]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 50 != b % 50 and simhash.alike(sets[a], sets[b])}
+    assert want and want <= got
+
+
+def test_matches_are_all_pairs_within_one_bit():
+    rng = np.random.default_rng(2)
+    key = rng.integers(0, 64, 300)
+    got = [(min(x, y), max(x, y)) for a, b, crowd in simhash._matches(key, 6) for x, y in zip(a.tolist(), b.tolist(), strict=True) if not crowd]
+    want = {(x, y) for x in range(300) for y in range(x + 1, 300) if (int(key[x]) ^ int(key[y])).bit_count() <= 1}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_layout_keeps_groups_small_and_pairs_met():
+    for n in (0, 1, 50, 10**5, 10**8, 10**11):
+        route, segment, bands = simhash.layout(n)
+        assert route + simhash.TABLES * segment <= 64 * simhash.SIMILAR_WORDS and n / 2**route <= simhash.TOGETHER
 
 
 def test_near_unique_keeps_one_of_each_group(spark):
