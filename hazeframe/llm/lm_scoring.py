@@ -3,12 +3,12 @@
 Tokens are words of A-Z-lower-cased text, split at ASCII white space, and one end for each text. The most frequent tokens are
 classes of their own; the others fall into classes by their last two bytes. The model predicts a token's class from the two
 classes before it: score(c | a, b) = (C1 r_a + C2 r_b) . e_c + bias_c. As the score is a sum over the two places, the
-normaliser of every context comes from one batched matrix product. Within a class of rare tokens, a token has its smoothed share
+normalisers of all contexts come from one matrix product, worked out in blocks; other scores come from the vectors. Within a class of rare tokens, a token has its smoothed share
 of the class, so probabilities add up to one over all known tokens and, for each such class, one unknown one.
 
 Token counts cover all texts that are learned from and stay distributed: workers hold the HEAD most frequent tokens (a fixed
-number); the counts of all others come by a join. The network starts from a bounded sample (SAMPLE rows of up to SAMPLE_BYTES) and
-is then trained over all texts on the executors.
+number); the counts of all others come by a join. The network is trained over all whole texts on the executors: from the same start
+each task goes over its rows, and their weights are averaged; first for one in WARM of the documents, then, from there, for the rest.
 
 Null texts count as empty: one token, the end. Rows repeat as they come; extra columns are ignored; an empty table gives no rows.
 """
@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Tokens whose counts every worker holds; of these, tokens with a class of their own; classes of endings; distinct tokens that a worker counts before it hands them on.
-HEAD, WORDS, ENDINGS, FLUSH = 1 << 17, 1000, 300, 100_000
-SAMPLE, SAMPLE_BYTES = 1500, 20_000
-SIZE, BATCH, NOISE, RATE = 32, 1024, 256, 0.2
-#: In the pass over all texts: noise of a batch, tokens that are shuffled together, sums that reach the driver.
-PASS_NOISE, PIECE, SUMS = 64, 1 << 17, 8
+HEAD, WORDS, ENDINGS, FLUSH = 1 << 17, 2500, 500, 100_000
+SIZE, NOISE, RATE = 32, 64, 0.2
+#: Tokens of a step, in a task's first piece and later.
+EARLY, BATCH = 256, 1024
+#: The share of documents in the first pass; tokens that are shuffled together; tasks' weights that are averaged at once.
+WARM, PIECE, FAN = 8, 1 << 17, 32
 #: No word is empty, so this stands for the end of a text.
 END = b""
 
@@ -48,9 +49,10 @@ class Model:
     own: int  # classes that are one token each; the others are of endings
     endings: dict[bytes, int]
     log_class: np.ndarray  # by class: log10 of the smoothed size of what shares it; 0 for one token
-    first: np.ndarray  # score of a class (columns) by the class before it
-    second: np.ndarray  # by the class before that one
-    log_z: np.ndarray  # natural logarithm of the normaliser by both
+    first: np.ndarray  # a class's vector as the one before the token
+    second: np.ndarray  # as the one before that
+    target: np.ndarray  # as the token's, its bias last
+    log_z: np.ndarray  # natural logarithm of the normaliser by the class before and the one before that
     train_tokens: int
     distinct: int
 
@@ -58,6 +60,11 @@ class Model:
     def start(self) -> int:
         return len(self.first) - 1
 
+    def log_probability(self, classes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Natural logarithms, of classes after a, which come after b."""
+        e = self.target[classes]
+        return ((self.first[a] + self.second[b]) * e[:, :-1]).sum(axis=1) + e[:, -1] - self.log_z[a, b]
+
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(C.ASCII_LOWER).split()
@@ -102,18 +109,18 @@ def _noise(shares: np.ndarray) -> np.ndarray:
     return noise / noise.sum()
 
 
-def learn(p: Network, seen: Network, sequences: list[np.ndarray], shares: np.ndarray, random: np.random.Generator, false_ones: int) -> None:
+def learn(p: Network, seen: Network, sequences: list[np.ndarray], shares: np.ndarray, random: np.random.Generator, batch: int = BATCH) -> None:
     """One pass over the classes of texts, in place. shares: the noise, each class's share of tokens."""
     n, start = len(shares), len(shares)
     own = [np.concatenate([[start, start], s]) for s in sequences]
     triples = np.concatenate([np.stack([s[1:-1], s[:-2], s[2:]], axis=1) for s in own]) if own else np.zeros((0, 3), np.int64)
     noise = _noise(shares)
-    log_noise = np.log(noise * false_ones).astype(np.float32)
+    log_noise = np.log(noise * NOISE).astype(np.float32)
     cumulated = np.cumsum(noise)
     order = random.permutation(len(triples))
-    for at in range(0, len(order), BATCH):
-        a, b, target = triples[order[at : at + BATCH]].T
-        false = np.minimum(np.searchsorted(cumulated, random.random(false_ones)), n - 1)
+    for at in range(0, len(order), batch):
+        a, b, target = triples[order[at : at + batch]].T
+        false = np.minimum(np.searchsorted(cumulated, random.random(NOISE)), n - 1)
         ra, rb, et, ef = p["r"][a], p["r"][b], p["e"][target], p["e"][false]
         q = ra * p["c"][0] + rb * p["c"][1]
         dt = _sigmoid((q * et).sum(axis=1) + p["b"][target] - log_noise[target]) - 1
@@ -132,16 +139,11 @@ def learn(p: Network, seen: Network, sequences: list[np.ndarray], shares: np.nda
             p[k] -= RATE * (0.1 if k == "b" else 1.0) * g / np.sqrt(seen[k])
 
 
-def scores(p: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of each class (columns; bias in the first) by the class before and the class before that."""
-    return (p["r"] * p["c"][0]) @ p["e"].T + p["b"], (p["r"] * p["c"][1]) @ p["e"].T
-
-
-def learn_everywhere(docs: DataFrame, p: Network, seen: Network, shares: np.ndarray, place: dict[bytes, int], endings: dict[bytes, int], own: int) -> tuple[Network, int]:
-    """The network after one pass over all texts, and the tokens it saw. Each task goes on from the same weights over its rows; the mean of the tasks' weights, by tokens, is added up on the executors in two steps."""
+def learn_everywhere(docs: DataFrame, p: Network, seen: Network, shares: np.ndarray, place: dict[bytes, int], endings: dict[bytes, int], own: int) -> tuple[Network, Network, int]:
+    """The network after one pass over all texts, and the tokens it saw. Each task goes on from the same weights over its rows; the mean of the tasks' weights, by tokens, is worked out on the executors, FAN at once."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((p, seen, shares, place, endings, own))
-    cuts = np.cumsum([v.size for v in p.values()])[:-1]
+    sizes = [v.size for v in p.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, seen, shares, place, endings, own = shared.value
@@ -155,26 +157,35 @@ def learn_everywhere(docs: DataFrame, p: Network, seen: Network, shares: np.ndar
                 held.append(np.fromiter((place[w] if w in place else class_of(w, endings, own) for w in split), np.int64, len(split)))
                 n += len(split)
                 if n > PIECE:
-                    learn(p, seen, held, shares, random, PASS_NOISE)
+                    learn(p, seen, held, shares, random, BATCH if total else EARLY)
                     held, n, total = [], 0, total + n
-        learn(p, seen, held, shares, random, PASS_NOISE)
+        learn(p, seen, held, shares, random, BATCH if total else EARLY)
         total += n
         if total:
-            weights = np.concatenate([v.ravel() for v in p.values()]).astype(np.float64) * total
-            yield pa.RecordBatch.from_arrays([pa.array([task % SUMS], pa.int32()), pa.array([total], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "n", "weights"])
+            weights = np.concatenate([v.ravel() for x in (p, seen) for v in x.values()]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([total], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "n", "weights"])
         C.release_memory()
 
-    def add(table: pa.Table) -> pa.Table:
-        weights = sum(np.frombuffer(w.as_py()) for w in table.column("weights"))
-        return pa.table({"n": [sum(table.column("n").to_pylist())], "weights": pa.array([weights.tobytes()], pa.binary())})
-
-    trained = C.stored(docs.select("text").mapInArrow(run, "part int, n long, weights binary"), "weights")
-    rows = trained.groupBy("part").applyInArrow(add, "n long, weights binary").collect()  # SUMS rows at most, of fixed size
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        whole, mean = 0, 0.0
+        for n, weights in zip(table.column("n").to_pylist(), table.column("weights"), strict=True):
+            whole += n
+            mean = mean + np.frombuffer(weights.as_py(), np.float32).astype(np.float64) * n
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": [whole], "weights": pa.array([(mean / whole).astype(np.float32).tobytes()], pa.binary())})
+
+    scratch = C.Scratch(spark)
+    trained = scratch.stored(docs.select("text").mapInArrow(run, "part int, n long, weights binary"), "weights")
+    while trained.count() > FAN:
+        trained = scratch.stored(trained.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("part").applyInArrow(add, "part int, n long, weights binary"), "weights")
+    rows = sorted(trained.select((F.col("part") / 8).cast("int").alias("part"), "n", "weights").groupBy("part").applyInArrow(add, "part int, n long, weights binary").collect())  # FAN rows at most, of fixed size
+    scratch.clear()
     total = sum(row["n"] for row in rows)
     if not total:
-        return p, 0
-    mean = sum(np.frombuffer(row["weights"]) for row in rows) / total
-    return {k: part.reshape(v.shape).astype(np.float32) for (k, v), part in zip(p.items(), np.split(mean, cuts), strict=True)}, total
+        return p, seen, 0
+    mean = sum(np.frombuffer(row["weights"], np.float32).astype(np.float64) * row["n"] for row in rows) / total
+    parts = [x.astype(np.float32) for x in np.split(mean, np.cumsum(sizes * 2)[:-1])]
+    p, seen = ({k: part.reshape(v.shape) for (k, v), part in zip(x.items(), own, strict=True)} for x, own in ((p, parts[: len(sizes)]), (seen, parts[len(sizes) :])))
+    return p, seen, total
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -191,14 +202,19 @@ def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def normalisers(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """log of the sum over classes of exp(first[a, c] + second[b, c]), for all a and b: one matrix product."""
-    top, low = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
-    product = np.exp(first - top) @ np.exp(second - low).T
-    np.log(np.maximum(product, 1e-30, out=product), out=product)
-    product += top
-    product += low.T
-    return product
+def normalisers(first: np.ndarray, second: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log of the sum over classes c of exp((first[a] + second[b]) . e_c + bias_c), for all a and b: a matrix product, in blocks of a."""
+    e, bias = target[:, :-1], target[:, -1]
+    by_b = second @ e.T
+    low = by_b.max(axis=1, keepdims=True)
+    by_b -= low
+    np.exp(by_b, out=by_b)
+    out = np.empty((len(first), len(second)), np.float32)
+    for at in range(0, len(first), 256):
+        by_a = first[at : at + 256] @ e.T + bias
+        top = by_a.max(axis=1, keepdims=True)
+        out[at : at + 256] = np.log(np.maximum(np.exp(by_a - top) @ by_b.T, 1e-30)) + top + low.T
+    return out
 
 
 def class_of(token: bytes, endings: dict[bytes, int], own: int) -> int:
@@ -255,21 +271,17 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     for k, (token, _) in enumerate(head):
         classes[k] = numbers[token] if token in alone else class_of(token, endings, own)
     tokens = [token for token, _ in head]
-    # a bounded sample to start the network from
-    small = C.texts(docs).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    chosen = F.broadcast(small.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct())
     place = {token: int(c) for token, c in zip(tokens, classes, strict=True)}
     place.setdefault(END, numbers[END])
-    sequences = []
-    for row in sorted(small.join(chosen, "doc_id").collect()):
-        sequences.append(np.array([place.get(w, -1) if w in place else class_of(w, endings, own) for w in [*words(row["text"].encode()), END]]))
     shares = (mass + 0.5) / (mass + 0.5).sum()
     p, seen = new_network(shares)
-    learn(p, seen, sequences, shares, np.random.default_rng(0), NOISE)
-    p, _ = learn_everywhere(C.texts(docs), p, seen, shares, place, endings, own)
-    first, second = scores(p)
+    texts = C.texts(docs)
+    warm = F.pmod(F.xxhash64("doc_id"), F.lit(WARM)) == 0
+    for part in (texts.filter(warm), texts.filter(~warm)):
+        p, seen, _ = learn_everywhere(part, p, seen, shares, place, endings, own)
+    first, second, target = p["r"] * p["c"][0], p["r"] * p["c"][1], np.concatenate([p["e"], p["b"][:, None]], axis=1)
     logs = np.log10(np.array([n for _, n in head]) + 0.5)
-    return Model(tokens, logs, classes, own, endings, log_class, first.astype(np.float32), second.astype(np.float32), normalisers(first, second).astype(np.float32), int(whole[0]), int(whole[1]))
+    return Model(tokens, logs, classes, own, endings, log_class, first, second, target, normalisers(first, second, target), int(whole[0]), int(whole[1]))
 
 
 _places: dict[int, dict[bytes, int]] = {}
@@ -300,7 +312,7 @@ def scored_head(text: bytes, model: Model) -> tuple[int, float, int, float, list
     held = model.log_counts[index[known]]
     before = np.concatenate([[model.start, model.start], classes])
     a, b = before[1:-1], before[:-2]
-    log_p = (model.first[a, classes] + model.second[b, classes] - model.log_z[a, b]).sum(dtype=np.float64) / math.log(10)
+    log_p = model.log_probability(classes, a, b).sum(dtype=np.float64) / math.log(10)
     shared = classes >= model.own
     log_p += held[shared[known]].sum() - model.log_class[classes[shared]].sum()
     return len(split), float(held.sum()), int(known.sum()), float(log_p), list(rest.keys()), list(rest.values())

@@ -415,24 +415,25 @@ def test_languages_and_mixtures(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
-def test_lm_learns_word_order_beyond_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "SAMPLE", 1)
+@pytest.mark.parametrize("fan", [32, 2])
+def test_lm_learns_word_order_from_all_texts(spark, monkeypatch, fan):
+    monkeypatch.setattr(lm_scoring, "FAN", fan)
     rng, seen = random.Random(3), []
     monkeypatch.setattr(lm_scoring, "learn_everywhere", lambda *a, f=lm_scoring.learn_everywhere: seen.append(f(*a)) or seen[-1])
     follow = {f"w{k}": f"w{(7 * k + 3) % 20}" for k in range(20)}
     texts = []
-    for size in [100] * 150 + [9000] * 4:  # the last ones are longer than SAMPLE_BYTES
+    for size in [100] * 150 + [9000] * 4:
         own = [f"w{rng.randrange(20)}"]
         while len(own) < size:
             own.append(follow[own[-1]] if rng.random() < 0.9 else f"w{rng.randrange(20)}")
         texts.append(" ".join(own))
     df = frame(spark, texts)
     model = lm_scoring.fit(df, C.stored(lm_scoring.token_counts(df), "c"))
-    assert seen[0][1] == sum(len(t.split()) + 1 for t in texts)
+    assert sum(x[2] for x in seen) == sum(len(t.split()) + 1 for t in texts)
     place = dict(zip(model.tokens, model.classes.tolist(), strict=True))
     for a, b in follow.items():
         a, b = place[a.encode()], place[b.encode()]
-        scores = [model.first[a, b] + model.second[c, b] - model.log_z[a, c] for c in (place[x.encode()] for x in follow)]
+        scores = [model.log_probability(np.array([b]), np.array([a]), np.array([c]))[0] for c in (place[x.encode()] for x in follow)]
         assert np.exp(np.median(scores)) > 0.15  # 0.05 by counts alone
 
 
@@ -454,7 +455,8 @@ def test_lm_scores_are_normalised_and_counts_exact(spark, monkeypatch):
     df = frame(spark, texts).filter(C.fold(5) != 1)
     model = lm_scoring.fit(df, C.stored(lm_scoring.token_counts(df), "c"))
     for a, b in ((model.start, model.start), (0, 3), (5, 1)):
-        p = np.exp(model.first[a].astype(float) + model.second[b] - model.log_z[a, b])
+        every = np.arange(len(model.target))
+        p = np.exp(model.log_probability(every, np.full(len(every), a), np.full(len(every), b)).astype(float))
         assert p.sum() == pytest.approx(1, abs=1e-4)
         within = defaultdict(float)  # shares of a class's tokens, with one unknown
         for w, c in counts.items():
