@@ -233,8 +233,10 @@ SIMILAR, SIMILAR_WORDS, SIMILAR_RADIUS = (4, 5), 3, 56
 TOGETHER, TABLES, CHANCE = 1 << 15, 8, 3
 #: Bands are as many as it takes to miss at most MISSED of pairs that differ in UNLIKE bits; at a similarity of SIMILAR, 29 differ on average and one pair in 40 in more than UNLIKE.
 UNLIKE, MISSED = 40, 0.01
-#: A bucket with more members is not compared pair by pair, and a node with more partners still apart is resolved by its rare shingles.
-CROWD, PARTNERS = 2048, 64
+#: The same for the second round, where fingerprints come with their sets.
+WITH_SETS = 1 << 11
+#: A bucket with more members has a hub; one with yet more is not compared pair by pair; nodes with more partners still apart are resolved by one count of all that they share.
+HUB, CROWD, PARTNERS = 16, 2048, 64
 
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
@@ -279,13 +281,13 @@ def set_prints(docs: DataFrame, words: int) -> DataFrame:
     return _identified(docs).mapInArrow(run, "id long, node long, size long, " + ", ".join(f"{n} long" for n in names))
 
 
-def layout(n: int) -> tuple[int, int, int]:
+def layout(n: int, together: int) -> tuple[int, int, int]:
     """For n fingerprints: bits that route a fingerprint to its group, bits of a segment, bands.
 
-    Groups hold about TOGETHER fingerprints and buckets 2 ** CHANCE of them by chance, so both stay small as n grows; the bands make up
+    Groups hold about `together` fingerprints and buckets 2 ** CHANCE of them by chance, so both stay small as n grows; the bands make up
     for what the routes then miss.
     """
-    route = max(0, math.ceil(math.log2(max(1, n) / TOGETHER)))
+    route = max(0, math.ceil(math.log2(max(1, n) / together)))
     segment = min(14, max(6, math.ceil(math.log2(max(2, n))) - CHANCE - route))
     same = 1 - UNLIKE / (64 * SIMILAR_WORDS)
     table = same**segment + segment * same ** (segment - 1) * (1 - same)
@@ -347,27 +349,39 @@ def _matches(key: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, np.nda
             yield a[now], b[now], False
 
 
-def spanning_pairs(words: np.ndarray, sizes: np.ndarray, keys: list[np.ndarray], segment: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that may be alike, enough to connect what such pairs connect. In a crowd also each member with the one that is nearest to their majority, as copies are alike to their source before each other."""
-    label, found = np.arange(len(words)), [np.zeros(0, np.int64)]
+def nearest_partners(words: np.ndarray, sizes: np.ndarray, keys: list[np.ndarray], segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may be alike: for each member the nearest one, and the nearest hub. A bucket's hub is its member nearest to their majority, as copies are alike to their source before each other."""
+    far = 64 * words.shape[1] + 1
+    best = np.full((2, len(words)), far)  # distance to the nearest member, and to the nearest hub
+    other = np.full((2, len(words)), -1)
+
+    def offer(kind: int, a: np.ndarray, b: np.ndarray) -> None:
+        fits = _fits(words, sizes, a, b)
+        a, b = a[fits], b[fits]
+        d = distances(words[a], words[b])
+        order = np.lexsort((b, d, a))
+        a, b, d = a[order], b[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+        a, b, d = a[first], b[first], d[first]
+        nearer = d < best[kind, a]
+        best[kind, a[nearer]], other[kind, a[nearer]] = d[nearer], b[nearer]
+
     for key in keys:
         for a, b, crowd in _matches(key, segment):
-            if crowd:
-                if a is not b:
-                    continue
-                middle = np.packbits(2 * _unpacked(words[a]).sum(axis=0, dtype=np.int64) > len(a), bitorder="little").view("<u8")
-                hub = a[distances(words[a], middle[None]).argmin()]
-                x, y = _search(words[a], SIMILAR_RADIUS)
-                a, b = np.concatenate([a[x], np.full(len(a), hub)]), np.concatenate([b[y], a])
-                a, b = a[a != b], b[a != b]
-            else:
-                apart = label[a] != label[b]
-                a, b = a[apart], b[apart]
-            fits = _fits(words, sizes, a, b)
-            a, b = a[fits], b[fits]
-            found.append(np.minimum(a, b) * len(words) + np.maximum(a, b))
-            _merge(label, a, b)
-    return np.divmod(np.unique(np.concatenate(found)), len(words))
+            if not crowd:
+                offer(0, np.concatenate([a, b]), np.concatenate([b, a]))
+        order = np.argsort(key, kind="stable")
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else []
+        for at, end in zip(begins, [*begins[1:], len(key)], strict=False):
+            if end - at > HUB:
+                members = order[at:end]
+                middle = np.packbits(2 * _unpacked(words[members]).sum(axis=0, dtype=np.int64) > len(members), bitorder="little").view("<u8")
+                hub = members[distances(words[members], middle[None]).argmin()]
+                members = members[members != hub]
+                offer(1, members, np.full(len(members), hub))
+    kind, a = np.nonzero(other >= 0)
+    b = other[kind, a]
+    return np.divmod(np.unique(np.minimum(a, b) * len(words) + np.maximum(a, b)), len(words))
 
 
 def pairs_apart(words: np.ndarray, sizes: np.ndarray, cluster: np.ndarray, keys: list[np.ndarray], segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -390,77 +404,141 @@ def pairs_apart(words: np.ndarray, sizes: np.ndarray, cluster: np.ndarray, keys:
     return *np.divmod(held, len(words)), np.flatnonzero(many)
 
 
-def candidates(points: DataFrame) -> DataFrame:
-    """points (node: distinct; size, w0, ..., and cluster in the second round) to (a, b, d), repeats included: pairs of nodes that may be alike, and their distance. First round: spanning_pairs; second: pairs_apart, a node of many partners as b null."""
+def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For blocks of rows: the rows, and how many members each of them shares with each set. What only one set has is left out of the product."""
+    lengths = np.array([len(x) for x in sets])
+    _, which, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    held = np.repeat(np.arange(len(sets)), lengths)[times[which] > 1]
+    column = number[which[times[which] > 1]]
+    width = int(number[-1]) + 1 if len(number) else 0
+    begins = np.searchsorted(held, np.arange(len(sets) + 1))
+    step = max(1, (1 << 22) // max(1, width))  # of 16 MB
+
+    def dense(of: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(of), width), np.float32)
+        for k, x in enumerate(of.tolist()):
+            out[k, column[begins[x] : begins[x + 1]]] = 1
+        return out
+
+    for at in range(0, len(rows), step):
+        own = rows[at : at + step]
+        left = dense(own)
+        shared = [left @ dense(np.arange(k, min(k + step, len(sets)))).T for k in range(0, len(sets), step)]
+        yield own, np.concatenate(shared, axis=1)
+
+
+def links_apart(words: np.ndarray, sets: list[np.ndarray], label: np.ndarray, keys: list[np.ndarray], segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between clusters (label, changed here): of all pairs of different clusters that meet, those that are alike and that it takes to connect what they connect."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    a, b, many = pairs_apart(words, sizes, label, keys, segment)
+    label = np.unique(label, return_index=True, return_inverse=True)
+    label = label[1][label[2]]  # each cluster by its first member
+    found: list[tuple[int, int]] = []
+
+    def join(x: int, y: int) -> None:
+        found.append((x, y))
+        low, high = sorted((label[x], label[y]))
+        label[label == high] = low
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if label[x] != label[y] and alike(sets[x], sets[y]):
+            join(x, y)
+    if len(many):
+        own = [sets[k] for k in many.tolist()]
+        size = sizes[many]
+        of, n = np.unique(label[many], return_inverse=True, return_counts=True)[1:]
+        few = np.flatnonzero(n[of] < n.max()) if len(n) > 1 else np.zeros(0, np.int64)  # those of the largest cluster are met from the others' side
+        for rows, shared in overlaps(own, few):
+            fits = SIMILAR[1] * shared.astype(np.int64) >= SIMILAR[0] * (size[rows][:, None] + size[None] - shared.astype(np.int64))
+            for x, y in zip(*np.nonzero(fits), strict=True):
+                p, q = many[rows[x]], many[y]
+                if label[p] != label[q]:
+                    join(p, q)
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _met(points: DataFrame, together: int) -> DataFrame:
+    """points (node: distinct; size, w0, ...; in the second round also cluster and shingles, packed) to pairs (a, b) of nodes, repeats included. First round: nearest_partners; second: links_apart."""
     n_points = points.count()
-    route, segment, bands = layout(n_points)
+    route, segment, bands = layout(n_points, together)
     sample = sampled_bits(route, segment, bands)
-    names = ["node", "size", *(f"w{k}" for k in range(SIMILAR_WORDS)), *(["cluster"] if "cluster" in points.columns else [])]
-    parts = ["nodes", "sizes", "words", "clusters"]
+    second = "shingles" in points.columns
+    names = ["node", "size", *(f"w{k}" for k in range(SIMILAR_WORDS)), *(["cluster", "shingles"] if second else [])]
+    parts = ["nodes", "sizes", "words", "clusters", "shingles"]
     C.bound_batches(points.sparkSession)
 
     def words_of(batch: pa.RecordBatch) -> np.ndarray:
         return np.stack([batch.column(f"w{k}").to_numpy().view(np.uint64) for k in range(SIMILAR_WORDS)], axis=1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches, 1 << 16):
-            bits = _unpacked(words_of(batch))
-            found = [np.unique(_value(bits[:, sample[band, :route]]) | band << 40, return_counts=True) for band in range(bands)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], ["group", "n"])
-
-    large: dict[int, int] = {}  # groups far beyond TOGETHER, as copies make them: a few, each with further bits for its route
-    if n_points > 8 * TOGETHER:
-        sizes = points.select(*names[2 : 2 + SIMILAR_WORDS]).mapInArrow(count, "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
-        large = {row["group"]: min(40 - route, math.ceil(math.log2(row["n"] / TOGETHER))) for row in sizes.filter(F.col("n") > 8 * TOGETHER).collect()}
+    def groups_of(batch: pa.RecordBatch, band: int, bits: np.ndarray, further: dict[int, int], shares: dict[int, int]) -> np.ndarray:
+        """further: groups with bits that part them more; shares: groups, by all their bits, with the number of parts that each band makes by chance."""
+        to = _value(bits[:, sample[band, :route]]) | band << 48
+        own = {g: m for g, m in further.items() if g >> 48 == band}
+        if own:
+            of = to.copy()
+            for group, more in own.items():
+                members = np.flatnonzero(of == group)
+                to[members] |= _value(bits[members][:, sample[(band + 1) % bands, route : route + more]]) + 1 << route
+        for group, n in shares.items():
+            if group >> 48 == band:
+                members = np.flatnonzero(to == group)
+                scattered = batch.column("node").to_numpy()[members].view(np.uint64) * np.uint64(2 * band + 0x9E3779B97F4A7C15)
+                to[members] |= (scattered >> np.uint64(33)).astype(np.int64) % n + 1 << 36
+        return to
+
+    def sizes_of_groups(further: dict[int, int]) -> dict[int, int]:
+        """Groups far beyond `together`, as masses of copies make them: a few."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in C.slices(batches, 1 << 16):
+                bits = _unpacked(words_of(batch))
+                found = [np.unique(groups_of(batch, band, bits, further, {}), return_counts=True) for band in range(bands)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], ["group", "n"])
+
+        counts = points.select(*names[: 2 + SIMILAR_WORDS]).mapInArrow(count, "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
+        return {row["group"]: row["n"] for row in counts.filter(F.col("n") > 8 * together).collect()}
+
+    further: dict[int, int] = {}
+    shares: dict[int, int] = {}
+    if n_points > 8 * together:
+        further = {group: min(36 - route, math.ceil(math.log2(n / together))) for group, n in sizes_of_groups({}).items()}
+        if further:
+            shares = {group: -(-n // (4 * together)) for group, n in sizes_of_groups(further).items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches, 4096):
+        for batch in C.slices(batches, 512 if second else 4096):
             words = words_of(batch)
             bits = _unpacked(words)
-            held = [batch.column("node").to_numpy(), batch.column("size").to_numpy().astype(np.int32), words, batch.column("cluster").to_numpy() if "cluster" in names else np.zeros(0, np.int64)]
+            held = [batch.column("node").to_numpy(), batch.column("size").to_numpy().astype(np.int32), words, *([batch.column("cluster").to_numpy()] if second else [])]
+            packed = batch.column("shingles").to_pylist() if second else []
             rows = []
             for band in range(bands):
-                to = _value(bits[:, sample[band, :route]])
-                for group, more in large.items():
-                    if group >> 40 == band:
-                        own = np.flatnonzero(to == group & (1 << 40) - 1)
-                        to[own] |= _value(bits[own][:, sample[(band + 1) % bands, route : route + more]]) + 1 << route
+                to = groups_of(batch, band, bits, further, shares)
                 order = np.argsort(to, kind="stable")
                 begins = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0])) if len(to) else []
                 for at, end in zip(begins, [*begins[1:], len(to)], strict=False):
                     which = order[at:end]
-                    rows.append((band << 48 | int(to[which[0]]), *(x[which].tobytes() if len(x) else b"" for x in held)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["group", *parts])
+                    rows.append((int(to[which[0]]), *(x[which].tobytes() for x in held), *([b"".join(packed[k] for k in which)] if second else [b"", b""])))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5), strict=True)], ["group", *parts])
         C.release_memory()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        nodes, sizes, words, clusters = (np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in zip(parts, (np.int64, np.int32, np.uint64, np.int64), strict=True))
+        nodes, sizes, words, clusters, shingles = (np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in zip(parts, (np.int64, np.int32, np.uint64, np.int64, np.uint64), strict=True))
         words, sizes = words.reshape(-1, SIMILAR_WORDS), sizes.astype(np.int64)
-        band = key[0].as_py() >> 48
-        own = sample[band][route:]
-        # members that even further bits don't part are near copies in masses: each band parts them in its own way, so chance joins the parts
-        shares = 1 + len(nodes) // (8 * TOGETHER)
-        share = (nodes.view(np.uint64) * np.uint64(2 * band + 0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shares
-        out = []
-        for k in range(shares):
-            of = np.flatnonzero(share == k) if shares > 1 else np.arange(len(nodes))
-            bits = _unpacked(words[of])
-            keys = [_value(bits[:, own[t * segment : (t + 1) * segment]]) for t in range(TABLES)]
-            del bits
-            if "cluster" not in names:
-                (a, b), many = spanning_pairs(words[of], sizes[of], keys, segment), np.zeros(0, np.int64)
-            else:
-                a, b, many = pairs_apart(words[of], sizes[of], clusters[of], keys, segment)
-                many = np.arange(len(of)) if shares > 1 else many
-            a, b, many = of[a], of[b], of[many]
-            lone = np.arange(len(a) + len(many)) >= len(a)
-            out.append(pa.table({"a": np.concatenate([nodes[a], nodes[many]]), "b": pa.array(np.concatenate([nodes[b], nodes[many]]), pa.int64(), mask=lone), "d": np.concatenate([distances(words[a], words[b]), np.zeros(len(many), np.int64)])}))
+        own, bits = sample[key[0].as_py() >> 48][route:], _unpacked(words)
+        keys = [_value(bits[:, own[t * segment : (t + 1) * segment]]) for t in range(TABLES)]
+        if second:
+            a, b = links_apart(words, np.split(shingles, np.cumsum(sizes)[:-1]), clusters, keys, segment)
+        else:
+            a, b = nearest_partners(words, sizes, keys, segment)
         C.release_memory()
-        return pa.concat_tables(out)
+        return pa.table({"a": nodes[a], "b": nodes[b]})
 
     dealt = points.select(*names).mapInArrow(deal, "group long, " + ", ".join(f"{n} binary" for n in parts))
-    return dealt.groupBy("group").applyInArrow(meet, "a long, b long, d long")
+    return dealt.groupBy("group").applyInArrow(meet, "a long, b long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -498,71 +576,33 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-#: Counters by which shingles are ranked; any ranking is right, a good one keeps groups small.
-RANKS = 1 << 18
-
-
-def pairs_by_rare_shingles(texts: DataFrame, words: int) -> DataFrame:
-    """texts (node, cluster, text) to (a, b): all pairs of different clusters that can be alike.
+def with_sets(texts: DataFrame, words: int) -> DataFrame:
+    """texts (node, text) to (node, shingles): the text's set, packed."""
 
-    In one ranking of all shingles, two sets that share SIMILAR of their union share one of the first n - ceil(SIMILAR n) + 1 shingles of
-    each (Chaudhuri et al. 2006), so pairs meet at their rare shingles and what a crowd has in common pairs no one.
-    """
-    spark = texts.sparkSession
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.zeros(RANKS, np.int64)
-        for batch in C.slices(batches):
-            for text in C.as_bytes(batch.column("text")):
-                np.add.at(whole, shingle_set(text, words) & np.uint64(RANKS - 1), 1)
-        used = np.flatnonzero(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(whole[used], pa.int64())], ["rank", "n"])
-
-    ranks = np.zeros(RANKS, np.int64)
-    for row in texts.select("text").mapInArrow(count, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).toLocalIterator():  # RANKS rows at most
-        ranks[row["rank"]] = row["n"]
-    shared = spark.sparkContext.broadcast(ranks)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
-            sets = [shingle_set(text, words) for text in C.as_bytes(batch.column("text"))]
-            heads = []
-            for own in sets:
-                n = len(own)
-                heads.append(own[np.lexsort((own, shared.value[own & np.uint64(RANKS - 1)]))][: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1])
-            which = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
-            columns = [pa.array(np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)), *(batch.column(n).take(pa.array(which)) for n in ("node", "cluster")), pa.array(np.array([len(s) for s in sets], np.int64)[which])]
-            yield pa.RecordBatch.from_arrays(columns, ["shingle", "node", "cluster", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(text, words).tobytes() for text in C.as_bytes(batch.column("text"))], pa.binary())], ["node", "shingles"])
         C.release_memory()
 
-    heads = texts.select("node", "cluster", "text").mapInArrow(first, "shingle long, node long, cluster long, size long")
-    a, b = (heads.select("shingle", F.col("node").alias(x), F.col("cluster").alias(f"c{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (SIMILAR[1] * F.least("na", "nb") >= SIMILAR[0] * F.greatest("na", "nb"))
-    return a.join(b, "shingle").filter(fits).select("a", "b").distinct()
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def similar_components(docs: DataFrame, words: int, scratch: C.Scratch) -> DataFrame:
     """(first, component): for each distinct set of shingles the smallest id that has it, and the smallest that is reachable over pairs that are alike.
 
-    First each node is verified with the nearest candidate it has; that joins most of what belongs together, so dense groups don't
-    give all their pairs. Then all candidates that are still apart are verified, those within a crowd by their rare shingles.
+    First each node is verified with the nearest candidates and hubs that it has, one of each for a group; that joins most of what
+    belongs together. Then nodes that have a candidate meet once more, with their sets, and all pairs of different clusters are verified
+    where they meet, so that only links leave a group.
     """
     names = [f"w{k}" for k in range(SIMILAR_WORDS)]
     points = scratch.stored(set_prints(docs, words).groupBy("node", "size", *names).agg(F.min("id").alias("first")), "fingerprints")
-    met = scratch.stored(candidates(points).groupBy("a", "b").agg(F.min("d").alias("d")), "met")
-    ways = met.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "d"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "d"))).alias("x")).select("x.*")
-    nearest = ways.groupBy("node").agg(F.min(F.struct("d", "other"))["other"].alias("other"))
-    tried = scratch.stored(nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
-    near = ways.select("node").distinct()
+    tried = scratch.stored(_met(points, TOGETHER).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    near = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = scratch.stored(texts_of(docs, points.join(near, "node").select("node", "first"), words), "texts")
     links = scratch.stored(verified(tried, texts, words), "links")
     clusters = scratch.stored(components(links, scratch), "clusters")
-    apart = scratch.stored(points.join(near, "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component", "first"), "apart")
-    more = scratch.stored(candidates(apart).select("a", "b").distinct(), "more")
-    crowd = more.filter("b IS NULL").select(F.col("a").alias("node"))
-    rare = pairs_by_rare_shingles(texts.join(apart.select("node", "cluster"), "node").join(crowd, "node", "left_semi"), words) if crowd.limit(1).count() else more.limit(0).select("a", "b")
-    ordered = more.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(rare).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(scratch.stored(verified(scratch.stored(ordered, "ordered"), texts, words), "links"))
+    apart = points.join(with_sets(texts, words), "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component", "first")
+    links = links.unionByName(scratch.stored(_met(scratch.stored(apart, "apart"), WITH_SETS), "links"))
     sets = points.select("node", "first").join(components(links, scratch), "node", "left").withColumn("root", F.coalesce("component", "node"))
     return sets.join(sets.groupBy("root").agg(F.min("first").alias("smallest")), "root").select("first", F.col("smallest").alias("component"))
 

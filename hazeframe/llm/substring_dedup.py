@@ -4,7 +4,8 @@ Each byte that is covered by a `LENGTH`-byte string that also starts earlier (sm
 
 Comparing every suffix of a corpus would shuffle a multiple of it, so three steps narrow the suffixes down, and lose none:
 
-1. Equal texts become one unit, stored in buckets by its key, so that later joins with its text shuffle nothing.
+1. Equal texts become one unit, stored in buckets by its key, so that later joins with its text shuffle nothing. The key is 60 bits of
+   the text's SHA-256; where two digests share these, as they do among some 10^9 texts, keys come from the next 60 bits.
 2. Of the GRAM-byte hashes in each LENGTH-byte string, the rightmost smallest is its anchor. Equal strings have equal anchors at equal
    places, so only strings at an anchor that occurs twice can repeat. Anchors are dealt by hash in packed arrays; one that a batch
    holds twice sends one entry for all.
@@ -194,14 +195,33 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary) for every row of docs (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary) for every row of docs (doc_id, text); stored in the shared folder, so that the table of units can go."""
     spark = docs.sparkSession
     C.bound_batches(spark)
-    keyed = C.texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order"), "text", F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 15), 16, 10).cast("long").alias("unit"))
+    keyed = _keyed(C.texts(docs))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"hazeframe_units_{uuid.uuid4().hex}"
     keyed.groupBy("unit").agg(F.min("order").alias("order"), F.first("text").alias("text")).write.format("parquet").option("parquet.block.size", ROW_GROUP).bucketBy(parts, "unit").saveAsTable(name)
-    units = spark.table(name)
+    try:
+        return C.stored(_removed(keyed, spark.table(name), with_text), "kept")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _keyed(texts: DataFrame, bits: int = 60) -> DataFrame:
+    """texts (doc_id, text) with order and unit, the same for equal texts only."""
+    digits = bits // 4
+    of = lambda first: F.conv(F.substring("digest", first, digits), 16, 10).cast("long")
+    digests = texts.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    numbered = digests.withColumns({"unit": of(1), "next": F.conv(F.substring("digest", digits + 1, 15), 16, 10).cast("long")})
+    clashes = numbered.groupBy("unit").agg(F.min("next").alias("low"), F.max("next").alias("high")).filter("low < high").select("unit", F.lit(True).alias("clash"))
+    clashes = C.stored(clashes, "clashes")
+    if clashes.limit(1).count():  # one in some 10^7 texts, among 10^11
+        numbered = numbered.join(clashes, "unit", "left").withColumn("unit", F.when(F.col("clash"), -1 - F.col("next")).otherwise(F.col("unit")))
+    return numbered.select("doc_id", "order", "text", "unit")
+
+
+def _removed(keyed: DataFrame, units: DataFrame, with_text: bool) -> DataFrame:
     buckets = 1 + (units.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET
     suspects = _suspects(units, buckets)
     removals = _removals(units.join(suspects, "unit"), buckets)

@@ -142,11 +142,11 @@ def test_near_unique_is_exact_at_the_threshold(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("crowd, partners, together", [(2048, 64, 1 << 15), (1, 0, 1 << 15), (2048, 0, 16), (2, 64, 4)])
+@pytest.mark.parametrize("crowd, partners, together", [(2048, 64, 1 << 15), (1, 0, 1 << 15), (2048, 0, 16), (2, 64, 16)])
 def test_near_unique_verifies_what_the_first_round_left_apart(spark, monkeypatch, crowd, partners, together):
     base = [f"w{x}" for x in np.random.default_rng(6).integers(0, 10**6, 300)]
     texts = [" ".join([*base[k * 12 :], *(f"v{x}" for x in range(k * 12))]) for k in range(8)]  # neighbours are alike, the ends are not
-    for name, value in (("CROWD", crowd), ("PARTNERS", partners), ("TOGETHER", together)):
+    for name, value in (("CROWD", crowd), ("PARTNERS", partners), ("TOGETHER", together), ("WITH_SETS", together)):
         monkeypatch.setattr(simhash, name, value)
     assert [r.doc_id for r in simhash.near_unique(frame(spark, texts)).collect()] == [0]
 
@@ -164,15 +164,32 @@ def test_near_copies_of_one_source_are_found_though_not_alike_to_each_other(spar
     assert got == {0, 61}
 
 
-def test_pairs_by_rare_shingles_are_all_that_are_alike(spark):
+@pytest.mark.parametrize("crowd, partners", [(2048, 64), (2048, 0), (4, 64)])
+def test_links_apart_connect_what_is_alike(monkeypatch, crowd, partners):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "PARTNERS", partners)
     rng = random.Random(8)
     common = [f"k{x}" for x in range(60)]
-    texts = [" ".join([*common, *(f"r{rng.randrange(40)}" for _ in range(rng.randint(0, 14)))]) for _ in range(60)]
-    df = spark.createDataFrame([(k, k % 50, t) for k, t in enumerate(texts)], "node long, cluster long, text string")
-    got = {(r.a, r.b) for r in simhash.pairs_by_rare_shingles(df, 5).collect()}
-    sets = [simhash.shingle_set(t.encode()) for t in texts]
-    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 50 != b % 50 and simhash.alike(sets[a], sets[b])}
-    assert want and want <= got
+    sets = [simhash.shingle_set(" ".join([*common, *(f"r{rng.randrange(40)}" for _ in range(rng.randint(0, 16)))]).encode()) for _ in range(60)]
+    words = np.stack([simhash.set_fingerprint(x) for x in sets])
+    keys = [np.zeros(60, np.int64)]  # all meet
+    cluster = np.arange(60) % 50
+    monkeypatch.setattr(simhash, "SIMILAR_RADIUS", 192)
+    a, b = simhash.links_apart(words, sets, cluster.copy(), keys, 6)
+    assert all(simhash.alike(sets[x], sets[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    every = [(x, y) for x in range(60) for y in range(x) if simhash.alike(sets[x], sets[y])] + [(x, x - 50) for x in range(50, 60)]
+    want = brute_components(list(range(60)), lambda x, y: (max(x, y), min(x, y)) in set(every))
+    assert len(set(want)) > 1
+    groups = {tuple(np.flatnonzero(np.array(want) == k)) for k in set(want)}
+    assert all(len({int(x) for x in _closure(60, list(zip(a.tolist(), b.tolist(), strict=True)) + [(x, x - 50) for x in range(50, 60)])[list(g)]}) == 1 for g in groups)
+
+
+def _closure(n, links):
+    label = np.arange(n)
+    for _ in range(n):
+        for x, y in links:
+            label[x] = label[y] = min(label[x], label[y])
+    return label
 
 
 def test_matches_are_all_pairs_within_one_bit():
@@ -185,8 +202,17 @@ def test_matches_are_all_pairs_within_one_bit():
 
 def test_layout_keeps_groups_small_and_pairs_met():
     for n in (0, 1, 50, 10**5, 10**8, 10**11):
-        route, segment, bands = simhash.layout(n)
-        assert route + simhash.TABLES * segment <= 64 * simhash.SIMILAR_WORDS and n / 2**route <= simhash.TOGETHER
+        for together in (simhash.TOGETHER, simhash.WITH_SETS):
+            route, segment, bands = simhash.layout(n, together)
+            assert route + simhash.TABLES * segment <= 64 * simhash.SIMILAR_WORDS and n / 2**route <= together
+
+
+def test_masses_of_copies_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TOGETHER", 8)
+    monkeypatch.setattr(simhash, "WITH_SETS", 8)
+    base = [f"w{x}" for x in np.random.default_rng(4).integers(0, 10**6, 2000)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 1800, 9)]  # 200 near copies, alike to each other
+    assert [r.doc_id for r in simhash.near_unique(frame(spark, texts)).collect()] == [0]
 
 
 def test_near_unique_keeps_one_of_each_group(spark):
@@ -226,6 +252,14 @@ def test_substring_dedup_matches_brute_force(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, texts)).collect()}
     assert got == brute_removal(list(enumerate(texts)))
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("hazeframe_units")]
+
+
+def test_units_are_one_for_each_text_whatever_the_key(spark):
+    texts = [None, "", *(f"text {k % 300}" for k in range(900))]
+    for bits in (60, 8):  # 8 bits clash for sure
+        rows = substring_dedup._keyed(C.texts(frame(spark, texts)), bits).collect()
+        assert len({(r.unit, r.text) for r in rows}) == len({r.unit for r in rows}) == 301
 
 
 def test_refined_buckets_hold_equal_suffixes():
