@@ -36,7 +36,7 @@ BITS_PER_BYTE = 0.5
 #: Keys that are held by more than a HOT-th of all suspected lines count as very frequent.
 HOT = 4096
 #: Hashes that a worker gathers before it hands bits on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: log2 of the bits of a slice, the unit in which filters are merged.
 SLICE_BITS = 20
 WHITE = b" \t\n\x0b\x0c\r"
@@ -71,10 +71,10 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     part = min(SLICE_BITS, bits)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[int] = []
+        held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            first, second = places(np.array(held, np.uint64), bits)
+            first, second = places(np.concatenate([*held, np.zeros(0, np.uint64)]), bits)
             held.clear()
             # a key's own two bits may be one
             both = np.concatenate([first, second[first != second]])
@@ -83,11 +83,15 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
             rows = [(int(f[0] >> part), f.tobytes(), f[c > 1].tobytes()) for f, c in zip(np.split(found, cuts), np.split(counts, cuts), strict=True) if len(f)]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "once", "twice"])
 
+        size = 0
         for batch in C.slices(batches):
             for text in C.as_bytes(batch.column("text")):
-                held.extend(_hashes(text, min_chars))
-                if len(held) > FLUSH:
+                own = _hashes(text, min_chars)
+                held.append(np.fromiter(own, np.uint64, len(own)))
+                size += len(own)
+                if size > FLUSH:
                     yield out()
+                    size = 0
         yield out()
         C.release_memory()
 
@@ -110,6 +114,7 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
                 seen[o] = True
         if at is not None:
             yield done()
+        C.release_memory()
 
     sparse = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(once, "slice int, once binary, twice binary")
     merged = sparse.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, twice binary")
