@@ -3,7 +3,9 @@
 Any bytes can be stored: they are padded with spaces to a positive multiple of 192, laid out as rows of 64 RGB pixels, and
 written as one or more images of at most 16384 rows, one after the other. Reading gives the same bytes back.
 
-Null texts count as empty ones (payload: 192 spaces). A null or broken image gives null pixels and an error, no failure.
+Null texts count as empty ones (payload: 192 spaces). A null or broken image gives null pixels and an error, no failure, as does one of
+more than webp.MAX_PIXELS pixels. Rows repeat as they come; extra columns pass through, and those named like a result are replaced; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,35 +61,42 @@ def features(parts: list[np.ndarray]) -> str:
 
 def encode_column(df: DataFrame, column: str = "text", to: str = "media") -> DataFrame:
     """df with a binary column `to` that holds each value of `column` (string or binary) as lossless WebP; null stays null."""
+    source, others = f"__{column}", [c for c in df.columns if c != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, 64):
-            values = batch.column(column).cast(pa.binary()).to_pylist()
-            yield batch.append_column(to, pa.array([None if x is None else store(padded(x)) for x in values], pa.binary()))
+            values = batch.column(source).cast(pa.binary()).to_pylist()
+            media = pa.array([None if x is None else store(padded(x)) for x in values], pa.binary())
+            yield batch.select(others).append_column(to, media)
+        C.release_memory()
 
     C.bound_batches(df.sparkSession)
-    return df.mapInArrow(run, df.withColumn(to, F.lit(None).cast("binary")).schema)
+    given = df.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{column}`").alias(source))
+    return given.mapInArrow(run, given.drop(source).withColumn(to, F.lit(None).cast("binary")).schema)
 
 
 def decode_column(df: DataFrame, column: str = "media") -> DataFrame:
-    """df with pixels: an array of structs (height, width, rgba binary, row by row), one for each image; error: what was wrong, else null."""
+    """df with pixels: an array of structs (height, width, rgba binary, row by row), one for each image; error: what was wrong ("null" for null), else null."""
     images_type = pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgba", pa.binary())]))
+    source, others = f"__{column}", [c for c in df.columns if c not in ("pixels", "error")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, 32):
             pixels, errors = [], []
-            for x in batch.column(column).cast(pa.binary()).to_pylist():
+            for x in batch.column(source).cast(pa.binary()).to_pylist():
                 try:
                     pixels.append(None if x is None else [{"height": p.shape[0], "width": p.shape[1], "rgba": p.tobytes()} for p in images(x)])
                     errors.append("null" if x is None else None)
                 except webp.WebPError as error:
                     pixels.append(None)
                     errors.append(str(error))
-            yield batch.append_column("pixels", pa.array(pixels, images_type)).append_column("error", pa.array(errors, pa.string()))
+            yield batch.select(others).append_column("pixels", pa.array(pixels, images_type)).append_column("error", pa.array(errors, pa.string()))
+        C.release_memory()
 
     C.bound_batches(df.sparkSession)
-    schema = df.withColumn("pixels", F.lit(None).cast("array<struct<height:int,width:int,rgba:binary>>")).withColumn("error", F.lit(None).cast("string")).schema
-    return df.mapInArrow(run, schema)
+    given = df.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{column}`").alias(source))
+    schema = given.drop(source).withColumn("pixels", F.lit(None).cast("array<struct<height:int,width:int,rgba:binary>>")).withColumn("error", F.lit(None).cast("string")).schema
+    return given.mapInArrow(run, schema)
 
 
 def round_trip(data: bytes) -> tuple:
@@ -106,5 +115,6 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in C.slices(batches):
             columns = list(zip(*map(round_trip, C.as_bytes(batch.column("text"))), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True))], ["doc_id", *(n for n, _ in kinds)])
+        C.release_memory()
 
     return C.texts(C.table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

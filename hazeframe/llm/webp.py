@@ -1,4 +1,8 @@
-"""Lossless WebP (VP8L, RFC 9649) in numpy: a decoder of the whole format and a small encoder.
+"""Lossless WebP (VP8L, RFC 9649): a decoder of the whole format and an encoder.
+
+The encoder writes a palette where colours repeat, back-references to strings of pixels seen before, colour-cache references and
+literals, under prefix codes by frequency. The predictor, cross-colour and subtract-green transforms are for pictures; text rows don't
+gain by them, so the encoder leaves them out.
 
 The decoder handles simple and normal prefix codes, meta prefix images, LZ77 back-references with the short-distance map,
 the colour cache, and the predictor, cross-colour, subtract-green and colour-indexing transforms. Where every code of an
@@ -16,7 +20,22 @@ import numpy as np
 
 #: Fixed values of the format: the order in which code-length code lengths are stored.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+#: Fixed values of the format (RFC 9649, 5.2.2): the near pixels that the first 120 distance codes stand for, as (dx, dy).
+SHORT_DISTANCES = (
+    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3),
+    (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3), (2, 4), (-2, 4),
+    (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0), (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2),
+    (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1), (2, 6), (-2, 6), (6, 2), (-6, 2),
+    (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1),
+    (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5),
+    (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7),
+    (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
+)
 MAX_SIDE = 16384
+#: Pixels of an image that is decoded, at most: a header of a few bytes may claim 2**28.
+MAX_PIXELS = 1 << 24
+#: Fixed value of the format: the colour cache's multiplier.
+CACHE_HASH = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, COLOUR_INDEXING = range(4)
 
 
@@ -24,12 +43,6 @@ class WebPError(ValueError):
     """The bytes are no lossless WebP image."""
 
 
-def _short_distances() -> list[tuple[int, int]]:
-    """The format's 120 near pixels as (dx, dy), nearest first; at one distance by |dx|, and of a mirrored pair the positive dx first."""
-    near = [(dx, dy) for dy in range(8) for dx in range(-7, 9) if dy or dx > 0]
-    return sorted(near, key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
-
-
 class _Bits:
     """Reads bits least significant first."""
 
@@ -66,6 +79,7 @@ class _Code:
         used = np.flatnonzero(lengths)
         self.single = int(used[0]) if len(used) == 1 else (0 if len(used) == 0 else None)
         self.uniform = 0 if self.single is not None else None
+        self.table, self.mask = [(self.single or 0) << 4], 0  # symbol << 4 | length, by the next bits
         if self.single is not None:
             return
         own = lengths[used].astype(np.int64)
@@ -78,17 +92,17 @@ class _Code:
         by_code = np.repeat(symbols, 1 << (self.width - own))
         length = np.repeat(own, 1 << (self.width - own))
         reverse = _reversed_bits(self.width)
-        self.symbols, self.lengths = by_code[reverse], length[reverse]
-        self._symbols, self._lengths = self.symbols.tolist(), self.lengths.tolist()
+        self.symbols = by_code[reverse]
+        self.table, self.mask = (self.symbols << 4 | length[reverse]).tolist(), (1 << self.width) - 1
 
     def read(self, bits: _Bits) -> int:
         if self.single is not None:
             return self.single
-        i = bits.peek(self.width)
-        bits.at += self._lengths[i]
+        found = self.table[bits.peek(self.width)]
+        bits.at += found & 15
         if bits.at > bits.end:
             raise WebPError("the data end early")
-        return self._symbols[i]
+        return found >> 4
 
 
 _reversed: dict[int, np.ndarray] = {}
@@ -120,9 +134,10 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
     code, left = _Code(of_lengths), alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    if code.single is None and code.width == 1 and max(code._symbols) < 16:
-        n = min(left, alphabet)  # one bit for each length, no repeats: all at once
-        lengths[:n] = code.symbols[bits.array(n)]
+    if code.single is None and code.uniform is not None and int(code.symbols.max()) < 16:
+        n = min(left, alphabet)  # as many bits for each length, no repeats: all at once
+        index = bits.array(n * code.width).reshape(n, code.width) @ (1 << np.arange(code.width))
+        lengths[:n] = code.symbols[index]
         return _Code(lengths)
     at, last = 0, 8
     while at < alphabet and left:
@@ -167,30 +182,54 @@ def _entropy_image(bits: _Bits, width: int, height: int, main: bool = False) ->
     cache = [0] * (1 << cache_bits) if cache_bits else []
     cached = 0  # pixels that have gone into the cache
     near = _near(width)
+    data, place, whole = bits.data, bits.at, int.from_bytes
+    tables = [[(code.table, code.mask) for code in group] for group in groups]
+    (greens, g_mask), (reds, r_mask), (blues, b_mask), (alphas, a_mask), _ = tables[0]
     while at < total:
-        group = groups[int(meta[at // width >> tile, at % width >> tile])] if meta is not None else groups[0]
-        symbol = group[0].read(bits)
+        if meta is not None:
+            group = int(meta[at // width >> tile, at % width >> tile])
+            (greens, g_mask), (reds, r_mask), (blues, b_mask), (alphas, a_mask), _ = tables[group]
+        start = place >> 3
+        window = whole(data[start : start + 9], "little") >> (place & 7)
+        found = greens[window & g_mask]
+        symbol = found >> 4
         if symbol < 256:
-            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
-            out[at] = alpha << 24 | red << 16 | symbol << 8 | blue
+            window >>= found & 15
+            red = reds[window & r_mask]
+            window >>= red & 15
+            blue = blues[window & b_mask]
+            window >>= blue & 15
+            alpha = alphas[window & a_mask]
+            place += (found & 15) + (red & 15) + (blue & 15) + (alpha & 15)
+            out[at] = alpha >> 4 << 24 | red >> 4 << 16 | symbol << 8 | blue >> 4
             at += 1
-        elif symbol < 280:
+            continue
+        place += found & 15
+        if symbol < 280:
+            bits.at = place
             length = _prefix_value(bits, symbol - 256)
-            code = _prefix_value(bits, group[4].read(bits))
+            code = _prefix_value(bits, groups[group if meta is not None else 0][4].read(bits))
+            place = bits.at
             back = code - 120 if code > 120 else near[code - 1]
             if back > at or at + length > total:
                 raise WebPError("a back-reference leaves the image")
-            for k in range(at, at + length):
-                out[k] = out[k - back]
+            if back >= length:
+                out[at : at + length] = out[at - back : at - back + length]
+            else:
+                own = out[at - back : at]
+                out[at : at + length] = (own * (length // back + 1))[:length]
             at += length
         else:
-            while cached < at:
-                cache[(0x1E35A7BD * out[cached] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
-                cached += 1
+            for pixel in out[cached:at]:
+                cache[(CACHE_HASH * pixel & 0xFFFFFFFF) >> (32 - cache_bits)] = pixel
+            cached = at
             if symbol - 280 >= len(cache):
                 raise WebPError("a colour cache index is too large")
             out[at] = cache[symbol - 280]
             at += 1
+    bits.at = place
+    if place > bits.end:
+        raise WebPError("the data end early")
     return np.array(out, np.uint32).reshape(height, width)
 
 
@@ -249,11 +288,10 @@ def predicted(mode: int, left: np.ndarray, top: np.ndarray, top_left: np.ndarray
     )[mode] if mode <= 10 else np.array([255, 0, 0, 0], np.int32)
 
 
-def _walk_predictor(values: np.ndarray, modes: np.ndarray, tile: int, undo: bool) -> np.ndarray:
-    """undo: residuals to pixels, else pixels to residuals."""
+def _undo_predictor(values: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
+    """Residuals to pixels."""
     height, width, _ = values.shape
-    out = values.copy()
-    pixels = out if undo else values
+    out = pixels = values.copy()
     for y in range(height):
         for x in range(width):
             if y == 0:
@@ -263,20 +301,18 @@ def _walk_predictor(values: np.ndarray, modes: np.ndarray, tile: int, undo: bool
             else:
                 right = pixels[y - 1, x + 1] if x + 1 < width else pixels[y, 0]
                 guess = predicted(int(modes[y >> tile, x >> tile]), pixels[y, x - 1], pixels[y - 1, x], pixels[y - 1, x - 1], right)
-            out[y, x] = (values[y, x] + guess if undo else values[y, x] - guess) & 255
+            out[y, x] = (values[y, x] + guess) & 255
     return out
 
 
-def _cross_colour(values: np.ndarray, factors: np.ndarray, tile: int, undo: bool) -> np.ndarray:
+def _undo_cross_colour(values: np.ndarray, factors: np.ndarray, tile: int) -> np.ndarray:
     signed = lambda a: ((a & 255) ^ 128) - 128
     height, width, _ = values.shape
     spread = factors[np.ix_(np.arange(height) >> tile, np.arange(width) >> tile)]
     red_to_blue, green_to_blue, green_to_red = (signed(spread[..., k]) for k in (1, 2, 3))
-    out, sign = values.copy(), 1 if undo else -1
-    green = signed(values[..., 2])
-    out[..., 1] = (values[..., 1] + sign * (green_to_red * green >> 5)) & 255
-    red = signed((out if undo else values)[..., 1])
-    out[..., 3] = (values[..., 3] + sign * (green_to_blue * green >> 5) + sign * (red_to_blue * red >> 5)) & 255
+    out, green = values.copy(), signed(values[..., 2])
+    out[..., 1] = (values[..., 1] + (green_to_red * green >> 5)) & 255
+    out[..., 3] = (values[..., 3] + (green_to_blue * green >> 5) + (red_to_blue * signed(out[..., 1]) >> 5)) & 255
     return out
 
 
@@ -298,6 +334,8 @@ def _decode_stream(data: bytes) -> np.ndarray:
     if bits.read(8) != 0x2F:
         raise WebPError("no lossless signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
+    if width * height > MAX_PIXELS:
+        raise WebPError("the image is too large")
     opaque = not bits.read(1)
     if bits.read(3):
         raise WebPError("unknown version")
@@ -322,9 +360,9 @@ def _decode_stream(data: bytes) -> np.ndarray:
     pixels = _channels(_entropy_image(bits, coded, height, main=True))
     for kind, n, extra, wide in reversed(transforms):
         if kind == PREDICTOR:
-            pixels = _walk_predictor(pixels, (extra >> 8 & 15).astype(np.int64), n, undo=True)
+            pixels = _undo_predictor(pixels, (extra >> 8 & 15).astype(np.int64), n)
         elif kind == CROSS_COLOUR:
-            pixels = _cross_colour(pixels, _channels(extra), n, undo=True)
+            pixels = _undo_cross_colour(pixels, _channels(extra), n)
         elif kind == SUBTRACT_GREEN:
             pixels[..., 1] = (pixels[..., 1] + pixels[..., 2]) & 255
             pixels[..., 3] = (pixels[..., 3] + pixels[..., 2]) & 255
@@ -341,92 +379,195 @@ def _decode_stream(data: bytes) -> np.ndarray:
 
 
 class _Writer:
-    """Writes bits least significant first."""
+    """Gathers fields (value, width), which are written least significant bit first."""
 
     def __init__(self) -> None:
-        self.value, self.n = 0, 0
+        self.values: list[np.ndarray] = []
+        self.widths: list[np.ndarray] = []
+        self.single: list[tuple[int, int]] = []
 
     def put(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
-
-    def put_uniform(self, channels: list[tuple[np.ndarray, int]]) -> bytes:
-        """The bits so far and, after them, for each pixel the code of each channel."""
-        head = np.unpackbits(np.frombuffer(self.value.to_bytes(self.n + 7 >> 3, "little"), np.uint8), bitorder="little")[: self.n]
-        columns = [np.unpackbits(codes.astype(np.uint8)[:, None], axis=1, bitorder="little")[:, :width] for codes, width in channels if width]
-        body = np.concatenate(columns, axis=1).ravel() if columns else np.zeros(0, np.uint8)
-        return np.packbits(np.concatenate([head, body]), bitorder="little").tobytes()
-
-
-def _put_uniform_code(writer: _Writer, alphabet: np.ndarray) -> tuple[np.ndarray | None, int]:
-    """A prefix code in which all used symbols have one length. Returns each symbol's code, its bits reversed as they are written, and the length."""
-    if len(alphabet) == 1:
-        writer.put(0b001 if alphabet[0] < 2 else 0b101, 3)
-        writer.put(int(alphabet[0]), 1 if alphabet[0] < 2 else 8)
-        return None, 0
-    width = max(1, int(len(alphabet) - 1).bit_length())
-    if len(alphabet) == 2:
-        writer.put(0b111, 3)
-        writer.put(int(alphabet[0]), 8)
-        writer.put(int(alphabet[1]), 8)
-        used = alphabet
-    else:
-        used = np.concatenate([alphabet, np.setdiff1d(np.arange(256), alphabet)[: (1 << width) - len(alphabet)]])
-        used.sort()
-        # lengths are written with a code for two symbols, 0 and width, of one bit each
-        writer.put(0, 1)
-        last = CODE_LENGTH_ORDER.index(width)
-        writer.put(max(4, last + 1) - 4, 4)
-        for k in CODE_LENGTH_ORDER[: max(4, last + 1)]:
-            writer.put(int(k in (0, width)), 3)
-        writer.put(0, 1)
-        flags = np.zeros(256, np.int64)
-        flags[used] = 1
-        writer.put(int.from_bytes(np.packbits(flags.astype(np.uint8), bitorder="little").tobytes(), "little"), 256)
-    codes = np.zeros(256, np.int64)
-    codes[used] = _reversed_bits(width)[: len(used)]
-    return codes, width
+        self.single.append((value, n))
+
+    def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
+        self._flush()
+        self.values.append(values)
+        self.widths.append(widths)
+
+    def _flush(self) -> None:
+        if self.single:
+            both = np.array(self.single, np.int64)
+            self.single.clear()
+            self.values.append(both[:, 0])
+            self.widths.append(both[:, 1])
+
+    def bytes(self) -> bytes:
+        self._flush()
+        values, widths = np.concatenate(self.values), np.concatenate(self.widths)
+        which = np.repeat(np.arange(len(widths), dtype=np.int32), widths)
+        ends = np.cumsum(widths)
+        bit = np.arange(len(which), dtype=np.int64) - (ends - widths)[which]
+        return np.packbits((values[which] >> bit & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+#: The longest code that the encoder may give; what a symbol's share is taken for at least, so that codes and their tables stay short; the
+#: shortest string of pixels that it refers back to.
+LONGEST, RAREST, MATCH = 12, 512, 6
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a complete prefix code, none above LONGEST: by the logarithm of each symbol's share, then shortened, the frequent first, until nothing is left."""
+    used = np.flatnonzero(counts)
+    lengths = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
+    own = np.maximum(counts[used], counts.sum() / RAREST)
+    n = np.ceil(np.log2(own.sum() / own)).astype(np.int64)
+    left = (1 << LONGEST) - int((1 << (LONGEST - n)).sum())
+    order = np.argsort(-own, kind="stable").tolist()
+    each = n.tolist()
+    for k in order:
+        while left and each[k] > 1 and 1 << (LONGEST - each[k]) <= left:
+            left -= 1 << (LONGEST - each[k])
+            each[k] -= 1
+        if not left:
+            break
+    lengths[used] = each
+    return lengths
+
+
+def _put_code(writer: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a prefix code for the symbols counted. Returns each symbol's code, as it is written, and its length."""
+    used = np.flatnonzero(counts)
+    codes, widths = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        writer.put(1, 1)
+        writer.put(max(len(used), 1) - 1, 1)
+        writer.put(1, 1)
+        for symbol in used.tolist() or [0]:
+            writer.put(symbol, 8)
+        if len(used) == 2:
+            codes[used], widths[used] = [0, 1], 1
+        return codes, widths
+    lengths = code_lengths(counts)
+    writer.put(0, 1)
+    writer.put(19 - 4, 4)  # lengths 0 to 15 have four bits each
+    for k in CODE_LENGTH_ORDER:
+        writer.put(4 if k < 16 else 0, 3)
+    n = max(2, int(used[-1]) + 1)
+    for value, width in ((1, 1), (5, 3), (n - 2, 12)):  # how many lengths follow
+        writer.put(value, width)
+    writer.put_all(_reversed_bits(4)[lengths[:n]], np.full(n, 4))
+    if len(used) > 1:
+        order = used[np.lexsort((used, lengths[used]))]
+        share = 1 << (LONGEST - lengths[order])
+        codes[order] = _reversed_bits(LONGEST)[np.cumsum(share) - share]
+        widths[order] = lengths[order]
+    return codes, widths
+
+
+def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lengths or distances: symbol, extra bits' value and their number."""
+    less = values - 1
+    top = np.floor(np.log2(np.maximum(less, 1))).astype(np.int64)
+    extra = np.maximum(top - 1, 0)
+    symbol = np.where(less < 2, less, 2 * top + (less >> np.maximum(top - 1, 0) & 1))
+    return symbol, np.where(less < 4, 0, less & ((1 << extra) - 1)), np.where(less < 4, 0, extra)
+
+
+def references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of strings of MATCH pixels or more, none longer than 4096, that stood before; first come, first served."""
+    n = len(pixels) - MATCH + 1
+    if n < 2:
+        return []
+    h = np.zeros(n, np.uint64)
+    for k in range(MATCH):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + pixels[k : k + n]
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    if not same.any():
+        return []
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    out, free = [], 0
+    for at in np.flatnonzero(before >= 0).tolist():
+        if at < free:
+            continue
+        back = at - int(before[at])
+        most = min(4096, len(pixels) - at)
+        differs = pixels[at : at + most] != pixels[at - back : at - back + most]
+        length = int(differs.argmax()) if differs.any() else most
+        if length >= MATCH:
+            out.append((at, length, back))
+            free = at + length
+    return out
+
+
+def _put_image(writer: _Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0) -> None:
+    """ARGB pixels, in a row, as an entropy-coded image."""
+    writer.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        writer.put(cache_bits, 4)
+    if main:
+        writer.put(0, 1)  # no meta prefix image
+    copies = np.array(references(pixels), np.int64).reshape(-1, 3)
+    covered = np.zeros(len(pixels) + 1, np.int64)
+    covered[copies[:, 0]] += 1
+    covered[copies[:, 0] + copies[:, 1]] -= 1
+    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    fields = np.zeros((len(pixels), 4), np.int64)  # of a token at its place: symbols of green, red, blue; or of length, distance
+    kind = np.full(len(pixels), -1, np.int8)  # 0: literal, 1: cache, 2: copy
+    kind[alone] = 0
+    fields[:, 0], fields[:, 1], fields[:, 2], fields[:, 3] = pixels >> 8 & 255, pixels >> 16 & 255, pixels & 255, pixels >> 24
+    if cache_bits:
+        key = (pixels * np.uint32(CACHE_HASH)) >> np.uint32(32 - cache_bits)
+        order = np.argsort(key, kind="stable")
+        hit = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+        hits = order[1:][hit]
+        hits = hits[kind[hits] == 0]
+        kind[hits] = 1
+        fields[hits, 0] = 280 + key[hits]
+    symbol, extra, n_extra = _prefix(copies[:, 1])
+    far, far_extra, n_far = _prefix(copies[:, 2] + 120)
+    kind[copies[:, 0]] = 2
+    fields[copies[:, 0], 0] = 256 + symbol
+    literal, tokens = kind == 0, kind >= 0
+    counts = [np.bincount(fields[tokens, 0], minlength=280 + (1 << cache_bits if cache_bits else 0)), *(np.bincount(fields[literal, k], minlength=256) for k in (1, 2, 3)), np.bincount(far, minlength=40)]
+    codes = [_put_code(writer, c) for c in counts]
+    values, widths = np.zeros((len(pixels), 4), np.int64), np.zeros((len(pixels), 4), np.int64)
+    values[tokens, 0], widths[tokens, 0] = codes[0][0][fields[tokens, 0]], codes[0][1][fields[tokens, 0]]
+    for k in (1, 2, 3):
+        values[literal, k], widths[literal, k] = codes[k][0][fields[literal, k]], codes[k][1][fields[literal, k]]
+    values[copies[:, 0], 1:], widths[copies[:, 0], 1:] = np.stack([extra, codes[4][0][far], far_extra], axis=1), np.stack([n_extra, codes[4][1][far], n_far], axis=1)
+    writer.put_all(values.ravel(), widths.ravel())
 
 
 def encode(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of R, G, B samples (height, width, 3): literals under prefix codes of one length for each channel, as short as its number of distinct samples allows."""
+    """A lossless WebP file of R, G, B samples (height, width, 3)."""
     height, width, _ = samples.shape
     if not (0 < height <= MAX_SIDE and 0 < width <= MAX_SIDE):
         raise WebPError("a side is outside 1 to 16384")
     writer = _Writer()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        writer.put(value, n)  # then: no transform, no colour cache, no meta prefix image
-    planes = {c: samples[..., k].ravel() for k, c in enumerate("RGB")}
-    coded = {}
-    for c in "GRB":
-        alphabet = np.flatnonzero(np.bincount(planes[c], minlength=256))
-        if c == "G" and len(alphabet) > 2:
-            # green shares its alphabet with lengths; the lengths after the 256th are left out
-            coded[c] = _put_green(writer, alphabet)
-        else:
-            coded[c] = _put_uniform_code(writer, alphabet)
-    _put_uniform_code(writer, np.array([255]))  # alpha
-    _put_uniform_code(writer, np.array([0]))  # distance
-    stream = writer.put_uniform([(codes[planes[c]] if codes is not None else planes[c], n) for c, (codes, n) in coded.items()])
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
+        writer.put(value, n)
+    planes = samples.reshape(-1, 3).astype(np.uint32)
+    pixels = planes[:, 0] << 16 | planes[:, 1] << 8 | planes[:, 2] | np.uint32(255 << 24)
+    colours, index = np.unique(pixels, return_inverse=True)
+    if len(colours) <= 256 and 4 * len(colours) <= len(pixels):
+        writer.put(1, 1)
+        writer.put(COLOUR_INDEXING, 2)
+        writer.put(len(colours) - 1, 8)
+        channels = _channels(colours)
+        _put_image(writer, _joined(np.diff(channels, axis=0, prepend=np.zeros((1, 4), np.int32))), main=False)
+        pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        rows = np.pad(index.reshape(height, width), ((0, 0), (0, -width % (1 << pack)))).reshape(height, -1, 1 << pack)
+        packed = (rows << np.arange(1 << pack) * (8 >> pack)).sum(axis=2).ravel()
+        pixels, cache_bits = packed.astype(np.uint32) << np.uint32(8) | np.uint32(255 << 24), 0
+    else:
+        cache_bits = min(10, max(4, len(pixels).bit_length() - 4))
+    writer.put(0, 1)
+    _put_image(writer, pixels, main=True, cache_bits=cache_bits)
+    stream = writer.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
-
-
-def _put_green(writer: _Writer, alphabet: np.ndarray) -> tuple[np.ndarray | None, int]:
-    """As _put_uniform_code; the alphabet has 280 symbols, so the number of lengths that follow, 256, is said."""
-    before = writer.n
-    codes, width = _put_uniform_code(writer, alphabet)
-    own = writer.value >> before
-    size = writer.n - before
-    lengths_at = size - 256 - 1  # the flag "all lengths follow"
-    writer.value &= (1 << before) - 1
-    writer.n = before
-    writer.put(own & ((1 << lengths_at) - 1), lengths_at)
-    writer.put(1, 1)
-    writer.put(3, 3)  # the count is written in 2 + 2 * 3 bits
-    writer.put(256 - 2, 8)
-    writer.put(own >> (lengths_at + 1), 256)
-    return codes, width
-
-
-SHORT_DISTANCES = _short_distances()

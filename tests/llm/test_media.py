@@ -110,3 +110,49 @@ def test_columns(spark, tmp_path: Path):
     broken = spark.createDataFrame([(bytearray(b"junk"),), (None,)], "media binary")
     assert {r.error for r in media_columns.decode_column(broken).collect()} == {"no image", "null"}
     assert media_columns.decode_column(broken.limit(0)).count() == 0
+
+
+def test_the_table_of_short_distances():
+    """Nearest first; at one distance by |dx|, and of a mirrored pair the positive dx first."""
+    near = [(dx, dy) for dy in range(8) for dx in range(-7, 9) if dy or dx > 0]
+    assert list(webp.SHORT_DISTANCES) == sorted(near, key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
+
+
+def test_the_encoder_uses_the_format(monkeypatch):
+    """Rows of text come back through the general decoder: prefix codes of several lengths, references, the cache, a palette."""
+    seen = set()
+    lengths, put = webp.code_lengths, webp._put_image
+    monkeypatch.setattr(webp, "code_lengths", lambda c: seen.add(("lengths", len(set(lengths(c)[lengths(c) > 0]) ) > 1)) or lengths(c))
+    monkeypatch.setattr(webp, "_put_image", lambda w, p, main, cache_bits=0: seen.update({("references", bool(webp.references(p))), ("cache", cache_bits > 0), ("palette", not main)}) or put(w, p, main, cache_bits))
+    rng = random.Random(1)
+    line = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(12)) + " "
+    for data in ((line * 5 + "".join(rng.choices("the quick brown fox", k=3000))).encode(), b"ab " * 2000, b""):
+        media = media_columns.store(media_columns.padded(data))
+        back = b"".join(np.ascontiguousarray(p[..., :3]).tobytes() for p in media_columns.images(media))
+        assert back == media_columns.padded(data)
+        assert len(media) < len(back) or not data
+    assert {("lengths", True), ("references", True), ("cache", True), ("palette", True)} <= seen
+
+
+def test_code_lengths_are_complete():
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 17, 300, 1304):
+        for counts in (np.ones(n, int), rng.integers(1, 10**6, n), (2.0 ** rng.uniform(0, 40, n)).astype(int)):
+            got = webp.code_lengths(counts)
+            assert (2.0**-got).sum() == 1 and got.min() >= 1 and got.max() <= webp.LONGEST
+
+
+def test_a_header_that_claims_too_much():
+    media = bytearray(webp.encode(np.zeros((2, 64, 3), np.uint8)))
+    media[21:25] = (16383 | 16383 << 14).to_bytes(4, "little")
+    with pytest.raises(webp.WebPError, match="too large"):
+        webp.decode(bytes(media))
+
+
+@pytest.mark.parametrize("name", ["media", "pixels", "error"])
+def test_columns_of_clashing_names(spark, name):
+    df = spark.createDataFrame([(1, "abc", "mine")], f"doc_id long, text string, {name} string")
+    encoded = media_columns.encode_column(df)
+    assert sorted(encoded.columns) == sorted({"doc_id", "text", "media", name})
+    row = media_columns.decode_column(encoded).collect()[0]
+    assert bytes(row.pixels[0].rgba)[:4] == b"abc\xff" and row.error is None and row.media != "mine"

@@ -185,6 +185,60 @@ def put_image(bits, image, main=False, cache_bits=0, copies=False, tile=0):
                 bits.put(extra, n)
 
 
+def guess(mode, left, top, top_left, top_right):
+    """The format's 14 predictions, channel by channel, in whole numbers."""
+
+    def average(a, b):
+        return [(x + y) // 2 for x, y in zip(a, b, strict=True)]
+
+    def clamp(v):
+        return max(0, min(255, v))
+
+    if mode == 11:
+        to_left = sum(abs(t - c) for t, c in zip(top, top_left, strict=True))
+        to_top = sum(abs(x - c) for x, c in zip(left, top_left, strict=True))
+        return left if to_left < to_top else top
+    if mode == 12:
+        return [clamp(x + t - c) for x, t, c in zip(left, top, top_left, strict=True)]
+    if mode == 13:
+        return [clamp(a + int((a - c) / 2)) for a, c in zip(average(left, top), top_left, strict=True)]
+    by_mode = {
+        0: [255, 0, 0, 0], 1: left, 2: top, 3: top_right, 4: top_left, 5: average(average(left, top_right), top), 6: average(left, top_left), 7: average(left, top),
+        8: average(top_left, top), 9: average(top, top_right), 10: average(average(left, top_left), average(top, top_right)),
+    }
+    return by_mode[mode]
+
+
+def residuals(argb, modes, tile):
+    """Pixels (A, R, G, B) less their predictions."""
+    height, width, _ = argb.shape
+    own = argb.tolist()
+    out = argb.copy()
+    for y in range(height):
+        for x in range(width):
+            if y == 0:
+                expected = own[0][x - 1] if x else [255, 0, 0, 0]
+            elif x == 0:
+                expected = own[y - 1][0]
+            else:
+                right = own[y - 1][x + 1] if x + 1 < width else own[y][0]
+                expected = guess(int(modes[y >> tile, x >> tile]), own[y][x - 1], own[y - 1][x], own[y - 1][x - 1], right)
+            out[y, x] = [(a - b) % 256 for a, b in zip(own[y][x], expected, strict=True)]
+    return out
+
+
+def decorrelated(argb, factors, tile):
+    """Red less a part of green; blue less parts of green and of the red that there was."""
+    signed = lambda v: v - 256 if v > 127 else v
+    out = argb.copy()
+    for y, row in enumerate(argb.tolist()):
+        for x, (_, red, green, blue) in enumerate(row):
+            _, red_to_blue, green_to_blue, green_to_red = (signed(int(v)) for v in factors[y >> tile, x >> tile])
+            out[y, x, 1] = (red - (green_to_red * signed(green) >> 5)) % 256
+            out[y, x, 3] = (blue - (green_to_blue * signed(green) >> 5) - (red_to_blue * signed(red) >> 5)) % 256
+    return out
+
+
 def write(rgba, transforms=(), **how):
     """A WebP file of the pixels after the transforms, in order: ('predictor', modes, tile), ('cross', factors, tile), ('green',), ('palette',)."""
     height, width, _ = rgba.shape
@@ -198,12 +252,12 @@ def write(rgba, transforms=(), **how):
             bits.put(webp.PREDICTOR, 2)
             bits.put(t[2] - 2, 3)
             put_image(bits, (t[1].astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000))
-            c = webp._walk_predictor(c, t[1], t[2], undo=False)
+            c = residuals(c, t[1], t[2])
         elif t[0] == "cross":
             bits.put(webp.CROSS_COLOUR, 2)
             bits.put(t[2] - 2, 3)
             put_image(bits, webp._joined(t[1]))
-            c = webp._cross_colour(c, t[1], t[2], undo=False)
+            c = decorrelated(c, t[1], t[2])
         elif t[0] == "green":
             bits.put(webp.SUBTRACT_GREEN, 2)
             c = c.copy()
