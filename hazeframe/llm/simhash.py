@@ -202,25 +202,48 @@ def near_links(points: DataFrame, radius: int, balls: tuple[int, ...], n_words:
     return dealt.groupBy("group").applyInArrow(meet, "a long, b long")
 
 
-#: For a radius of 4: balls of radius 1 around the first of three segments and the values of the others; 25 buckets for each fingerprint.
-RADIUS, BALLS = 4, (1, 0, 0)
+RADIUS = 4
+#: A comparison of two fingerprints in a bucket costs about as much as a COMPARED-th of an entry that is dealt to it.
+COMPARED = 64
 
 
-def near_components(prints: DataFrame, radius: int = RADIUS, balls: tuple[int, ...] = BALLS) -> DataFrame:
-    """prints (doc_id, w0, ...) to (w0, ..., component): each fingerprint once, with the smallest doc_id reachable over links of at most radius bits."""
+def balls_for(n: int, radius: int = RADIUS) -> tuple[int, ...]:
+    """The cheapest balls around segments, one of them at least of radius 1, that miss no pair of n fingerprints up to `radius` bits apart.
+
+    Fewer, wider segments with larger balls deal more entries, but to buckets that grow more slowly with n: at a radius of 4, four
+    segments up to some ten thousand fingerprints, three up to some ten million, then two of 32 bits.
+    """
+
+    def cost(balls: tuple[int, ...]) -> float:
+        total = 0.0
+        for (_, width), r in zip(segments(len(balls)), balls, strict=True):
+            entries = sum(math.comb(width, k) for k in range(r + 1))
+            total += entries * (1 + n * entries / 2.0**width / COMPARED)
+        return total
+
+    choices = []
+    for count in range(1, radius + 1):
+        ones = max(1, -(-(radius + 1 - count) // 2))
+        choices.append(tuple(ones // count + (k < ones % count) for k in range(count)))
+    return min((b for b in choices if finds(b) >= radius and max(b) <= 2), key=cost)
+
+
+def near_components(prints: DataFrame, radius: int = RADIUS, balls: tuple[int, ...] | None = None) -> DataFrame:
+    """prints (doc_id, w0, ...) to (w0, ..., component): each fingerprint once, with the smallest doc_id reachable over links of at most radius bits. balls: by the number of fingerprints if None."""
     words = [c for c in prints.columns if c != "doc_id"]
     first = F.min(F.coalesce("doc_id", F.lit(2**63 - 1)))
     node = F.col("w0") if len(words) == 1 else F.xxhash64(*words)
     points = C.stored(prints.groupBy(*words).agg(first.alias("first")).withColumn("node", node), "fingerprints")
-    joined = components(near_links(points, radius, balls, len(words)))
+    joined = components(near_links(points, radius, balls or balls_for(points.count(), radius), len(words)))
     sets = points.join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     smallest = sets.groupBy("root").agg(F.min("first").alias("smallest"))
     return sets.join(smallest, "root").select(*words, F.col("smallest").alias("component"))
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS, balls: tuple[int, ...] = BALLS) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, radius: int = RADIUS, balls: tuple[int, ...] | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs (doc_id, text)."""
-    assert finds(balls) >= radius, "these balls would miss links"
+    if balls is not None and finds(balls) < radius:
+        raise ValueError("these balls would miss links")
     prints = C.stored(fingerprints(docs, words), "prints")
     groups = near_components(prints, radius, balls)
     return prints.join(groups, "w0").select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

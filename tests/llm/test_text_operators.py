@@ -200,6 +200,13 @@ def test_matches_are_all_pairs_within_one_bit():
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_balls_miss_no_pair_and_one_is_a_ball():
+    for radius in (1, 2, 4, 6):
+        for n in (0, 10**3, 10**6, 10**9, 10**12):
+            balls = simhash.balls_for(n, radius)
+            assert simhash.finds(balls) >= radius and max(balls) >= 1
+
+
 def test_layout_keeps_groups_small_and_pairs_met():
     for n in (0, 1, 50, 10**5, 10**8, 10**11):
         for together in (simhash.TOGETHER, simhash.WITH_SETS):
