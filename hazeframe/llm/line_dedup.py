@@ -126,12 +126,13 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     return whole
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, filter_bits: int | None = None) -> DataFrame:
-    """docs (doc_id, text and any others) with text cleaned, and n_lines (before), n_dropped, long. filter_bits: log2 of the filters' bits, by the input's size if None."""
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, filter_bits: int | None = None, counts: bool = True) -> DataFrame:
+    """docs (doc_id, text and any others) with text cleaned, and, if counts, n_lines (before) and n_dropped, long. filter_bits: log2 of the filters' bits, by the input's size if None."""
     spark = docs.sparkSession
     C.bound_batches(spark)
     bits = filter_bits_for(docs) if filter_bits is None else filter_bits
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    results = ["n_lines", "n_dropped"] if counts else []
+    others = [c for c in docs.columns if c not in results]
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     # the text goes by itself, so that no row holds it twice
     rows = docs.select(F.struct(*(c for c in others if c != "text"), F.col("text").isNull().alias("__null")).alias("row"), ids.alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -197,7 +198,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, filter_bits: int | N
     cleaned = rows.mapInArrow(parted(False), rows.schema).join(drops, "id", "left").select("row", "id", "text", "drops").mapInArrow(drop, counted)
     out = rows.mapInArrow(parted(True), counted).unionByName(cleaned)
     changed = F.when(~F.col("row").getField("__null"), F.col("text"))
-    return out.select(*(changed.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in others), "n_lines", "n_dropped")
+    return out.select(*(changed.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in others), *results)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,21 +212,31 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mode
     return calibrate(model, *(sorted(list(row["x"]) for row in rows if row["toxic"] == k) for k in (1, 0)), share)
 
 
-def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxicity (double, 0 to 1); all columns pass through, one of that name is replaced."""
-    others = [c for c in docs.columns if c != "toxicity"]
+def _scored(docs: DataFrame, columns: list[str], model: Model) -> DataFrame:
+    """row (the columns of docs) and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             found = pa.array([score(text, shared.value) for text in C.as_bytes(batch.column("text"))], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), found], ["row", "toxicity"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), found], ["row", "score"])
         C.release_memory()
 
     C.bound_batches(docs.sparkSession)
-    packed = docs.select(F.struct(*others).alias("row"), F.col("text").alias("text"))
-    scored = packed.mapInArrow(run, packed.select("row", F.lit(0.0).alias("toxicity")).schema)
-    return scored.select(*(F.col("row").getField(c).alias(c) for c in others), "toxicity")
+    packed = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text"))
+    return packed.mapInArrow(run, packed.select("row", F.lit(0.0).alias("score")).schema)
+
+
+def toxicity(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with toxicity (double, 0 to 1); all columns pass through, one of that name is replaced."""
+    others = [c for c in docs.columns if c != "toxicity"]
+    return _scored(docs, others, model).select(*(F.col("row").getField(c).alias(c) for c in others), F.col("score").alias("toxicity"))
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns as they are."""
+    kept = _scored(docs, docs.columns, model).filter(F.col("score") < threshold)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,27 @@ def test_stages_follow_brute_force(spark):
             before = after[name]
 
 
+def test_stages_take_nulls_ties_empty_tables_and_columns_of_any_name(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, row string, id string, toxicity string, n_lines string, drops string, node string"
+    texts = [None, "", "a line that is long enough\nshort", "A LINE that is long enough \nother", " ".join(f"w{k}" for k in range(5000)), "same text of some words here", "same text of some words here"]
+    rows = [(k, t, None, None, None, *["mine"] * 6) for k, t in enumerate(texts)] + [(3, texts[3], None, None, None, *["mine"] * 6), (None, "text of no id, long enough", None, None, None, *["mine"] * 6)]
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        own = out.collect()
+        assert all(r["row"] == r["drops"] == r["node"] == "mine" for r in own), name
+        if name == "simhash_near_dedup":
+            assert sorted(r.doc_id if r.doc_id is not None else -1 for r in own) == [-1, 0, 2, 3, 3, 4, 5]
+        elif name == "line_dedup":
+            assert len(own) == len(rows) and {r.text for r in own if r.doc_id == 3} == {"other"} and [r.text for r in own if r.doc_id == 0] == [None]
+        elif name == "decontamination":
+            assert len(own) == len(rows)
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+    packed = P.STAGES[-1][1](spark, docs, DATA).collect()
+    assert len({r.doc_id for r in packed}) == 8 and P.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
+
+
 def test_registered_queries_return_their_contracts(spark):
     contracts = {
         "op1": "doc_id n_bytes n_tokens over_limit", "op2": "doc_id fingerprint component_id", "op3": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",

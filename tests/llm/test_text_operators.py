@@ -507,3 +507,89 @@ def test_lm_scores_are_normalised_and_counts_exact(spark, monkeypatch):
         for k, share in within.items():
             assert share + (0 if k < model.own else 0.5 / 10 ** model.log_class[k]) == pytest.approx(1, abs=1e-9)
     assert lm_scoring.score(empty(spark), F.lit(True)).count() == 0
+
+
+# --- what is learned, against plain computations
+
+
+def test_long_texts_alone_teach_a_language_and_a_label(spark):
+    rng = random.Random(31)
+    make = lambda parts, n: " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(n))
+    common, rare = ["the", "ing", "and", "wh"], ["zzo", "kip", "lum", "raf"]
+    rows = [(k, make(common, 40), "aa") for k in range(60)] + [(100 + k, make(rare, 9000), "dd") for k in range(4)] + [(200, make(rare, 30), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == ["aa", "dd"]
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}[200] == "dd"
+    bad = ["scoundrel", "blockhead", "nitwit"]
+    texts = [(k, " ".join(rng.choice(bad) if k % 2 and rng.random() < 0.1 else make(common, 1) for _ in range(8000 if k % 2 else 80))) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    assert model.constant is None
+    score = lambda n, share: toxicity.score(" ".join(rng.choice(bad) if rng.random() < share else make(common, 1) for _ in range(n)).encode(), model)
+    assert score(8000, 0.1) > 0.5 > score(80, 0.0)
+
+
+def test_languages_are_counted_and_mixed_like_plain_loops(spark):
+    rng = random.Random(32)
+    parts = {"aa": ["the", "ing", "ä"], "bb": ["sch", "ung", "ß"], "cc": ["que", "les", "é"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(k, make(lang, rng.randint(1, 30)), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 8)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def grams(text):
+        data = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()) + b" "
+        return [int.from_bytes(data[k : k + 3], "big") for k in range(len(data) - 2)]
+
+    counts = {lang: Counter(g for _, t, own in rows for g in grams(t) if own == lang) for lang in parts}
+    assert model.languages == sorted(parts) and set(model.trigrams.tolist()) == {g for c in counts.values() for g in c}  # fewer than TRIGRAMS
+    known = {g: k for k, g in enumerate(model.trigrams.tolist())}
+    for k, lang in enumerate(model.languages):
+        total = sum(counts[lang].values()) + 0.5 * (len(known) + 1)
+        assert all(model.shares[k, j] == pytest.approx((counts[lang][g] + 0.5) / total, rel=1e-4) for g, j in known.items())
+    for text in (make("aa", 30), make("aa", 25) + " " + make("cc", 20), make("bb", 1), "unseen wörds only"):
+        own = [known.get(g, len(known)) for g in grams(text)]
+
+        def em(allowed, own=own):
+            p = {i: 1 / len(allowed) for i in allowed}
+            for _ in range(language_id.STEPS if len(allowed) > 1 else 0):
+                new = dict.fromkeys(allowed, 0.0)
+                for g in own:
+                    whole = sum(p[i] * float(model.shares[i, g]) for i in allowed)
+                    for i in allowed:
+                        new[i] += p[i] * float(model.shares[i, g]) / whole / len(own)
+                p = new
+            return p, sum(math.log(sum(p[i] * float(model.shares[i, g]) for i in allowed)) for g in own)
+
+        order = sorted(range(3), key=lambda i: -em(range(3))[0][i])  # noqa: B023
+        best, kept = -math.inf, {}
+        for k in range(1, 4):
+            p, likelihood = em(order[:k])
+            value = likelihood - (k - 1) * language_id.PENALTY * math.log(len(own) + 1)
+            if value <= best:
+                break
+            best, kept = value, p
+        got = language_id.infer([text, "another one"], model)[0]
+        assert {i for i in range(3) if got[i] > 0} == set(kept) and all(got[i] == pytest.approx(kept[i], abs=2e-3) for i in kept)
+
+
+def test_toxicity_is_what_plain_compression_gives(spark):
+    import zstandard
+
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choices(["the", "ing", "and", "wh", "er"], k=rng.randint(1, 3)))
+    text = lambda n, share: " ".join(rng.choice(["scoundrel", "blockhead"]) if rng.random() < share else word() for _ in range(n))
+    rows = [(k, text(rng.randint(20, 120), 0.1 * (k % 3 == 0))) for k in range(120)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int"))
+    assert model.toxic.endswith(model.ordinary) and len(model.toxic) > len(model.ordinary) > 0
+    how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, min_match=4, search_log=4, window_log=17, hash_log=15, chain_log=15, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda window, content: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(window))
+    for own in ("", "Short", rows[0][1], rows[1][1] + " BLOCKHEAD"):
+        data = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in own).encode()
+        cut = [data[k : k + 64] for k in range(0, max(1, len(data) - 16), 48)]
+        gain = [size(w, model.ordinary) - size(w, model.toxic) for w in cut]
+        assert toxicity.gains(own.encode(), model).tolist() == gain
+        shares = [sum(g >= t for g in gain) / len(gain) for t in toxicity.GAINS]
+        x = [1.0, *(10 * s for s in shares), *(math.log(1 + s * len(gain)) for s in shares), max(gain) / 4, math.log(1 + len(gain)) / 4]
+        z = sum(a * b for a, b in zip(x, model.weights, strict=True))
+        assert toxicity.score(own.encode(), model) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
