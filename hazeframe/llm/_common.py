@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of Arrow data that go to a Python worker at once; bounds a worker's memory whatever the texts' lengths.
 ARROW_BYTES = "8m"
 
+#: Rows of a few numbers that one task writes.
+ROWS_A_FILE = 50_000
+
 #: A-Z to a-z on UTF-8 bytes; no other byte changes, so it is safe inside multi-byte characters.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -68,8 +71,9 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def stored(self, df: DataFrame, label: str) -> DataFrame:
-        out, path = stored_at(df, label)
+    def stored(self, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+        """rows: how many there are, about, where each is a few numbers; then as few files are written as these fill."""
+        out, path = stored_at(df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE), label)
         self.paths.append(path)
         return out
 

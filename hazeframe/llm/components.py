@@ -27,7 +27,7 @@ def components(links: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = rounds.stored(small, "stars")
+        edges = rounds.stored(small, "stars", now[0])
         rounds.clear(keep=1)
     if scratch is not None:
         scratch.paths += rounds.paths

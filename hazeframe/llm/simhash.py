@@ -233,7 +233,8 @@ def near_components(prints: DataFrame, radius: int = RADIUS, balls: tuple[int, .
     words = [c for c in prints.columns if c != "doc_id"]
     first = F.min(F.coalesce("doc_id", F.lit(2**63 - 1)))
     node = F.col("w0") if len(words) == 1 else F.xxhash64(*words)
-    points = C.stored(prints.groupBy(*words).agg(first.alias("first")).withColumn("node", node), "fingerprints")
+    scratch, n = C.Scratch(prints.sparkSession), prints.count()
+    points = scratch.stored(prints.groupBy(*words).agg(first.alias("first")).withColumn("node", node), "fingerprints", n)
     joined = components(near_links(points, radius, balls or balls_for(points.count(), radius), len(words)))
     sets = points.join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     smallest = sets.groupBy("root").agg(F.min("first").alias("smallest"))
@@ -483,12 +484,12 @@ def links_apart(words: np.ndarray, sets: list[np.ndarray], label: np.ndarray, ke
 
 
 def _met(points: DataFrame, together: int) -> DataFrame:
-    """points (node: distinct; size, w0, ...; in the second round also cluster and shingles, packed) to pairs (a, b) of nodes, repeats included. First round: nearest_partners; second: links_apart."""
+    """points (node: distinct; size, w0, ...) to pairs (a, b) of nodes, repeats included: nearest_partners. With cluster: pairs_apart, and nodes of a crowd with b null. With cluster and shingles, packed: links_apart."""
     n_points = points.count()
     route, segment, bands = layout(n_points, together)
     sample = sampled_bits(route, segment, bands)
-    second = "shingles" in points.columns
-    names = ["node", "size", *(f"w{k}" for k in range(SIMILAR_WORDS)), *(["cluster", "shingles"] if second else [])]
+    clustered, second = ("cluster" in points.columns), ("shingles" in points.columns)
+    names = ["node", "size", *(f"w{k}" for k in range(SIMILAR_WORDS)), *(["cluster"] if clustered else []), *(["shingles"] if second else [])]
     parts = ["nodes", "sizes", "words", "clusters", "shingles"]
     C.bound_batches(points.sparkSession)
 
@@ -534,7 +535,7 @@ def _met(points: DataFrame, together: int) -> DataFrame:
         for batch in C.slices(batches, 512 if second else 4096):
             words = words_of(batch)
             bits = _unpacked(words)
-            held = [batch.column("node").to_numpy(), batch.column("size").to_numpy().astype(np.int32), words, *([batch.column("cluster").to_numpy()] if second else [])]
+            held = [batch.column("node").to_numpy(), batch.column("size").to_numpy().astype(np.int32), words, batch.column("cluster").to_numpy() if clustered else np.zeros(len(words), np.int64)]
             packed = batch.column("shingles").to_pylist() if second else []
             rows = []
             for band in range(bands):
@@ -543,7 +544,7 @@ def _met(points: DataFrame, together: int) -> DataFrame:
                 begins = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0])) if len(to) else []
                 for at, end in zip(begins, [*begins[1:], len(to)], strict=False):
                     which = order[at:end]
-                    rows.append((int(to[which[0]]), *(x[which].tobytes() for x in held), *([b"".join(packed[k] for k in which)] if second else [b"", b""])))
+                    rows.append((int(to[which[0]]), *(x[which].tobytes() for x in held), b"".join(packed[k] for k in which) if second else b""))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5), strict=True)], ["group", *parts])
         C.release_memory()
@@ -553,12 +554,16 @@ def _met(points: DataFrame, together: int) -> DataFrame:
         words, sizes = words.reshape(-1, SIMILAR_WORDS), sizes.astype(np.int64)
         own, bits = sample[key[0].as_py() >> 48][route:], _unpacked(words)
         keys = [_value(bits[:, own[t * segment : (t + 1) * segment]]) for t in range(TABLES)]
+        many = np.zeros(0, np.int64)
         if second:
             a, b = links_apart(words, np.split(shingles, np.cumsum(sizes)[:-1]), clusters, keys, segment)
+        elif clustered:
+            a, b, many = pairs_apart(words, sizes, clusters, keys, segment)
         else:
             a, b = nearest_partners(words, sizes, keys, segment)
         C.release_memory()
-        return pa.table({"a": nodes[a], "b": nodes[b]})
+        alone = np.arange(len(a) + len(many)) >= len(a)
+        return pa.table({"a": np.concatenate([nodes[a], nodes[many]]), "b": pa.array(np.concatenate([nodes[b], nodes[many]]), pa.int64(), mask=alone)})
 
     dealt = points.select(*names).mapInArrow(deal, "group long, " + ", ".join(f"{n} binary" for n in parts))
     return dealt.groupBy("group").applyInArrow(meet, "a long, b long")
@@ -614,18 +619,26 @@ def similar_components(docs: DataFrame, words: int, scratch: C.Scratch) -> DataF
     """(first, component): for each distinct set of shingles the smallest id that has it, and the smallest that is reachable over pairs that are alike.
 
     First each node is verified with the nearest candidates and hubs that it has, one of each for a group; that joins most of what
-    belongs together. Then nodes that have a candidate meet once more, with their sets, and all pairs of different clusters are verified
-    where they meet, so that only links leave a group.
+    belongs together. Then all candidates that are still apart are verified: pairs by their texts, and nodes of a crowd, whose pairs
+    would be too many, where they meet once more with their sets, so that only links leave a group.
     """
     names = [f"w{k}" for k in range(SIMILAR_WORDS)]
-    points = scratch.stored(set_prints(docs, words).groupBy("node", "size", *names).agg(F.min("id").alias("first")), "fingerprints")
-    tried = scratch.stored(_met(points, TOGETHER).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    n = docs.count()
+    points = scratch.stored(set_prints(docs, words).groupBy("node", "size", *names).agg(F.min("id").alias("first")), "fingerprints", n)
+    tried = scratch.stored(_met(points, TOGETHER).select(*ordered).distinct(), "tried", n)
     near = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = scratch.stored(texts_of(docs, points.join(near, "node").select("node", "first"), words), "texts")
     links = scratch.stored(verified(tried, texts, words), "links")
-    clusters = scratch.stored(components(links, scratch), "clusters")
-    apart = points.join(with_sets(texts, words), "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component", "first")
-    links = links.unionByName(scratch.stored(_met(scratch.stored(apart, "apart"), WITH_SETS), "links"))
+    clusters = scratch.stored(components(links, scratch), "clusters", n)
+    apart = scratch.stored(points.join(texts.select("node"), "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component", "first"), "apart", n)
+    more = scratch.stored(_met(apart, TOGETHER).distinct(), "more", n)
+    pairs = more.filter("b IS NOT NULL").select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(scratch.stored(verified(scratch.stored(pairs, "pairs", n), texts, words), "links"))
+    crowd = more.filter("b IS NULL").select(F.col("a").alias("node")).distinct()
+    if crowd.limit(1).count():
+        held = apart.join(crowd, "node").join(with_sets(texts.join(crowd, "node", "left_semi"), words), "node")
+        links = links.unionByName(scratch.stored(_met(scratch.stored(held, "crowd"), WITH_SETS), "links"))
     sets = points.select("node", "first").join(components(links, scratch), "node", "left").withColumn("root", F.coalesce("component", "node"))
     return sets.join(sets.groupBy("root").agg(F.min("first").alias("smallest")), "root").select("first", F.col("smallest").alias("component"))
 
@@ -633,7 +646,7 @@ def similar_components(docs: DataFrame, words: int, scratch: C.Scratch) -> DataF
 def near_unique(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of docs (doc_id, text and any others) whose doc_id is the smallest of its group of near-duplicates. Rows that share a doc_id are one document."""
     scratch = C.Scratch(docs.sparkSession)
-    kept = scratch.stored(similar_components(docs, words, scratch).select(F.col("component").alias("__kept")).distinct(), "kept")
+    kept = scratch.stored(similar_components(docs, words, scratch).select(F.col("component").alias("__kept")).distinct(), "kept", docs.count())
     scratch.clear(keep=1)
     return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("__kept"), "left_semi")
 
