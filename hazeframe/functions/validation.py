@@ -26,7 +26,7 @@ RULES: dict[str, tuple[tuple[type, ...], str, Callable[[Any], bool], str]] = {
     "wb": (_NUMBER, "int or float", lambda v: 0 <= v <= 1, "in [0, 1]"),
     **dict.fromkeys(("tau", "stop_threshold"), (_NUMBER, "int or float", lambda v: v >= 0, ">= 0")),
     "n_jobs": ((int,), "int", lambda v: v != 0, "!= 0"),
-    "sigma": ((bool,), "bool", lambda v: True, ""),
+    **dict.fromkeys(("sigma", "snapshot"), ((bool,), "bool", lambda v: True, "")),
 }
 
 

@@ -66,9 +66,12 @@ def best_k(order_values: np.ndarray, true_value: float, max_k: int) -> int:
     return int(errors.argmin()) + 1
 
 
-def impute_rows(x: np.ndarray, train: np.ndarray | None, ids: np.ndarray, *, means: Sequence[float], bounds: Sequence[float], max_k: int, max_iter: int, seed: int) -> np.ndarray:
-    """x with its NaN filled, rows with fewer of them first; each filled row serves those after it. train: further rows of the pool."""
-    pool = x.copy() if train is None or (train.shape == x.shape and np.array_equal(train, x, equal_nan=True)) else np.vstack([x, train])
+def impute_rows(x: np.ndarray, train: np.ndarray | None, ids: np.ndarray, *, means: Sequence[float], bounds: Sequence[float], max_k: int, max_iter: int, seed: int, feedback: bool = True) -> np.ndarray:
+    """x with its NaN filled, rows with fewer of them first; each filled row serves those after it. train: further rows of the pool. Without feedback, train (x if there is none) is the whole pool and stays as it is."""
+    if not feedback:
+        pool = x.copy() if train is None else train
+    else:
+        pool = x.copy() if train is None or (train.shape == x.shape and np.array_equal(train, x, equal_nan=True)) else np.vstack([x, train])
     missing = np.isnan(x)
     out = x.copy()
     rows = np.flatnonzero(missing.any(axis=1))
@@ -91,7 +94,8 @@ def impute_rows(x: np.ndarray, train: np.ndarray | None, ids: np.ndarray, *, mea
             else:
                 rows_for = np.vstack([usable, row])
             out[i] = chained_impute(rows_for, max_iter, bounds)[-1]
-        pool[i] = out[i]
+        if feedback:
+            pool[i] = out[i]
     return out
 
 

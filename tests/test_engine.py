@@ -463,3 +463,20 @@ def test_samples_are_by_arithmetic_or_hash(spark):
     df = spark.range(100)
     assert {r.id for r in R.stable_sample(df, "id", 10, 3).collect()} == {r.id for r in R.stable_sample(df.repartition(5), "id", 10, 3).collect()}
     assert R.stable_sample(df.select(F.col("id").cast("string").alias("id")), "id", 10, 3).count() == 10
+
+
+@pytest.mark.parametrize("rows_a_task", [10_000, 4])
+def test_snapshot_fills_each_row_from_the_training_rows(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr(impute, "SNAPSHOT_ROWS", rows_a_task)
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.normal(size=(30, 3)), axis=1)
+    holes = x.copy()
+    holes[rng.random(x.shape) < 0.2] = np.nan
+    holes[:5] = x[:5]
+    df = R.ingest(spark, holes)
+    model = impute.FCMKIterativeImputer(n_clusters=1, max_FCM_iter=3, max_II_iter=4, max_k=5, random_state=2, snapshot=True).fit(df)
+    got = np.array([list(r)[1:] for r in model.transform(df).orderBy("id").collect()])
+    options = {"means": model.fitted("means"), "bounds": model.fitted("bounds"), "max_k": 5, "max_iter": 4, "seed": 2}
+    want = np.vstack([chained.impute_rows(holes[k : k + 1], holes, np.array([k]), feedback=False, **options) for k in range(30)])
+    assert np.allclose(got, want) and not np.isnan(got).any()
+    assert impute.FCMKIterativeModel.DEFAULTS["snapshot"] is False
