@@ -15,6 +15,7 @@ Pixels are uint8 arrays of shape (height, width, 4) in the order R, G, B, A.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -79,7 +80,7 @@ class _Code:
         used = np.flatnonzero(lengths)
         self.single = int(used[0]) if len(used) == 1 else (0 if len(used) == 0 else None)
         self.uniform = 0 if self.single is not None else None
-        self.table, self.mask = [(self.single or 0) << 4], 0  # symbol << 4 | length, by the next bits
+        self.values, self.lengths, self.mask = [self.single or 0], [0], 0  # symbol and length, by the next bits
         if self.single is not None:
             return
         own = lengths[used].astype(np.int64)
@@ -93,16 +94,16 @@ class _Code:
         length = np.repeat(own, 1 << (self.width - own))
         reverse = _reversed_bits(self.width)
         self.symbols = by_code[reverse]
-        self.table, self.mask = (self.symbols << 4 | length[reverse]).tolist(), (1 << self.width) - 1
+        self.values, self.lengths, self.mask = self.symbols.tolist(), length[reverse].tolist(), (1 << self.width) - 1
 
     def read(self, bits: _Bits) -> int:
         if self.single is not None:
             return self.single
-        found = self.table[bits.peek(self.width)]
-        bits.at += found & 15
+        found = bits.peek(self.width)
+        bits.at += self.lengths[found]
         if bits.at > bits.end:
             raise WebPError("the data end early")
-        return found >> 4
+        return self.values[found]
 
 
 _reversed: dict[int, np.ndarray] = {}
@@ -118,6 +119,15 @@ def _reversed_bits(width: int) -> np.ndarray:
     return _reversed[width]
 
 
+@lru_cache(maxsize=64)
+def _code_of_lengths(n: int, packed: int) -> _Code:
+    """The code for code lengths, of n lengths of three bits."""
+    lengths = np.zeros(19, np.int64)
+    for i, k in enumerate(CODE_LENGTH_ORDER[:n]):
+        lengths[k] = packed >> 3 * i & 7
+    return _Code(lengths)
+
+
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
     lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
@@ -128,10 +138,8 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
             raise WebPError("a symbol is outside its alphabet")
         lengths[symbols] = 1
         return _Code(lengths)
-    of_lengths = np.zeros(19, np.int64)
-    for k in CODE_LENGTH_ORDER[: bits.read(4) + 4]:
-        of_lengths[k] = bits.read(3)
-    code, left = _Code(of_lengths), alphabet
+    n = bits.read(4) + 4
+    code, left = _code_of_lengths(n, bits.read(3 * n)), alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     if code.single is None and code.uniform is not None and int(code.symbols.max()) < 16:
@@ -179,51 +187,53 @@ def _entropy_image(bits: _Bits, width: int, height: int, main: bool = False) ->
     if meta is None and not cache_bits and all(code.uniform is not None for code in groups[0][:4]) and _only_literals(groups[0][0]):
         return _decode_uniform(bits, groups[0], total).reshape(height, width)
     out, at = [0] * total, 0
-    cache = [0] * (1 << cache_bits) if cache_bits else []
-    cached = 0  # pixels that have gone into the cache
+    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
     near = _near(width)
-    data, place, whole = bits.data, bits.at, int.from_bytes
-    tables = [[(code.table, code.mask) for code in group] for group in groups]
-    (greens, g_mask), (reds, r_mask), (blues, b_mask), (alphas, a_mask), _ = tables[0]
+    place = bits.at
+    windows = np.ndarray((len(bits.data) + 1,), "<u8", bits.data + bytes(8), 0, (1,)).tolist()  # 64 bits from each byte on
+    last = len(windows) - 1
+    ready = [_tables(group) for group in groups]
+    (g_values, g_lengths, g_mask), (r_values, r_lengths, r_mask), (b_values, b_lengths, b_mask), (a_values, a_lengths, a_mask) = ready[0]
+    group, symbols = 0, 280 + (len(cache) if cache_bits else 0)
     while at < total:
         if meta is not None:
             group = int(meta[at // width >> tile, at % width >> tile])
-            (greens, g_mask), (reds, r_mask), (blues, b_mask), (alphas, a_mask), _ = tables[group]
-        start = place >> 3
-        window = whole(data[start : start + 9], "little") >> (place & 7)
-        found = greens[window & g_mask]
-        symbol = found >> 4
+            (g_values, g_lengths, g_mask), (r_values, r_lengths, r_mask), (b_values, b_lengths, b_mask), (a_values, a_lengths, a_mask) = ready[group]
+        window = windows[min(place >> 3, last)] >> (place & 7)  # what lies beyond the end is found out after the loop
+        i = window & g_mask
+        symbol = g_values[i]
+        place += g_lengths[i]
         if symbol < 256:
-            window >>= found & 15
-            red = reds[window & r_mask]
-            window >>= red & 15
-            blue = blues[window & b_mask]
-            window >>= blue & 15
-            alpha = alphas[window & a_mask]
-            place += (found & 15) + (red & 15) + (blue & 15) + (alpha & 15)
-            out[at] = alpha >> 4 << 24 | red >> 4 << 16 | symbol << 8 | blue >> 4
+            window >>= g_lengths[i]
+            j = window & r_mask
+            window >>= r_lengths[j]
+            k = window & b_mask
+            place += r_lengths[j] + b_lengths[k]
+            pixel = symbol << 8 | r_values[j] | b_values[k]
+            if a_mask:
+                m = windows[min(place >> 3, last)] >> (place & 7) & a_mask
+                pixel |= a_values[m]
+                place += a_lengths[m]
+            out[at] = pixel
+            if cache_bits:
+                cache[(CACHE_HASH * pixel & 0xFFFFFFFF) >> shift] = pixel
             at += 1
-            continue
-        place += found & 15
-        if symbol < 280:
+        elif symbol < 280:
             bits.at = place
             length = _prefix_value(bits, symbol - 256)
-            code = _prefix_value(bits, groups[group if meta is not None else 0][4].read(bits))
+            code = _prefix_value(bits, groups[group][4].read(bits))
             place = bits.at
             back = code - 120 if code > 120 else near[code - 1]
             if back > at or at + length > total:
                 raise WebPError("a back-reference leaves the image")
-            if back >= length:
-                out[at : at + length] = out[at - back : at - back + length]
-            else:
-                own = out[at - back : at]
-                out[at : at + length] = (own * (length // back + 1))[:length]
+            own = out[at - back : at - back + length] if back >= length else (out[at - back : at] * (length // back + 1))[:length]
+            out[at : at + length] = own
+            if cache_bits:
+                for pixel in own:
+                    cache[(CACHE_HASH * pixel & 0xFFFFFFFF) >> shift] = pixel
             at += length
-        else:
-            for pixel in out[cached:at]:
-                cache[(CACHE_HASH * pixel & 0xFFFFFFFF) >> (32 - cache_bits)] = pixel
-            cached = at
-            if symbol - 280 >= len(cache):
+        else:  # a pixel of the cache stays where it is
+            if symbol >= symbols:
                 raise WebPError("a colour cache index is too large")
             out[at] = cache[symbol - 280]
             at += 1
@@ -233,10 +243,19 @@ def _entropy_image(bits: _Bits, width: int, height: int, main: bool = False) ->
     return np.array(out, np.uint32).reshape(height, width)
 
 
+def _tables(group: list[_Code]) -> list[tuple[list[int], list[int], int]]:
+    """For green, red, blue and alpha: values, in their place in a pixel but for green, lengths and the mask. An alpha that is one value goes to red."""
+    green, red, blue, alpha = group[:4]
+    constant = 0 if alpha.mask else alpha.values[0] << 24
+    reds = [constant | v << 16 for v in red.values]
+    return [(green.values, green.lengths, green.mask), (reds, red.lengths, red.mask), (blue.values, blue.lengths, blue.mask), ([v << 24 for v in alpha.values], alpha.lengths, alpha.mask)]
+
+
 def _only_literals(code: _Code) -> bool:
     return code.single < 256 if code.single is not None else int(code.symbols.max()) < 256
 
 
+@lru_cache(maxsize=64)
 def _near(width: int) -> list[int]:
     return [max(1, dx + dy * width) for dx, dy in SHORT_DISTANCES]
 
@@ -402,12 +421,18 @@ class _Writer:
             self.widths.append(both[:, 1])
 
     def bytes(self) -> bytes:
+        """Fields of 57 bits at most, put into words of 64 bits where they begin; what doesn't fit goes into the next word."""
         self._flush()
-        values, widths = np.concatenate(self.values), np.concatenate(self.widths)
-        which = np.repeat(np.arange(len(widths), dtype=np.int32), widths)
+        values, widths = np.concatenate(self.values).astype(np.uint64), np.concatenate(self.widths)
         ends = np.cumsum(widths)
-        bit = np.arange(len(which), dtype=np.int64) - (ends - widths)[which]
-        return np.packbits((values[which] >> bit & 1).astype(np.uint8), bitorder="little").tobytes()
+        starts = ends - widths
+        word, shift = starts >> 6, (starts & 63).astype(np.uint64)
+        out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = np.flatnonzero((starts & 63) + widths > 64)  # one for each word at most
+        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+        return out.astype("<u8").tobytes()[: int(ends[-1]) + 7 >> 3]
 
 
 #: The longest code that the encoder may give; what a symbol's share is taken for at least, so that codes and their tables stay short; the
@@ -453,11 +478,9 @@ def _put_code(writer: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lengths = code_lengths(counts)
     writer.put(0, 1)
     writer.put(19 - 4, 4)  # lengths 0 to 15 have four bits each
-    for k in CODE_LENGTH_ORDER:
-        writer.put(4 if k < 16 else 0, 3)
+    writer.put(sum((4 if k < 16 else 0) << 3 * i for i, k in enumerate(CODE_LENGTH_ORDER)), 3 * 19)
     n = max(2, int(used[-1]) + 1)
-    for value, width in ((1, 1), (5, 3), (n - 2, 12)):  # how many lengths follow
-        writer.put(value, width)
+    writer.put(1 | 5 << 1 | n - 2 << 4, 1 + 3 + 12)  # how many lengths follow
     writer.put_all(_reversed_bits(4)[lengths[:n]], np.full(n, 4))
     if len(used) > 1:
         order = used[np.lexsort((used, lengths[used]))]
@@ -521,26 +544,37 @@ def _put_image(writer: _Writer, pixels: np.ndarray, main: bool, cache_bits: int
     kind[alone] = 0
     fields[:, 0], fields[:, 1], fields[:, 2], fields[:, 3] = pixels >> 8 & 255, pixels >> 16 & 255, pixels & 255, pixels >> 24
     if cache_bits:
-        key = (pixels * np.uint32(CACHE_HASH)) >> np.uint32(32 - cache_bits)
+        key = ((pixels * np.uint32(CACHE_HASH)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
         order = np.argsort(key, kind="stable")
         hit = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
         hits = order[1:][hit]
         hits = hits[kind[hits] == 0]
         kind[hits] = 1
         fields[hits, 0] = 280 + key[hits]
-    symbol, extra, n_extra = _prefix(copies[:, 1])
-    far, far_extra, n_far = _prefix(copies[:, 2] + 120)
-    kind[copies[:, 0]] = 2
-    fields[copies[:, 0], 0] = 256 + symbol
+    far = np.zeros(0, np.int64)
+    if len(copies):
+        symbol, extra, n_extra = _prefix(copies[:, 1])
+        far, far_extra, n_far = _prefix(copies[:, 2] + 120)
+        kind[copies[:, 0]] = 2
+        fields[copies[:, 0], 0] = 256 + symbol
     literal, tokens = kind == 0, kind >= 0
     counts = [np.bincount(fields[tokens, 0], minlength=280 + (1 << cache_bits if cache_bits else 0)), *(np.bincount(fields[literal, k], minlength=256) for k in (1, 2, 3)), np.bincount(far, minlength=40)]
     codes = [_put_code(writer, c) for c in counts]
-    values, widths = np.zeros((len(pixels), 4), np.int64), np.zeros((len(pixels), 4), np.int64)
-    values[tokens, 0], widths[tokens, 0] = codes[0][0][fields[tokens, 0]], codes[0][1][fields[tokens, 0]]
+    # each token is one field: green, red, blue, alpha; or length, its extra bits, distance, its extra bits
+    values, widths = np.zeros(len(pixels), np.int64), np.zeros(len(pixels), np.int64)
+    green = fields[tokens, 0]
+    values[tokens], widths[tokens] = codes[0][0][green], codes[0][1][green]
     for k in (1, 2, 3):
-        values[literal, k], widths[literal, k] = codes[k][0][fields[literal, k]], codes[k][1][fields[literal, k]]
-    values[copies[:, 0], 1:], widths[copies[:, 0], 1:] = np.stack([extra, codes[4][0][far], far_extra], axis=1), np.stack([n_extra, codes[4][1][far], n_far], axis=1)
-    writer.put_all(values.ravel(), widths.ravel())
+        if codes[k][1].any():
+            own = fields[literal, k]
+            values[literal] |= codes[k][0][own] << widths[literal]
+            widths[literal] += codes[k][1][own]
+    if len(copies):
+        where = copies[:, 0]
+        for value, width in ((extra, n_extra), (codes[4][0][far], codes[4][1][far]), (far_extra, n_far)):
+            values[where] |= value << widths[where]
+            widths[where] += width
+    writer.put_all(values[tokens], widths[tokens])
 
 
 def encode(samples: np.ndarray) -> bytes:
@@ -553,8 +587,9 @@ def encode(samples: np.ndarray) -> bytes:
         writer.put(value, n)
     planes = samples.reshape(-1, 3).astype(np.uint32)
     pixels = planes[:, 0] << 16 | planes[:, 1] << 8 | planes[:, 2] | np.uint32(255 << 24)
-    colours, index = np.unique(pixels, return_inverse=True)
-    if len(colours) <= 256 and 4 * len(colours) <= len(pixels):
+    n_colours = 1 + np.count_nonzero(np.diff(np.sort(pixels)))
+    if n_colours <= 256 and 4 * n_colours <= len(pixels):
+        colours, index = np.unique(pixels, return_inverse=True)
         writer.put(1, 1)
         writer.put(COLOUR_INDEXING, 2)
         writer.put(len(colours) - 1, 8)
