@@ -127,16 +127,19 @@ def learn(p: Network, seen: Network, sequences: list[np.ndarray], shares: np.nda
         df = _sigmoid(q @ ef.T + p["b"][false] - log_noise[false])
         dq = dt[:, None] * et + df @ ef
         m = len(a)
-        gradients = {
-            "r": _scatter(np.concatenate([a, b]), np.concatenate([dq * p["c"][0], dq * p["c"][1]]), n + 1),
-            "e": _scatter(np.concatenate([target, false]), np.concatenate([dt[:, None] * q, df.T @ q]), n),
-            "c": np.stack([(dq * ra).sum(axis=0), (dq * rb).sum(axis=0)]),
-            "b": np.bincount(np.concatenate([target, false]), np.concatenate([dt, df.sum(axis=0)]), n),
-        }
-        for k, g in gradients.items():
-            g = (g / m).astype(np.float32)
-            seen[k] += g * g
-            p[k] -= RATE * (0.1 if k == "b" else 1.0) * g / np.sqrt(seen[k])
+        # rows that no token touches have no gradient, so only the others move
+        _step(p["r"], seen["r"], *_sums(np.concatenate([a, b]), np.concatenate([dq * p["c"][0], dq * p["c"][1]])), m, RATE)
+        _step(p["e"], seen["e"], *_sums(np.concatenate([target, false]), np.concatenate([dt[:, None] * q, df.T @ q])), m, RATE)
+        _step(p["c"], seen["c"], slice(None), np.stack([(dq * ra).sum(axis=0), (dq * rb).sum(axis=0)]), m, RATE)
+        _step(p["b"], seen["b"], slice(None), np.bincount(np.concatenate([target, false]), np.concatenate([dt, df.sum(axis=0)]), n), m, RATE * 0.1)
+
+
+def _step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray | slice, gradient: np.ndarray, m: int, rate: float) -> None:
+    """A step against the mean gradient of m tokens, in place."""
+    g = (gradient / m).astype(np.float32)
+    own = seen[rows] + g * g
+    seen[rows] = own
+    weights[rows] -= rate * g / np.sqrt(own)
 
 
 def learn_everywhere(docs: DataFrame, p: Network, seen: Network, shares: np.ndarray, place: dict[bytes, int], endings: dict[bytes, int], own: int) -> tuple[Network, Network, int]:
@@ -154,7 +157,8 @@ def learn_everywhere(docs: DataFrame, p: Network, seen: Network, shares: np.ndar
         for batch in C.slices(batches, 128):
             for text in C.as_bytes(batch.column("text")):
                 split = [*words(text), END]
-                held.append(np.fromiter((place[w] if w in place else class_of(w, endings, own) for w in split), np.int64, len(split)))
+                found = list(map(place.get, split))
+                held.append(np.array([class_of(w, endings, own) if c is None else c for w, c in zip(split, found, strict=True)] if None in found else found, np.int64))
                 n += len(split)
                 if n > PIECE:
                     learn(p, seen, held, shares, random, BATCH if total else EARLY)
@@ -192,14 +196,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows that share an index."""
-    order = np.argsort(index, kind="stable")
+def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices, and the sums of the rows that share one."""
+    order = np.argsort(index.astype(np.uint16) if index.max(initial=0) < 1 << 16 else index, kind="stable")
     held = index[order]
-    cuts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[held[cuts]] = np.add.reduceat(rows[order], cuts, axis=0)
-    return out
+    begins = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    return held[begins], np.add.reduceat(rows[order], begins, axis=0)
 
 
 def normalisers(first: np.ndarray, second: np.ndarray, target: np.ndarray) -> np.ndarray:
