@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Bytes of Arrow data that go to a Python worker at once; bounds a worker's memory whatever the texts' lengths.
 ARROW_BYTES = "8m"
 
-#: Rows of a few numbers that one task writes.
-ROWS_A_FILE = 50_000
+#: Rows of a few numbers that one task writes. Where Hadoop sets a file's mode by starting a process, each file costs an executor that.
+ROWS_A_FILE = 250_000
 
 #: A-Z to a-z on UTF-8 bytes; no other byte changes, so it is safe inside multi-byte characters.
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

@@ -184,17 +184,19 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, filter_bits: int | N
         C.release_memory()
 
     counted = rows.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
-    links, links_at = C.stored_at(rows.select("id", "text").mapInArrow(digests, "id long, digest binary"), "suspects")
+    scratch = C.Scratch(spark)
+    links = scratch.stored(rows.select("id", "text").mapInArrow(digests, "id long, digest binary"), "suspects")
+    n_links = links.count()
     repeated = links.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("first < last")
-    repeated, repeated_at = C.stored_at(repeated.select("digest", "first", "n"), "repeated")
-    most = 1 + links.count() // HOT
+    repeated = scratch.stored(repeated.select("digest", "first", "n"), "repeated", n_links)
+    most = 1 + n_links // HOT
     few, many = (repeated.filter(condition).select("digest", "first") for condition in (F.col("n") <= most, F.col("n") > most))
     met = links.join(F.broadcast(many), "digest", "left").withColumnRenamed("first", "often")  # HOT rows at most
     rare = met.filter("often IS NULL").drop("often").join(few, "digest").filter("id > first").select("id", "digest")
     gone = met.filter("id > often").select("id", "digest").unionByName(rare)
-    drops, _ = C.stored_at(gone.groupBy("id").agg(F.collect_set("digest").alias("drops")), "drops")
-    for path in (links_at, repeated_at):
-        C.remove(spark, path)
+    drops = scratch.stored(gone.groupBy("id").agg(F.collect_set("digest").alias("drops")), "drops", n_links)
+    scratch.clear(keep=1)
+    C.release_memory()
     cleaned = rows.mapInArrow(parted(False), rows.schema).join(drops, "id", "left").select("row", "id", "text", "drops").mapInArrow(drop, counted)
     out = rows.mapInArrow(parted(True), counted).unionByName(cleaned)
     changed = F.when(~F.col("row").getField("__null"), F.col("text"))

@@ -630,17 +630,16 @@ def similar_components(docs: DataFrame, words: int, scratch: C.Scratch) -> DataF
     points = scratch.stored(set_prints(docs, words).groupBy("node", "size", *names).agg(F.min("id").alias("first")), "fingerprints", n)
     tried = scratch.stored(_met(points, TOGETHER).select(*ordered).distinct(), "tried", n)
     near = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = scratch.stored(texts_of(docs, points.join(near, "node").select("node", "first"), words), "texts")
-    links = scratch.stored(verified(tried, texts, words), "links")
-    clusters = scratch.stored(components(links, scratch), "clusters", n)
+    texts = scratch.stored(texts_of(docs, points.join(near, "node").select("node", "first"), words), "texts", 5 * n)
+    clusters = components(verified(tried, texts, words), scratch)
     apart = scratch.stored(points.join(texts.select("node"), "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component", "first"), "apart", n)
     more = scratch.stored(_met(apart, TOGETHER).distinct(), "more", n)
     pairs = more.filter("b IS NOT NULL").select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(scratch.stored(verified(scratch.stored(pairs, "pairs", n), texts, words), "links"))
+    links = clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(scratch.stored(pairs, "pairs", n), texts, words))
     crowd = more.filter("b IS NULL").select(F.col("a").alias("node")).distinct()
     if crowd.limit(1).count():
         held = apart.join(crowd, "node").join(with_sets(texts.join(crowd, "node", "left_semi"), words), "node")
-        links = links.unionByName(scratch.stored(_met(scratch.stored(held, "crowd"), WITH_SETS), "links"))
+        links = links.unionByName(_met(scratch.stored(held, "crowd", 5 * n), WITH_SETS))
     sets = points.select("node", "first").join(components(links, scratch), "node", "left").withColumn("root", F.coalesce("component", "node"))
     return sets.join(sets.groupBy("root").agg(F.min("first").alias("smallest")), "root").select("first", F.col("smallest").alias("component"))
 
