@@ -26,6 +26,7 @@ from . import webp
 #: Payloads are padded to a multiple of ROW bytes, one row of 64 RGB pixels.
 ROW = 192
 WIDTH = ROW // 3
+_VALUES = np.arange(256)
 
 
 def padded(data: bytes) -> bytes:
@@ -54,8 +55,10 @@ def features(parts: list[np.ndarray]) -> str:
     pixels = np.concatenate(parts) if len(parts) > 1 else parts[0]
     out = [str(len(pixels))]
     for k in range(3):
-        plane = pixels[..., k].astype(np.int64)
-        out.append(f"{plane.sum()}:{(plane * plane).sum()}:{int((np.bincount(pixels[..., k].ravel(), minlength=256) > 0).sum())}:{np.abs(np.diff(plane, axis=1)).sum()}")
+        plane = pixels[..., k]
+        counts = np.bincount(plane.ravel(), minlength=256)
+        steps = np.abs(np.diff(plane.astype(np.int16), axis=1)).sum(dtype=np.int64)
+        out.append(f"{counts @ _VALUES}:{counts @ (_VALUES * _VALUES)}:{np.count_nonzero(counts)}:{steps}")
     return ";".join(out)
 
 

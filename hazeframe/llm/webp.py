@@ -376,7 +376,12 @@ def _decode_stream(data: bytes) -> np.ndarray:
             coded = (coded + (1 << pack) - 1) >> pack
         else:
             transforms.append((kind, 0, None, coded))
-    pixels = _channels(_entropy_image(bits, coded, height, main=True))
+    coded_pixels = _entropy_image(bits, coded, height, main=True)
+    if not transforms:  # bytes B, G, R, A
+        if opaque:
+            coded_pixels |= np.uint32(255 << 24)
+        return coded_pixels.astype("<u4").view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]
+    pixels = _channels(coded_pixels)
     for kind, n, extra, wide in reversed(transforms):
         if kind == PREDICTOR:
             pixels = _undo_predictor(pixels, (extra >> 8 & 15).astype(np.int64), n)
@@ -542,7 +547,7 @@ def _put_image(writer: _Writer, pixels: np.ndarray, main: bool, cache_bits: int
     fields = np.zeros((len(pixels), 4), np.int64)  # of a token at its place: symbols of green, red, blue; or of length, distance
     kind = np.full(len(pixels), -1, np.int8)  # 0: literal, 1: cache, 2: copy
     kind[alone] = 0
-    fields[:, 0], fields[:, 1], fields[:, 2], fields[:, 3] = pixels >> 8 & 255, pixels >> 16 & 255, pixels & 255, pixels >> 24
+    fields[:, [2, 0, 1, 3]] = pixels.astype("<u4").view(np.uint8).reshape(-1, 4)
     if cache_bits:
         key = ((pixels * np.uint32(CACHE_HASH)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
         order = np.argsort(key, kind="stable")
@@ -600,7 +605,7 @@ def encode(samples: np.ndarray) -> bytes:
         packed = (rows << np.arange(1 << pack) * (8 >> pack)).sum(axis=2).ravel()
         pixels, cache_bits = packed.astype(np.uint32) << np.uint32(8) | np.uint32(255 << 24), 0
     else:
-        cache_bits = min(10, max(4, len(pixels).bit_length() - 4))
+        cache_bits = min(10, max(4, len(pixels).bit_length() - 2))
     writer.put(0, 1)
     _put_image(writer, pixels, main=True, cache_bits=cache_bits)
     stream = writer.bytes()
