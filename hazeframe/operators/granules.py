@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeframe.functions.validation import is_numeric
-from hazeframe.operators.blocks import range_sums
+from hazeframe.operators import near
+from hazeframe.operators.blocks import meet, range_sums
 
 
 @dataclass(frozen=True)
@@ -72,23 +75,34 @@ def single_sizes(df: DataFrame, feature: Feature, label: str) -> DataFrame:
 def set_sizes(df: DataFrame, features: list[Feature], id_col: str, nominal: str | None = None) -> DataFrame:
     """id and size of each row's granule under all features at once (the least similarity counts); nominal: a further column compared by equality. Without any feature all sizes are 0.
 
-    Rows meet in bins as wide as the first numeric feature's reach, in an equi-join with the neighbouring bins. A numeric feature
-    without reach tells apart what is not equal, so it is compared by equality.
+    Distinct points, with their counts, meet in parts, where boxes of points add what needs no pairs (near.tent_sums). Nominal
+    features, and numeric ones without reach, tell apart what is not equal, so only parts of equal ones meet.
     """
     if not features and not nominal:
         return df.select(F.col(id_col).alias("i"), F.lit(0.0).alias("size"))
     base = df.select(F.col(id_col).alias("i"), *(F.col(f"`{f.name}`").cast("double" if f.numeric else "string").alias(f"x{k}") for k, f in enumerate(features)), *([F.col(f"`{nominal}`").cast("string").alias("c")] if nominal else []))
-    first = next((k for k, f in enumerate(features) if f.numeric and f.reach > 0), None)
-    exact = [f"x{k}" for k, f in enumerate(features) if not f.numeric or f.reach == 0] + (["c"] if nominal else [])
-    bin_of = F.floor(F.col(f"x{first}") / F.lit(features[first].reach)) if first is not None else F.lit(0)
-    left = base.withColumn("bin", F.explode(F.array(*((bin_of + k) for k in ((-1, 0, 1) if first is not None else (0,))))))
-    right = base.withColumn("r_bin", bin_of).select(*(F.col(c).alias(f"r_{c}") for c in base.columns), "r_bin")
-    on = F.col("bin") == F.col("r_bin")
-    for c in exact:
-        on &= F.col(c) == F.col(f"r_{c}")
-    least = [similarity(F.col(f"x{k}"), F.col(f"r_x{k}"), f) for k, f in enumerate(features) if f.numeric and f.reach > 0]
-    value = F.least(*least) if len(least) > 1 else least[0] if least else F.lit(1.0)
-    return left.join(right, on).groupBy("i").agg(F.sum(value).alias("size"))
+    columns = base.columns[1:]
+    ranges = {f"x{k}": f for k, f in enumerate(features) if f.numeric and f.reach > 0}
+    exact = [c for c in columns if c not in ranges]
+    base = base.dropna(subset=[*exact, *list(ranges)[:1]])
+    counts = base.dropna(subset=columns).groupBy(*columns).agg(F.count("*").cast("double").alias("n"))
+    if not ranges:
+        return base.join(counts, columns).select("i", F.col("n").alias("size"))
+    if len(ranges) == 1:
+        x, feature = next(iter(ranges.items()))
+        sizes = _frame_sizes(counts.withColumnRenamed(x, "x"), exact, feature.reach, feature.scale, "size").withColumnRenamed("x", x)
+    else:
+        scales, reaches = (np.array([*(getattr(f, name) for f in ranges.values()), *[at] * len(exact)]) for name, at in (("scale", 1.0), ("reach", 0.0)))
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            codes = [pd.factorize(pd.concat([a[c], b[c]]))[0].astype(float) for c in exact]
+            x, y = (np.column_stack([*(df[c].to_numpy(float) for c in ranges), *(code[own] for code in codes)]) for df, own in ((a, slice(None, len(a))), (b, slice(len(a), None))))
+            return a[columns].assign(size=near.tent_sums(x, y, b["n"].to_numpy(float), scales, reaches))
+
+        digest = counts.withColumn("key", F.xxhash64(*columns))
+        n = counts.count()
+        sizes = meet(digest, digest, exact, ("key", "key"), (n, n), run, ", ".join(f"{c} {t}" for c, t in base.dtypes[1:]) + ", size double").groupBy(*columns).agg(F.sum("size").alias("size"))
+    return base.join(sizes.select(*columns, "size"), columns, "left").select("i", F.coalesce("size", F.lit(0.0)).alias("size"))
 
 
 def row_granule(df: DataFrame, features: list[Feature], id_col: str, row_id: object) -> DataFrame:
