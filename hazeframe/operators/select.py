@@ -58,6 +58,9 @@ class FuzzyGranularitySelector(FuzzyEstimator):
             chosen = [max(columns, key=score.__getitem__)]
             while len(chosen) < min(len(columns), self.get("max_features")):
                 left = [c for c in columns if c not in chosen]
+                if len(left) == 1:  # whatever its value
+                    chosen += left
+                    break
                 given = self._conditional(df, sizes, [features[c] for c in chosen], columns, id_col, n)
                 weight = 1 + given / (given + 0.01)  # more features never enlarge a granule, so the other entropy is 0
                 value = {c: weight * score[c] - sum(mutual["label", c] + mutual[c, s] - mutual[c, "label", s] for s in chosen) / len(chosen) for c in left}

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from hazeframe.operators import blocks, granules, near
+from hazeframe.operators import blocks, granules, near, select
 from hazeframe.sources import rows as R
 
 
@@ -62,3 +62,14 @@ def test_granules_of_sets_meet_in_parts(spark, monkeypatch):
         want = tents(x, x, np.ones(len(x)), np.array([f.scale for f in features]), np.array([f.reach for f in features]))
         got = {r.i: r["size"] for r in granules.set_sizes(df, features, "id").collect()}
         assert [got[i] for i in range(len(x))] == pytest.approx(want)
+
+
+def test_last_feature_is_chosen_without_sizes_of_sets(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("one candidate is left, so no value decides")
+
+    monkeypatch.setattr(granules, "set_sizes", refuse)
+    rng = np.random.default_rng(4)
+    df = R.ingest(spark, pd.DataFrame({"u": rng.normal(size=30), "v": rng.normal(size=30), "w": rng.normal(size=30), "label": rng.choice(["p", "q"], 30)}))
+    model = select.FuzzyGranularitySelector(label_col="label", n_features=2).fit(df)
+    assert sorted(model.fitted("ranking")) == ["u", "v", "w"]
