@@ -8,7 +8,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeframe.functions import distances as D
 from hazeframe.functions.validation import check_input
 from hazeframe.operators import granules as G
 from hazeframe.operators import hec
@@ -145,25 +144,31 @@ class WeightedFuzzyRoughSelector(FuzzyEstimator):
         region = hec.high_density(df, columns, id_col, label, min(self.get("k"), rows - 1)).persist()
         if not region.limit(1).count():
             raise ValueError("no region of high density was found: every class has a single row")
-        pairs = hec.to_region(df, region, columns, id_col, label)
         try:
-            q = [F.col(f"q{a}") for a in range(d)]
-            found = hec.relevance(pairs, {f"{a}": q[a] for a in range(d)} | {f"{a},{b}": q[a] + q[b] for a in range(d) for b in range(a + 1, d)}, alpha)
-            single = [found[f"{a}"] for a in range(d)]
-            redundancy = {(a, b): single[a] + single[b] - found[f"{a},{b}"] for a in range(d) for b in range(a + 1, d)}
+            plain = [[(a, None)] for a in range(d)] + [[(a, None), (b, None)] for a in range(d) for b in range(a + 1, d)]
+            found = self._relevance(df, region, columns, plain)
+            single = found[:d]
+            redundancy = {(a, b): single[a] + single[b] - value for ((a, _), (b, _)), value in zip(plain[d:], found[d:], strict=True)}
             weights = [1 / (1 + math.exp(-w)) ** 2 for w in feature_weights(single, redundancy)]
             chosen: list[int] = []
             while len(chosen) < d:
                 left = [a for a in range(d) if a not in chosen]
-                value = hec.relevance(pairs, {f"{a}": self._square(q, [*chosen, a], weights) for a in left}, alpha)
-                chosen.append(max(left, key=lambda a: value[f"{a}"]))
+                if len(left) == 1:  # whatever its value
+                    chosen += left
+                    break
+                value = dict(zip(left, self._relevance(df, region, columns, [self._weighted([*chosen, a], weights) for a in left]), strict=True))
+                chosen.append(max(left, key=value.__getitem__))
         finally:
             region.unpersist()
         return self.to_model(SelectorModel, columns=columns, ranking=[columns[a] for a in chosen], weights=[weights[a] for a in chosen], relevance=single, n_features=self.get("n_features"))
 
-    def _square(self, q: list, subset: list[int], weights: list[float]) -> object:
-        plain = self.get("weight_mode") == "reference" and (len(subset) == 1 or (len(subset) == 2 or len(subset) == len(q)) and subset == sorted(subset))
-        return D.total([q[a] if plain else q[a] * F.lit(weights[a]) for a in subset])
+    def _relevance(self, df: DataFrame, region: DataFrame, columns: list[str], sets: list) -> list[float]:
+        least = hec.least_squares(df, region, columns, self.get("id_col"), self.get("label_col"), sets)
+        return list(hec.relevance(least, {f"{k}": F.col(f"s{k}") for k in range(len(sets))}, self.get("alpha")).values())
+
+    def _weighted(self, subset: list[int], weights: list[float]) -> list[tuple[int, float | None]]:
+        plain = self.get("weight_mode") == "reference" and (len(subset) == 1 or (len(subset) == 2 or len(subset) == len(weights)) and subset == sorted(subset))
+        return [(a, None if plain else weights[a]) for a in subset]
 
 
 def importances(model: SelectorModel) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from hazeframe.operators import blocks, granules, near, select
+from hazeframe.operators import blocks, granules, hec, near, select
 from hazeframe.sources import rows as R
 
 
@@ -73,3 +74,30 @@ def test_last_feature_is_chosen_without_sizes_of_sets(spark, monkeypatch):
     df = R.ingest(spark, pd.DataFrame({"u": rng.normal(size=30), "v": rng.normal(size=30), "w": rng.normal(size=30), "label": rng.choice(["p", "q"], 30)}))
     model = select.FuzzyGranularitySelector(label_col="label", n_features=2).fit(df)
     assert sorted(model.fitted("ranking")) == ["u", "v", "w"]
+
+
+def test_relevance_by_boxes_equals_all_pairs_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART", 16)
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"a": np.round(rng.normal(size=90), 1), "b": rng.choice(["u", "v", None], 90), "z": rng.integers(0, 4, 90) * 1.0, "label": rng.choice(["x", "y", "y", None], 90)})
+    frame.loc[::7, "a"] = None
+    df = R.ingest(spark, frame)
+    columns, region = ["a", "b", "z"], df.filter("id % 3 = 0").select("id")
+    sets = [[(0, None)], [(1, None), (2, None)], [(2, 0.25), (0, 2.0), (1, 0.5)]]
+    got = hec.least_squares(df, region, columns, "id", "label", sets)
+    pairs = hec.to_region(df, region, columns, "id", "label")
+    square = [sum((F.col(f"q{k}") * (1.0 if w is None else w) for k, w in own[1:]), F.col(f"q{own[0][0]}") * (own[0][1] or 1.0)) for own in sets]
+    want = pairs.groupBy("a_id", "b_label").agg(*(F.min(q).alias(f"s{k}") for k, q in enumerate(square)))
+    key = lambda r: (r.a_id, r.b_label or "")
+    assert sorted(map(tuple, sorted(got.collect(), key=key)), key=str) == sorted(map(tuple, sorted(want.collect(), key=key)), key=str)
+
+
+def test_neighbours_in_parts_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART", 8)
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"id": [f"r{k}" for k in rng.permutation(80)], "a": np.round(rng.normal(size=80), 1), "c": rng.choice(["u", "v", None], 80), "label": rng.choice(["x", "y", None], 80)})
+    frame.loc[::5, "a"] = None
+    df = R.ingest(spark, frame)
+    pairs = hec.hybrid_distances(df, ["a", "c"], "id", "label").toPandas().sort_values(["a_id", "d", "b_id"]).groupby("a_id").head(4)
+    got = hec.same_class_neighbours(df, ["a", "c"], "id", "label", 4).collect()
+    assert sorted(map(tuple, got)) == sorted(pairs[["a_id", "b_id", "d"]].itertuples(index=False, name=None))
