@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hazeframe.operators import blocks, granules, hec, near, select
+from hazeframe.operators import blocks, granules, hec, local, near, select
 from hazeframe.sources import rows as R
 
 
@@ -101,3 +103,24 @@ def test_neighbours_in_parts_equal_all_pairs(spark, monkeypatch):
     pairs = hec.hybrid_distances(df, ["a", "c"], "id", "label").toPandas().sort_values(["a_id", "d", "b_id"]).groupby("a_id").head(4)
     got = hec.same_class_neighbours(df, ["a", "c"], "id", "label", 4).collect()
     assert sorted(map(tuple, got)) == sorted(pairs[["a_id", "b_id", "d"]].itertuples(index=False, name=None))
+
+
+def test_large_leaf_needs_no_matrix_of_pairs():
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(300, 2)), 3, axis=0)
+    us = [rng.dirichlet(np.ones(c), len(x)) for c in range(1, 5)]
+    got = local.silhouettes(x, us, 1.0)
+    for u, score in zip(us, got, strict=True):
+        label, apart, two = u.argmax(axis=1), local.distances(x), np.sort(u, axis=1)[:, -2:]
+        if u.shape[1] == 1:
+            assert score == 0.0
+            continue
+        means = np.stack([apart[:, label == c].mean(axis=1) for c in range(u.shape[1])], axis=1)
+        a = means[np.arange(len(x)), label]
+        means[np.arange(len(x)), label] = np.inf
+        weight = two[:, 1] - two[:, 0]
+        assert score == pytest.approx((weight * (means.min(axis=1) - a) / np.maximum(a, means.min(axis=1))).sum() / weight.sum())
+    tracemalloc.start()
+    local.best_clusters(rng.normal(size=(6000, 2)), 2.0, 3, 1e-5, 1.0, 3, 1)
+    assert tracemalloc.get_traced_memory()[1] < 120e6  # a matrix of all pairs has 288 MB
+    tracemalloc.stop()
