@@ -472,7 +472,7 @@ def links_apart(words: np.ndarray, sets: list[np.ndarray], label: np.ndarray, ke
         own = [sets[k] for k in many.tolist()]
         size = sizes[many]
         of, n = np.unique(label[many], return_inverse=True, return_counts=True)[1:]
-        few = np.flatnonzero(n[of] < n.max()) if len(n) > 1 else np.zeros(0, np.int64)  # those of the largest cluster are met from the others' side
+        few = np.flatnonzero(of != n.argmax())  # those of one largest cluster are met from the others' side
         for rows, shared in overlaps(own, few):
             fits = SIMILAR[1] * shared.astype(np.int64) >= SIMILAR[0] * (size[rows][:, None] + size[None] - shared.astype(np.int64))
             for x, y in zip(*np.nonzero(fits), strict=True):
@@ -496,40 +496,38 @@ def _met(points: DataFrame, together: int) -> DataFrame:
     def words_of(batch: pa.RecordBatch) -> np.ndarray:
         return np.stack([batch.column(f"w{k}").to_numpy().view(np.uint64) for k in range(SIMILAR_WORDS)], axis=1)
 
-    def groups_of(batch: pa.RecordBatch, band: int, bits: np.ndarray, further: dict[int, int], shares: dict[int, int]) -> np.ndarray:
-        """further: groups with bits that part them more; shares: groups, by all their bits, with the number of parts that each band makes by chance."""
-        to = _value(bits[:, sample[band, :route]]) | band << 48
-        own = {g: m for g, m in further.items() if g >> 48 == band}
-        if own:
-            of = to.copy()
-            for group, more in own.items():
-                members = np.flatnonzero(of == group)
-                to[members] |= _value(bits[members][:, sample[(band + 1) % bands, route : route + more]]) + 1 << route
-        for group, n in shares.items():
-            if group >> 48 == band:
-                members = np.flatnonzero(to == group)
-                scattered = batch.column("node").to_numpy()[members].view(np.uint64) * np.uint64(2 * band + 0x9E3779B97F4A7C15)
-                to[members] |= (scattered >> np.uint64(33)).astype(np.int64) % n + 1 << 36
-        return to
-
-    def sizes_of_groups(further: dict[int, int]) -> dict[int, int]:
-        """Groups far beyond `together`, as masses of copies make them: a few."""
+    def groups_of(band: int, bits: np.ndarray) -> np.ndarray:
+        return _value(bits[:, sample[band, :route]]) | band << 48
+
+    def large_groups() -> dict[int, int]:
+        """Groups far beyond `together`, as masses of copies make them: a few, each with the number of its parts."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in C.slices(batches, 1 << 16):
                 bits = _unpacked(words_of(batch))
-                found = [np.unique(groups_of(batch, band, bits, further, {}), return_counts=True) for band in range(bands)]
+                found = [np.unique(groups_of(band, bits), return_counts=True) for band in range(bands)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], ["group", "n"])
 
         counts = points.select(*names[: 2 + SIMILAR_WORDS]).mapInArrow(count, "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
-        return {row["group"]: row["n"] for row in counts.filter(F.col("n") > 8 * together).collect()}
-
-    further: dict[int, int] = {}
-    shares: dict[int, int] = {}
-    if n_points > 8 * together:
-        further = {group: min(36 - route, math.ceil(math.log2(n / together))) for group, n in sizes_of_groups({}).items()}
-        if further:
-            shares = {group: -(-n // (4 * together)) for group, n in sizes_of_groups(further).items()}
+        return {row["group"]: -(-row["n"] // (4 * together)) for row in counts.filter(F.col("n") > 8 * together).collect()}
+
+    shares = large_groups() if n_points > 8 * together else {}
+
+    def dealt_to(batch: pa.RecordBatch, band: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(members, their groups, their pairs of parts): a large group is cut into parts and each two of them meet, so none of its pairs is lost; -1 where a group is whole."""
+        to = groups_of(band, bits)
+        large = [g for g in shares if g >> 48 == band]
+        which = np.flatnonzero(~np.isin(to, large))
+        out = [(which, to[which], np.full(len(which), -1))]
+        for group in large:
+            n, members = shares[group], np.flatnonzero(to == group)
+            scattered = batch.column("node").to_numpy()[members].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            own = (scattered >> np.uint64(33)).astype(np.int64) % n
+            for other in range(n):
+                met = members[own != other]
+                low, high = np.minimum(own[own != other], other), np.maximum(own[own != other], other)
+                out.append((met, np.full(len(met), group), low * n + high))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, 512 if second else 4096):
@@ -539,14 +537,14 @@ def _met(points: DataFrame, together: int) -> DataFrame:
             packed = batch.column("shingles").to_pylist() if second else []
             rows = []
             for band in range(bands):
-                to = groups_of(batch, band, bits, further, shares)
-                order = np.argsort(to, kind="stable")
-                begins = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0])) if len(to) else []
+                members, to, pair = dealt_to(batch, band, bits)
+                order = np.lexsort((pair, to))
+                begins = np.flatnonzero(np.concatenate([[True], (np.diff(to[order]) != 0) | (np.diff(pair[order]) != 0)])) if len(to) else []
                 for at, end in zip(begins, [*begins[1:], len(to)], strict=False):
-                    which = order[at:end]
-                    rows.append((int(to[which[0]]), *(x[which].tobytes() for x in held), b"".join(packed[k] for k in which) if second else b""))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.binary()] * 5), strict=True)], ["group", *parts])
+                    first, which = order[at], members[order[at:end]]
+                    rows.append((int(to[first]), int(pair[first]), *(x[which].tobytes() for x in held), b"".join(packed[k] for k in which) if second else b""))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["group", "pair", *parts])
         C.release_memory()
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
@@ -565,8 +563,8 @@ def _met(points: DataFrame, together: int) -> DataFrame:
         alone = np.arange(len(a) + len(many)) >= len(a)
         return pa.table({"a": np.concatenate([nodes[a], nodes[many]]), "b": pa.array(np.concatenate([nodes[b], nodes[many]]), pa.int64(), mask=alone)})
 
-    dealt = points.select(*names).mapInArrow(deal, "group long, " + ", ".join(f"{n} binary" for n in parts))
-    return dealt.groupBy("group").applyInArrow(meet, "a long, b long")
+    dealt = points.select(*names).mapInArrow(deal, "group long, pair long, " + ", ".join(f"{n} binary" for n in parts))
+    return dealt.groupBy("group", "pair").applyInArrow(meet, "a long, b long")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
