@@ -15,6 +15,9 @@ import numpy as np
 #: Points of a leaf.
 LEAF = 64
 
+#: Lines (values of all columns but one) up to which least goes along lines instead of boxes.
+LINES = 256
+
 
 def leaves(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of the rows of x and where leaves of at most `size` rows begin in it (the end included); equal rows keep their order."""
@@ -101,7 +104,9 @@ def bounds(a: Boxes, leaf: int, b: Boxes, codes: np.ndarray, weights: Sequence[f
 
 
 def least(a: np.ndarray, b: np.ndarray, codes: np.ndarray, weights: Sequence[float | None]) -> np.ndarray:
-    """For each row of a the least squared distance to a row of b (some), weights not negative. Equal rows are compared once."""
+    """For each row of a the least squared distance to a row of b (some), weights not negative. Where b lies on few lines these are searched, else boxes, with equal rows compared once."""
+    if len(b) and (lines := _lines(b, codes)):
+        return _least_on(lines, a, b, codes, weights)
     a, back = np.unique(a, axis=0, return_inverse=True)
     left, right = Boxes.of(a, codes), Boxes.of(np.unique(b, axis=0), codes)
     out = np.empty(len(a))
@@ -117,6 +122,51 @@ def least(a: np.ndarray, b: np.ndarray, codes: np.ndarray, weights: Sequence[flo
     return out[back.reshape(-1)]
 
 
+def _lines(b: np.ndarray, codes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """The column along which the lines run (a numeric one if there is one), an order of b's rows by line and then by that column (missing last), and where lines begin in it (the end included); None where there are too many."""
+    values = [np.unique(b[:, j], return_inverse=True) for j in range(b.shape[1])]
+    numeric = [j for j in range(b.shape[1]) if not codes[j]]
+    along = max(numeric or range(b.shape[1]), key=lambda j: len(values[j][0]))
+    line = np.zeros(len(b), np.int64)
+    for j, (known, code) in enumerate(values):
+        if j != along:
+            if len(known) > LINES:
+                return None
+            line = np.unique(line * len(known) + code.reshape(-1), return_inverse=True)[1].reshape(-1)
+    if line.max() >= LINES:
+        return None
+    order = np.lexsort((b[:, along], line))
+    return along, order, np.searchsorted(line[order], np.arange(line.max() + 2))
+
+
+def _least_on(lines: tuple[int, np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, codes: np.ndarray, weights: Sequence[float | None]) -> np.ndarray:
+    along, order, begins = lines
+    best, b = np.full(len(a), np.inf), b[order]
+    by_value = np.argsort(a[:, along], kind="stable")  # questions in order are answered faster
+    a = a[by_value]
+    x = a[:, along]
+    for low, high in zip(begins[:-1], begins[1:], strict=True):
+        y = b[low:high, along]
+        y = y[: len(y) - np.isnan(y).sum()]
+        if not len(y):
+            part = np.ones(len(x))
+        elif codes[along]:
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            part = (y[at] != x).astype(float)
+        else:
+            at = np.searchsorted(y, x)
+            under, over = x - y[np.maximum(at - 1, 0)], x - y[np.minimum(at, len(y) - 1)]
+            part = np.minimum(under * under, over * over)
+            part[np.isnan(part)] = 1.0
+            if len(y) < high - low:
+                np.minimum(part, 1.0, out=part)
+        parts = [part if j == along else squares(a[:, [j]], b[low : low + 1, [j]], codes[[j]], [None])[:, 0] for j in range(a.shape[1])]
+        np.minimum(best, _added(parts, weights), out=best)
+    out = np.empty(len(a))
+    out[by_value] = best
+    return out
+
+
 def nearest(a: np.ndarray, own: np.ndarray, b: np.ndarray, rank: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows of a, rows of b, distances): the k rows of b nearest to each row of a, of equal ones those of lower rank. own: the rank that a row of a leaves out (its own)."""
     by_rank = np.argsort(rank, kind="stable")

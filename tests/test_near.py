@@ -124,3 +124,22 @@ def test_large_leaf_needs_no_matrix_of_pairs():
     local.best_clusters(rng.normal(size=(6000, 2)), 2.0, 3, 1e-5, 1.0, 3, 1)
     assert tracemalloc.get_traced_memory()[1] < 120e6  # a matrix of all pairs has 288 MB
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_least_distances_along_lines_equal_all_pairs_without_boxes(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    a, b = mixed(rng, int(rng.integers(0, 200))), mixed(rng, int(rng.integers(1, 300)))
+    b[rng.random(len(b)) < 0.05, 1] = np.nan
+    monkeypatch.setattr(near, "Boxes", None)
+    for which in ([0], [1], [2], [0, 1], [2, 0], [1, 2], [2, 1, 0]):
+        weights = [[None, 0.3, 2.0][k] for k in which]
+        assert (near.least(a[:, which], b[:, which], CODES[which], weights) == near.squares(a[:, which], b[:, which], CODES[which], weights).min(axis=1)).all()
+
+
+def test_least_distances_of_many_lines_go_by_boxes(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = mixed(rng, 150), mixed(rng, 250)
+    monkeypatch.setattr(near, "LINES", 4)
+    monkeypatch.setattr(near, "_least_on", None)
+    assert (near.least(a, b, CODES, [None] * 3) == near.squares(a, b, CODES, [None] * 3).min(axis=1)).all()
