@@ -61,6 +61,17 @@ class _Bits:
             raise WebPError("the data end early")
         return value
 
+    def nibbles(self, n: int) -> np.ndarray:
+        """The next n fields of four bits."""
+        start, shift, size = self.at >> 3, self.at & 7, n + 1 >> 1
+        self.at += 4 * n
+        if self.at > self.end:
+            raise WebPError("the data end early")
+        raw = int.from_bytes(self.data[start : start + size + 1], "little") >> shift & ((1 << 8 * size) - 1)
+        both = np.frombuffer(raw.to_bytes(size, "little"), np.uint8)
+        out = np.empty(2 * size, np.uint8)
+        out[::2], out[1::2] = both & 15, both >> 4
+        return out[:n]
 
     def array(self, n: int) -> np.ndarray:
         """The next n bits, each as a number."""
@@ -77,7 +88,7 @@ class _Code:
     """A canonical prefix code: a table from the next `width` bits to (symbol, length)."""
 
     def __init__(self, lengths: np.ndarray) -> None:
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         self.single = int(used[0]) if len(used) == 1 else (0 if len(used) == 0 else None)
         self.uniform = 0 if self.single is not None else None
         self.values, self.lengths, self.mask = [self.single or 0], [0], 0  # symbol and length, by the next bits
@@ -87,14 +98,12 @@ class _Code:
         self.width = int(own.max())
         if int((1 << (self.width - own)).sum()) != 1 << self.width:
             raise WebPError("a prefix code is not complete")
-        order = np.lexsort((used, own))
+        order = own.astype(np.uint8).argsort(kind="stable")
         symbols, own = used[order], own[order]
         self.uniform = self.width if own[0] == self.width else None
-        by_code = np.repeat(symbols, 1 << (self.width - own))
-        length = np.repeat(own, 1 << (self.width - own))
-        reverse = _reversed_bits(self.width)
-        self.symbols = by_code[reverse]
-        self.values, self.lengths, self.mask = self.symbols.tolist(), length[reverse].tolist(), (1 << self.width) - 1
+        both = (symbols << 4 | own).repeat(1 << (self.width - own))[_reversed_bits(self.width)]
+        self.symbols = both >> 4
+        self.values, self.lengths, self.mask = self.symbols.tolist(), (both & 15).tolist(), (1 << self.width) - 1
 
     def read(self, bits: _Bits) -> int:
         if self.single is not None:
@@ -144,7 +153,7 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
         left = 2 + bits.read(2 + 2 * bits.read(3))
     if code.single is None and code.uniform is not None and int(code.symbols.max()) < 16:
         n = min(left, alphabet)  # as many bits for each length, no repeats: all at once
-        index = bits.array(n * code.width).reshape(n, code.width) @ (1 << np.arange(code.width))
+        index = bits.nibbles(n) if code.width == 4 else bits.array(n * code.width).reshape(n, code.width) @ (1 << np.arange(code.width))
         lengths[:n] = code.symbols[index]
         return _Code(lengths)
     at, last = 0, 8
@@ -186,20 +195,47 @@ def _entropy_image(bits: _Bits, width: int, height: int, main: bool = False) ->
     total = width * height
     if meta is None and not cache_bits and all(code.uniform is not None for code in groups[0][:4]) and _only_literals(groups[0][0]):
         return _decode_uniform(bits, groups[0], total).reshape(height, width)
-    out, at = [0] * total, 0
+    out, at = [0] * total, 0  # a pixel too many fails
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
     near = _near(width)
     place = bits.at
-    windows = np.ndarray((len(bits.data) + 1,), "<u8", bits.data + bytes(8), 0, (1,)).tolist()  # 64 bits from each byte on
+    windows = np.ndarray((len(bits.data) // 2 + 1,), "<u8", bits.data + bytes(8), 0, (2,)).tolist()  # 64 bits from every second byte on: 49 at least from any place, three codes have 45 at most
     last = len(windows) - 1
     ready = [_tables(group) for group in groups]
     (g_values, g_lengths, g_mask), (r_values, r_lengths, r_mask), (b_values, b_lengths, b_mask), (a_values, a_lengths, a_mask) = ready[0]
-    group, symbols = 0, 280 + (len(cache) if cache_bits else 0)
+    group, symbols, factor = 0, 280 + (len(cache) if cache_bits else 0), CACHE_HASH
+    plain = meta is None and not a_mask  # one group, one alpha: literals need no more than three lookups
     while at < total:
+        if plain:
+            try:
+                while True:
+                    window = windows[place >> 4] >> (place & 15)
+                    i = window & g_mask
+                    symbol = g_values[i]
+                    size = g_lengths[i]
+                    if symbol < 256:
+                        window >>= size
+                        j = window & r_mask
+                        length = r_lengths[j]
+                        k = window >> length & b_mask
+                        out[at] = pixel = symbol << 8 | r_values[j] | b_values[k]
+                        place += size + length + b_lengths[k]
+                        if cache_bits:
+                            cache[(factor * pixel & 0xFFFFFFFF) >> shift] = pixel
+                    elif 280 <= symbol < symbols:
+                        out[at] = cache[symbol - 280]
+                        place += size
+                    else:
+                        break
+                    at += 1
+            except IndexError:  # the image is full, or the data have ended
+                pass
+            if at == total:
+                break
         if meta is not None:
             group = int(meta[at // width >> tile, at % width >> tile])
             (g_values, g_lengths, g_mask), (r_values, r_lengths, r_mask), (b_values, b_lengths, b_mask), (a_values, a_lengths, a_mask) = ready[group]
-        window = windows[min(place >> 3, last)] >> (place & 7)  # what lies beyond the end is found out after the loop
+        window = windows[min(place >> 4, last)] >> (place & 15)  # what lies beyond the end is found out after the loop
         i = window & g_mask
         symbol = g_values[i]
         place += g_lengths[i]
@@ -211,7 +247,7 @@ def _entropy_image(bits: _Bits, width: int, height: int, main: bool = False) ->
             place += r_lengths[j] + b_lengths[k]
             pixel = symbol << 8 | r_values[j] | b_values[k]
             if a_mask:
-                m = windows[min(place >> 3, last)] >> (place & 7) & a_mask
+                m = windows[min(place >> 4, last)] >> (place & 15) & a_mask
                 pixel |= a_values[m]
                 place += a_lengths[m]
             out[at] = pixel
@@ -429,13 +465,15 @@ class _Writer:
         """Fields of 57 bits at most, put into words of 64 bits where they begin; what doesn't fit goes into the next word."""
         self._flush()
         values, widths = np.concatenate(self.values).astype(np.uint64), np.concatenate(self.widths)
-        ends = np.cumsum(widths)
+        ends = widths.cumsum()
         starts = ends - widths
         word, shift = starts >> 6, (starts & 63).astype(np.uint64)
         out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        new = np.ones(len(word), bool)
+        np.not_equal(word[1:], word[:-1], out=new[1:])
+        first = new.nonzero()[0]
         out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
-        over = np.flatnonzero((starts & 63) + widths > 64)  # one for each word at most
+        over = ((starts & 63) + widths > 64).nonzero()[0]  # one for each word at most
         out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
         return out.astype("<u8").tobytes()[: int(ends[-1]) + 7 >> 3]
 
@@ -447,7 +485,7 @@ LONGEST, RAREST, MATCH = 12, 512, 6
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
     """Lengths of a complete prefix code, none above LONGEST: by the logarithm of each symbol's share, then shortened, the frequent first, until nothing is left."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     lengths = np.zeros(len(counts), np.int64)
     if len(used) < 2:
         lengths[used] = 1
@@ -455,7 +493,7 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     own = np.maximum(counts[used], counts.sum() / RAREST)
     n = np.ceil(np.log2(own.sum() / own)).astype(np.int64)
     left = (1 << LONGEST) - int((1 << (LONGEST - n)).sum())
-    order = np.argsort(-own, kind="stable").tolist()
+    order = (-own).argsort(kind="stable").tolist()
     each = n.tolist()
     for k in order:
         while left and each[k] > 1 and 1 << (LONGEST - each[k]) <= left:
@@ -467,9 +505,13 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     return lengths
 
 
+_FOUR_BITS_EACH = sum((4 if k < 16 else 0) << 3 * i for i, k in enumerate(CODE_LENGTH_ORDER))
+_NIBBLES = 4 * np.arange(14)
+
+
 def _put_code(writer: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes a prefix code for the symbols counted. Returns each symbol's code, as it is written, and its length."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     codes, widths = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         writer.put(1, 1)
@@ -481,16 +523,20 @@ def _put_code(writer: _Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
             codes[used], widths[used] = [0, 1], 1
         return codes, widths
     lengths = code_lengths(counts)
-    writer.put(0, 1)
-    writer.put(19 - 4, 4)  # lengths 0 to 15 have four bits each
-    writer.put(sum((4 if k < 16 else 0) << 3 * i for i, k in enumerate(CODE_LENGTH_ORDER)), 3 * 19)
+    writer.put((19 - 4) << 1, 5)  # lengths 0 to 15 have four bits each
+    writer.put(_FOUR_BITS_EACH, 3 * 19)
     n = max(2, int(used[-1]) + 1)
     writer.put(1 | 5 << 1 | n - 2 << 4, 1 + 3 + 12)  # how many lengths follow
-    writer.put_all(_reversed_bits(4)[lengths[:n]], np.full(n, 4))
+    whole, rest = divmod(n, 14)
+    fields = np.zeros((whole + 1, 14), np.int64)
+    fields.ravel()[:n] = _reversed_bits(4)[lengths[:n]]
+    widths_of = np.full(whole + 1, 4 * 14)
+    widths_of[whole] = 4 * rest
+    writer.put_all(np.bitwise_or.reduce(fields << _NIBBLES, axis=1)[: whole + (rest > 0)], widths_of[: whole + (rest > 0)])
     if len(used) > 1:
-        order = used[np.lexsort((used, lengths[used]))]
+        order = used[lengths[used].astype(np.uint8).argsort(kind="stable")]
         share = 1 << (LONGEST - lengths[order])
-        codes[order] = _reversed_bits(LONGEST)[np.cumsum(share) - share]
+        codes[order] = _reversed_bits(LONGEST)[share.cumsum() - share]
         widths[order] = lengths[order]
     return codes, widths
 
@@ -512,14 +558,14 @@ def references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     h = np.zeros(n, np.uint64)
     for k in range(MATCH):
         h = h * np.uint64(0x9E3779B97F4A7C15) + pixels[k : k + n]
-    order = np.argsort(h, kind="stable")
+    order = h.argsort(kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     if not same.any():
         return []
     before = np.full(n, -1)
     before[order[1:][same]] = order[:-1][same]
     out, free = [], 0
-    for at in np.flatnonzero(before >= 0).tolist():
+    for at in (before >= 0).nonzero()[0].tolist():
         if at < free:
             continue
         back = at - int(before[at])
@@ -543,37 +589,39 @@ def _put_image(writer: _Writer, pixels: np.ndarray, main: bool, cache_bits: int
     covered = np.zeros(len(pixels) + 1, np.int64)
     covered[copies[:, 0]] += 1
     covered[copies[:, 0] + copies[:, 1]] -= 1
-    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
-    fields = np.zeros((len(pixels), 4), np.int64)  # of a token at its place: symbols of green, red, blue; or of length, distance
+    alone = (covered[:-1].cumsum() == 0).nonzero()[0]
+    green = (pixels >> np.uint32(8) & np.uint32(255)).astype(np.int64)  # of a token at its place: symbol of green; or of length, or cache
     kind = np.full(len(pixels), -1, np.int8)  # 0: literal, 1: cache, 2: copy
     kind[alone] = 0
-    fields[:, [2, 0, 1, 3]] = pixels.astype("<u4").view(np.uint8).reshape(-1, 4)
     if cache_bits:
         key = ((pixels * np.uint32(CACHE_HASH)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
-        order = np.argsort(key, kind="stable")
+        order = key.argsort(kind="stable")
         hit = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
         hits = order[1:][hit]
         hits = hits[kind[hits] == 0]
         kind[hits] = 1
-        fields[hits, 0] = 280 + key[hits]
+        green[hits] = 280 + key[hits]
     far = np.zeros(0, np.int64)
     if len(copies):
         symbol, extra, n_extra = _prefix(copies[:, 1])
         far, far_extra, n_far = _prefix(copies[:, 2] + 120)
         kind[copies[:, 0]] = 2
-        fields[copies[:, 0], 0] = 256 + symbol
-    literal, tokens = kind == 0, kind >= 0
-    counts = [np.bincount(fields[tokens, 0], minlength=280 + (1 << cache_bits if cache_bits else 0)), *(np.bincount(fields[literal, k], minlength=256) for k in (1, 2, 3)), np.bincount(far, minlength=40)]
+        green[copies[:, 0]] = 256 + symbol
+    literal, tokens = (kind == 0).nonzero()[0], (kind >= 0).nonzero()[0]
+    own = pixels[literal].astype("<u4").view(np.uint8).reshape(-1, 4)
+    others = [own[:, k].astype(np.int64) for k in (2, 0, 3)]  # red, blue, alpha
+    first = green[tokens]
+    counts = [np.bincount(first, minlength=280 + (1 << cache_bits if cache_bits else 0)), *(np.bincount(c, minlength=256) for c in others), np.bincount(far, minlength=40)]
     codes = [_put_code(writer, c) for c in counts]
     # each token is one field: green, red, blue, alpha; or length, its extra bits, distance, its extra bits
     values, widths = np.zeros(len(pixels), np.int64), np.zeros(len(pixels), np.int64)
-    green = fields[tokens, 0]
-    values[tokens], widths[tokens] = codes[0][0][green], codes[0][1][green]
-    for k in (1, 2, 3):
-        if codes[k][1].any():
-            own = fields[literal, k]
-            values[literal] |= codes[k][0][own] << widths[literal]
-            widths[literal] += codes[k][1][own]
+    values[tokens], widths[tokens] = codes[0][0][first], codes[0][1][first]
+    value, width = values[literal], widths[literal]
+    for channel, (code, size) in zip(others, codes[1:4], strict=True):
+        if size.any():
+            value |= code[channel] << width
+            width += size[channel]
+    values[literal], widths[literal] = value, width
     if len(copies):
         where = copies[:, 0]
         for value, width in ((extra, n_extra), (codes[4][0][far], codes[4][1][far]), (far_extra, n_far)):

@@ -156,3 +156,26 @@ def test_columns_of_clashing_names(spark, name):
     assert sorted(encoded.columns) == sorted({"doc_id", "text", "media", name})
     row = media_columns.decode_column(encoded).collect()[0]
     assert bytes(row.pixels[0].rgba)[:4] == b"abc\xff" and row.error is None and row.media != "mine"
+
+
+def test_code_lengths_are_read_at_once_from_any_place():
+    data = bytes(np.random.default_rng(1).integers(0, 256, 40, np.uint8))
+    for at, n in ((0, 1), (3, 7), (5, 14), (8, 33), (7, 0), (16, 76)):
+        one, all_ = webp._Bits(data), webp._Bits(data)
+        one.at = all_.at = at
+        want = [one.read(4) for _ in range(n)]
+        assert all_.nibbles(n).tolist() == want and all_.at == one.at
+    with pytest.raises(webp.WebPError):
+        webp._Bits(data).nibbles(81)
+
+
+@pytest.mark.parametrize("text", [b"abc " * 300, bytes(range(256)) * 9, "Sämtliche Wörter, einmal und noch einmal. ".encode() * 30 + bytes(range(200))])
+def test_images_cut_short_are_errors_or_the_whole_image(text):
+    media = media_columns.store(media_columns.padded(text))
+    whole = webp.decode(media)
+    assert whole[..., :3].tobytes() == media_columns.padded(text)
+    for n in range(20, len(media), 7):
+        try:
+            assert (webp.decode(media[:n]) == whole).all()
+        except webp.WebPError:
+            pass
