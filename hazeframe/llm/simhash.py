@@ -12,17 +12,19 @@ the largest one in the choice of the smallest. Rows repeat as they come; extra c
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
 from .components import components
+from .line_dedup import SLICE_BITS, places
 
 SEED = 42
 _LANES = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
@@ -567,8 +569,48 @@ def _met(points: DataFrame, together: int) -> DataFrame:
     return dealt.groupBy("group", "pair").applyInArrow(meet, "a long, b long")
 
 
+#: Filter bits for each id, and log2 of a filter's bits at most (16 MB are broadcast).
+BITS_PER_ID, MAX_ID_BITS = 16, 27
+
+
+def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """A Bloom filter of ids (id): for a column of ids whether they may be among them; a full one lets more through, never less."""
+    n = ids.count()
+    bits = min(MAX_ID_BITS, max(10, math.ceil(math.log2(1 + n * BITS_PER_ID))))
+    part = min(SLICE_BITS, bits)
+
+    def spots(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = own.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        return places(mixed * np.uint64(0xD6E8FEB86659FD93), bits)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.unique(np.concatenate(spots(batch.column("id").to_numpy())))
+            own = np.split(found, np.flatnonzero(np.diff(found >> part)) + 1) if len(found) else []
+            yield pa.RecordBatch.from_arrays([pa.array([int(f[0] >> part) for f in own], pa.int32()), pa.array([f.tobytes() for f in own], pa.binary())], ["slice", "spots"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        own = np.zeros(1 << part, bool)
+        own[np.frombuffer(b"".join(table.column("spots").to_pylist()), np.uint32) & np.uint32((1 << part) - 1)] = True
+        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    whole = np.zeros(1 << bits >> 3, np.uint8)
+    for row in ids.select("id").mapInArrow(once, "slice int, spots binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").toLocalIterator():
+        own = np.frombuffer(row["bits"], np.uint8)
+        whole[(row["slice"] << part) >> 3 :][: len(own)] = own
+    held = ids.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def may(own: pd.Series) -> pd.Series:
+        first, second = (held.value[p >> 3] >> (p & 7).astype(np.uint8) & 1 for p in spots(own.to_numpy()))
+        return pd.Series((first & second).astype(bool))
+
+    return may
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, text) of wanted (node, first: the smallest id that has it); only these texts move."""
+    """(node, text) of wanted (node, first: the smallest id that has it); only these texts move, and few beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
@@ -576,7 +618,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield batch.select(["node", "text"]).filter(pa.array(np.array(own, np.int64) == batch.column("node").to_numpy()))  # rows that share an id may differ
         C.release_memory()
 
-    met = _identified(docs).join(wanted.withColumnRenamed("first", "id"), "id").select("node", "text")
+    may = id_filter(wanted.select(F.col("first").alias("id")))
+    met = _identified(docs).filter(may("id")).join(wanted.withColumnRenamed("first", "id"), "id").select("node", "text")
     return met.mapInArrow(run, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
@@ -628,7 +671,8 @@ def similar_components(docs: DataFrame, words: int, scratch: C.Scratch) -> DataF
     points = scratch.stored(set_prints(docs, words).groupBy("node", "size", *names).agg(F.min("id").alias("first")), "fingerprints", n)
     tried = scratch.stored(_met(points, TOGETHER).select(*ordered).distinct(), "tried", n)
     near = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = scratch.stored(texts_of(docs, points.join(near, "node").select("node", "first"), words), "texts", 5 * n)
+    wanted = scratch.stored(points.join(near, "node").select("node", "first"), "wanted", n)
+    texts = scratch.stored(texts_of(docs, wanted, words), "texts", 5 * n)
     clusters = components(verified(tried, texts, words), scratch)
     apart = scratch.stored(points.join(texts.select("node"), "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component", "first"), "apart", n)
     more = scratch.stored(_met(apart, TOGETHER).distinct(), "more", n)
@@ -644,10 +688,15 @@ def similar_components(docs: DataFrame, words: int, scratch: C.Scratch) -> DataF
 
 def near_unique(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of docs (doc_id, text and any others) whose doc_id is the smallest of its group of near-duplicates. Rows that share a doc_id are one document."""
-    scratch = C.Scratch(docs.sparkSession)
-    kept = scratch.stored(similar_components(docs, words, scratch).select(F.col("component").alias("__kept")).distinct(), "kept", docs.count())
+    scratch, n = C.Scratch(docs.sparkSession), docs.count()
+    kept = scratch.stored(similar_components(docs, words, scratch).select(F.col("component").alias("id")).distinct(), "kept", n)
+    id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1))
+    dropped = scratch.stored(docs.select(id_.alias("id")).distinct().join(kept, "id", "left_anti"), "dropped", n)
+    may = id_filter(dropped)
     scratch.clear(keep=1)
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("__kept"), "left_semi")
+    gone = dropped.withColumnRenamed("id", "__dropped")
+    # what is surely kept doesn't move
+    return docs.filter(~may(id_)).union(docs.filter(may(id_)).join(gone, id_ == F.col("__dropped"), "left_anti"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
