@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ SIZE, NOISE, RATE = 32, 64, 0.2
 EARLY, BATCH = 256, 1024
 #: The share of documents in the first pass; tokens that are shuffled together; tasks' weights that are averaged at once.
 WARM, PIECE, FAN = 8, 1 << 17, 32
+#: Tokens that are scored at once.
+BLOCK = 1 << 12
 #: No word is empty, so this stands for the end of a text.
 END = b""
 
@@ -62,14 +65,70 @@ class Model:
 
     def log_probability(self, classes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Natural logarithms, of classes after a, which come after b."""
-        e = self.target[classes]
-        return ((self.first[a] + self.second[b]) * e[:, :-1]).sum(axis=1) + e[:, -1] - self.log_z[a, b]
+        e, context = self.target.take(classes, 0), self.first.take(a, 0)
+        context += self.second.take(b, 0)
+        return np.einsum("ij,ij->i", context, e[:, :-1]) + e[:, -1] - self.log_z[a, b]
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(C.ASCII_LOWER).split()
 
 
+def words_of_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What `words` gives for each text, one after another, and how many each has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    flat, sizes = split.flatten().cast(pa.binary()), split.value_lengths().to_numpy()
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at a text's ends leaves empty strings, as does an empty text
+    own = np.add.reduceat(full, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return (flat if full.all() else flat.filter(pa.array(full))), own
+
+
+class Vocabulary:
+    """Finds whole batches of words among tokens, and the classes of the others by their endings."""
+
+    def __init__(self, tokens: list[bytes], endings: dict[bytes, int], own: int) -> None:
+        self.tokens = pa.array(tokens, pa.binary())
+        self.end = tokens.index(END) if END in tokens else -1
+        self.one, self.two = np.full(1 << 8, own), np.full(1 << 16, own)
+        for ending, c in endings.items():
+            if ending:  # only the end has none
+                (self.one if len(ending) == 1 else self.two)[int.from_bytes(ending)] = c
+
+    def places(self, tokens: pa.Array) -> np.ndarray:
+        """Each token's place, -1 for those that are not among them."""
+        return pc.index_in(tokens, value_set=self.tokens).fill_null(-1).to_numpy()
+
+    def classes_of(self, tokens: pa.Array) -> np.ndarray:
+        """What `class_of` gives for each token (none is empty)."""
+        if not len(tokens):
+            return np.zeros(0, np.int64)
+        _, offsets, data = tokens.buffers()
+        ends = np.frombuffer(offsets, np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+        held, last = np.frombuffer(data, np.uint8), ends[1:] - 1
+        low = held[last].astype(np.int64)
+        return np.where(np.diff(ends) > 1, self.two[held[last - 1].astype(np.int64) << 8 | low], self.one[low])
+
+
+def located(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Slices of batches (text), the words of each, how many each text has, and their places. Places are looked up for more texts at once, as each look-up hashes all tokens."""
+    for batch in C.slices(batches, 1024):
+        found, sizes = words_of_all(batch.column("text"))
+        places, begins = vocabulary.places(found), np.concatenate([[0], np.cumsum(sizes)])
+        for at in range(0, batch.num_rows, 256):
+            begin, own = int(begins[at]), sizes[at : at + 256]
+            yield batch.slice(at, 256), found.slice(begin, int(own.sum())), own, places[begin : begin + own.sum()]
+
+
+def with_ends(values: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of texts of these sizes, each text's followed by end; and where each text's ends lie."""
+    ends = np.cumsum(sizes + 1) - 1
+    out = np.full(len(values) + len(sizes), end, np.int64)
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner] = values
+    return out, ends
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """docs (text) to (token binary, n long), the end included; each worker adds up before anything is shuffled."""
 
@@ -113,33 +172,49 @@ def learn(p: Network, seen: Network, sequences: list[np.ndarray], shares: np.nda
     """One pass over the classes of texts, in place. shares: the noise, each class's share of tokens."""
     n, start = len(shares), len(shares)
     own = [np.concatenate([[start, start], s]) for s in sequences]
-    triples = np.concatenate([np.stack([s[1:-1], s[:-2], s[2:]], axis=1) for s in own]) if own else np.zeros((0, 3), np.int64)
+    triples = np.concatenate([np.stack([s[1:-1], s[:-2], s[2:]]) for s in own], axis=1) if own else np.zeros((3, 0), np.int64)
     noise = _noise(shares)
     log_noise = np.log(noise * NOISE).astype(np.float32)
-    cumulated = np.cumsum(noise)
-    order = random.permutation(len(triples))
-    for at in range(0, len(order), batch):
-        a, b, target = triples[order[at : at + batch]].T
-        false = np.minimum(np.searchsorted(cumulated, random.random(NOISE)), n - 1)
-        ra, rb, et, ef = p["r"][a], p["r"][b], p["e"][target], p["e"][false]
-        q = ra * p["c"][0] + rb * p["c"][1]
-        dt = _sigmoid((q * et).sum(axis=1) + p["b"][target] - log_noise[target]) - 1
-        df = _sigmoid(q @ ef.T + p["b"][false] - log_noise[false])
-        dq = dt[:, None] * et + df @ ef
+    triples = triples[:, random.permutation(triples.shape[1])]
+    steps = range(0, triples.shape[1], batch)
+    drawn = np.minimum(np.searchsorted(np.cumsum(noise), random.random((len(steps), NOISE))), n - 1)
+    r, e, c, bias = p["r"], p["e"], p["c"], p["b"]
+    for at, false in zip(steps, drawn, strict=True):
+        a, b, target = triples[:, at : at + batch]
         m = len(a)
+        ra, rb, et, ef = r.take(a, 0), r.take(b, 0), e.take(target, 0), e.take(false, 0)
+        q = ra * c[0]
+        q += rb * c[1]
+        dt = _sigmoid(np.einsum("ij,ij->i", q, et) + bias[target] - log_noise[target]) - 1
+        df = q @ ef.T
+        df += bias[false] - log_noise[false]
+        df = _sigmoid(df)
+        dq = df @ ef
+        et *= dt[:, None]
+        dq += et
+        by_place, by_class = np.empty((2 * m, SIZE), np.float32), np.empty((m + NOISE, SIZE), np.float32)
+        np.multiply(dq, c[0], out=by_place[:m])
+        np.multiply(dq, c[1], out=by_place[m:])
+        np.multiply(dt[:, None], q, out=by_class[:m])
+        np.matmul(df.T, q, out=by_class[m:])
         # rows that no token touches have no gradient, so only the others move
-        _step(p["r"], seen["r"], *_sums(np.concatenate([a, b]), np.concatenate([dq * p["c"][0], dq * p["c"][1]])), m, RATE)
-        _step(p["e"], seen["e"], *_sums(np.concatenate([target, false]), np.concatenate([dt[:, None] * q, df.T @ q])), m, RATE)
-        _step(p["c"], seen["c"], slice(None), np.stack([(dq * ra).sum(axis=0), (dq * rb).sum(axis=0)]), m, RATE)
-        _step(p["b"], seen["b"], slice(None), np.bincount(np.concatenate([target, false]), np.concatenate([dt, df.sum(axis=0)]), n), m, RATE * 0.1)
+        _step(r, seen["r"], *_sums(np.concatenate([a, b]), by_place), m, RATE)
+        both = np.concatenate([target, false])
+        touched, sums = _sums(both, by_class)
+        _step(e, seen["e"], touched, sums, m, RATE)
+        _step(bias, seen["b"], touched, np.bincount(both, np.concatenate([dt, df.sum(axis=0)]), n)[touched], m, RATE * 0.1)
+        _step(c, seen["c"], np.arange(2), np.stack([np.einsum("ij,ij->j", dq, ra), np.einsum("ij,ij->j", dq, rb)]), m, RATE)
 
 
-def _step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray | slice, gradient: np.ndarray, m: int, rate: float) -> None:
+def _step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, m: int, rate: float) -> None:
     """A step against the mean gradient of m tokens, in place."""
-    g = (gradient / m).astype(np.float32)
-    own = seen[rows] + g * g
+    g = (gradient / m).astype(np.float32, copy=False)
+    own = g * g
+    own += seen.take(rows, 0)
     seen[rows] = own
-    weights[rows] -= rate * g / np.sqrt(own)
+    g *= rate
+    g /= np.sqrt(own, out=own)
+    weights[rows] = np.subtract(weights.take(rows, 0), g, out=g)
 
 
 def learn_everywhere(docs: DataFrame, p: Network, seen: Network, shares: np.ndarray, place: dict[bytes, int], endings: dict[bytes, int], own: int) -> tuple[Network, Network, int]:
@@ -151,15 +226,17 @@ def learn_everywhere(docs: DataFrame, p: Network, seen: Network, shares: np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, seen, shares, place, endings, own = shared.value
         p, seen = ({k: v.copy() for k, v in x.items()} for x in (p, seen))
+        vocabulary, numbers = Vocabulary(list(place), endings, own), np.array(list(place.values()))
         task = TaskContext.get().partitionId()
         random = np.random.default_rng(task)
         held, n, total = [], 0, 0
-        for batch in C.slices(batches, 128):
-            for text in C.as_bytes(batch.column("text")):
-                split = [*words(text), END]
-                found = list(map(place.get, split))
-                held.append(np.array([class_of(w, endings, own) if c is None else c for w, c in zip(split, found, strict=True)] if None in found else found, np.int64))
-                n += len(split)
+        for _, found, sizes, places in located(batches, vocabulary):
+            classes, new = numbers[places], places < 0
+            classes[new] = vocabulary.classes_of(found.filter(pa.array(new)))
+            classes, ends = with_ends(classes, sizes, place[END])
+            for text in np.split(classes, ends[:-1] + 1):
+                held.append(text)
+                n += len(text)
                 if n > PIECE:
                     learn(p, seen, held, shares, random, BATCH if total else EARLY)
                     held, n, total = [], 0, total + n
@@ -193,15 +270,20 @@ def learn_everywhere(docs: DataFrame, p: Network, seen: Network, shares: np.ndar
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """1 / (1 + exp(-x)), in place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct indices, and the sums of the rows that share one."""
+    """The distinct indices, and the sums of the rows that share one; two floats are added at once as the parts of a complex number."""
     order = np.argsort(index.astype(np.uint16) if index.max(initial=0) < 1 << 16 else index, kind="stable")
     held = index[order]
     begins = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    return held[begins], np.add.reduceat(rows[order], begins, axis=0)
+    return held[begins], np.add.reduceat(rows.take(order, 0).view(np.complex64), begins, axis=0).view(np.float32)
 
 
 def normalisers(first: np.ndarray, second: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -286,38 +368,41 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     return Model(tokens, logs, classes, own, endings, log_class, first, second, target, normalisers(first, second, target), int(whole[0]), int(whole[1]))
 
 
-_places: dict[int, dict[bytes, int]] = {}
-
-
-def _place(model: Model) -> dict[bytes, int]:
-    if id(model) not in _places:
-        _places.clear()
-        _places[id(model)] = {token: k for k, token in enumerate(model.tokens)}
-    return _places[id(model)]
-
-
-def scored_head(text: bytes, model: Model) -> tuple[int, float, int, float, list[bytes], list[int]]:
-    """n_tokens; of head tokens: the sum of log10(count + 0.5) and how many; the model's log10 without the counts that are still to come; the other tokens and their numbers."""
-    place = _place(model)
-    split = [*words(text), END]
-    index = np.array([place.get(w, -1) for w in split])
-    known = index >= 0
-    classes = np.where(known, model.classes[index], 0) if len(model.classes) else np.zeros(len(split), int)
-    rest: Counter[bytes] = Counter()
-    for k in np.flatnonzero(~known).tolist():
-        token = split[k]
-        if token == END:  # nothing was learned
-            classes[k] = 0
-        else:
-            classes[k] = class_of(token, model.endings, model.own)
-        rest[token] += 1
-    held = model.log_counts[index[known]]
-    before = np.concatenate([[model.start, model.start], classes])
-    a, b = before[1:-1], before[:-2]
-    log_p = model.log_probability(classes, a, b).sum(dtype=np.float64) / math.log(10)
+def scored_head(found: pa.Array, sizes: np.ndarray, places: np.ndarray, vocabulary: Vocabulary, model: Model) -> list[pa.Array]:
+    """By text of these words, numbers of words and places: n_tokens; of head tokens: the sum of log10(count + 0.5) and how many; the model's log10 without the counts that are still to come; the other tokens and their numbers."""
+    new = found.filter(pa.array(places < 0))
+    places, ends = with_ends(places, sizes, vocabulary.end)
+    starts, known = ends - sizes, places >= 0
+    other = np.flatnonzero(~known)
+    is_end = np.isin(other, ends)  # where the head lacks the end
+    classes = np.zeros(len(places), np.int64)
+    classes[known] = model.classes[places[known]]
+    classes[other[~is_end]] = vocabulary.classes_of(new)
+    held = np.zeros(len(places))
+    held[known] = model.log_counts[places[known]]
+    # each text begins after two starts
+    a, b = np.full((2, len(classes)), model.start)
+    a[1:], b[2:] = classes[:-1], classes[:-2]
+    a[starts], b[starts] = model.start, model.start
+    b[(starts + 1)[sizes > 0]] = model.start
+    log_p = np.empty(len(classes))
+    for at in range(0, len(classes), BLOCK):
+        part = slice(at, at + BLOCK)
+        log_p[part] = model.log_probability(classes[part], a[part], b[part])
+    log_p /= math.log(10)
     shared = classes >= model.own
-    log_p += held[shared[known]].sum() - model.log_class[classes[shared]].sum()
-    return len(split), float(held.sum()), int(known.sum()), float(log_p), list(rest.keys()), list(rest.values())
+    log_p[shared] += held[shared] - model.log_class[classes[shared]]
+    # the others, once a text
+    kinds = pa.concat_arrays([new, pa.array([END], pa.binary())]).dictionary_encode()
+    codes = np.full(len(other), kinds.indices[-1].as_py(), np.int64)
+    codes[~is_end] = kinds.indices.to_numpy()[:-1]
+    pairs, numbers = np.unique(np.searchsorted(ends, other) * len(kinds.dictionary) + codes, return_counts=True)
+    rows, codes = np.divmod(pairs, len(kinds.dictionary))
+    offsets = pa.array(np.searchsorted(rows, np.arange(len(sizes) + 1)), pa.int32())
+    return [
+        pa.array(sizes + 1), pa.array(np.add.reduceat(held, starts)), pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(log_p, starts)),
+        pa.ListArray.from_arrays(offsets, kinds.dictionary.take(pa.array(codes))), pa.ListArray.from_arrays(offsets, pa.array(numbers, pa.int64())),
+    ]
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -330,16 +415,15 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     model = fit(learned, counts)
     shared = spark.sparkContext.broadcast(model)
     names = ["row", "doc_id", "n_tokens", "held", "n_held", "log_p", "tokens", "numbers"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in C.slices(batches, 128):
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), C.as_bytes(batch.column("text")), strict=True):
-                out.append((row, doc_id, *scored_head(text, shared.value)))
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(names), kinds, strict=True)], names)
+        model = shared.value
+        vocabulary = Vocabulary(model.tokens, model.endings, model.own)
+        for batch, *words in located(batches, vocabulary):
+            ids = np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id"), *scored_head(*words, vocabulary, model)], names)
         C.release_memory()
 
     part = C.stored(everything.mapInArrow(run, "row long, doc_id long, n_tokens long, held double, n_held long, log_p double, tokens array<binary>, numbers array<long>"), "scored")

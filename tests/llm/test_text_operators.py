@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -509,6 +511,66 @@ def test_lm_scores_are_normalised_and_counts_exact(spark, monkeypatch):
     assert lm_scoring.score(empty(spark), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("with_end", [True, False])
+def test_lm_scores_whole_batches_as_word_by_word(spark, with_end):
+    """op8's CPU budget: words are found, classed and scored by batches, with the results of plain loops."""
+    rng = random.Random(19)
+    texts = [*ODD, None, "\x0b\x0c", *(" ".join(rng.choice(["a", "b", "ab", "É", "c\x1cd", "xyz", f"n{rng.randrange(30)}"]) for _ in range(rng.randint(1, 40))) for _ in range(1200))]
+    df = frame(spark, texts[:900])
+    model = lm_scoring.fit(df, C.stored(lm_scoring.token_counts(df), "c"))
+    model = dataclasses.replace(model, own=4, endings={b"n1": 5, b"b": 6, "É".encode(): 7}, log_class=np.arange(9) / 10)
+    head = [k for k, t in enumerate(model.tokens) if t[:1] not in (b"b", b"x", b"\xc3") and (with_end or t)]
+    model.tokens, model.log_counts, model.classes = [model.tokens[k] for k in head], model.log_counts[head], np.array([k % 9 for k in range(len(head))])
+    place = {t: k for k, t in enumerate(model.tokens)}
+    vocabulary = lm_scoring.Vocabulary(model.tokens, model.endings, model.own)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"])]
+    found = lm_scoring.located(batches, vocabulary)
+    got = [row for _, *words in found for row in zip(*(column.to_pylist() for column in lm_scoring.scored_head(*words, vocabulary, model)), strict=True)]
+    assert len(got) == len(texts)
+    for text, (n, held, known, log_p, tokens, numbers) in zip(texts, got, strict=True):
+        own = [*(text or "").encode().translate(C.ASCII_LOWER).split(), b""]
+        assert (n, known) == (len(own), sum(w in place for w in own)), text
+        assert held == pytest.approx(sum(model.log_counts[place[w]] for w in own if w in place))
+        assert dict(zip(tokens, numbers, strict=True)) == Counter(w for w in own if w not in place)
+        classes = [int(model.classes[place[w]]) if w in place else lm_scoring.class_of(w, model.endings, model.own) if w else 0 for w in own]
+        before, expected = [model.start, model.start, *classes], 0.0
+        for k, (w, c) in enumerate(zip(own, classes, strict=True)):
+            expected += float(model.log_probability(np.array([c]), np.array([before[k + 1]]), np.array([before[k]]))[0]) / math.log(10)
+            expected += (model.log_counts[place[w]] if w in place else 0) - model.log_class[c] if c >= model.own else 0
+        assert log_p == pytest.approx(expected, abs=1e-5 * n)
+
+
+def test_lm_steps_follow_plain_gradients():
+    rng, n = np.random.default_rng(2), 12
+    shares = rng.random(n)
+    p, seen = lm_scoring.new_network(shares / shares.sum(), 1)
+    plain = {k: v.astype(float) for k, v in p.items()}
+    texts = [rng.integers(0, n, size) for size in (1, 2, 30)]
+    before = {k: v.copy() for k, v in p.items()}
+    lm_scoring.learn(p, seen, texts, shares, np.random.default_rng(4), 1000)
+    noise = shares / shares.sum()
+    random_ = np.random.default_rng(4)
+    random_.permutation(sum(map(len, texts)))  # one batch: its order doesn't matter
+    false = np.minimum(np.searchsorted(np.cumsum(noise), random_.random(lm_scoring.NOISE)), n - 1)
+    g, m = {k: np.zeros_like(v) for k, v in plain.items()}, sum(map(len, texts))
+    for text in texts:
+        before_token = [n, n, *text]
+        for k, target in enumerate(text):
+            a, b = before_token[k + 1], before_token[k]
+            q = plain["r"][a] * plain["c"][0] + plain["r"][b] * plain["c"][1]
+            dq = 0.0
+            for c, true in [(target, 1), *((c, 0) for c in false)]:
+                d = 1 / (1 + np.exp(-(q @ plain["e"][c] + plain["b"][c] - np.log(noise[c] * lm_scoring.NOISE)))) - true
+                g["e"][c], g["b"][c], dq = g["e"][c] + d * q, g["b"][c] + d, dq + d * plain["e"][c]
+            for place, token in enumerate((a, b)):
+                g["c"][place] += dq * plain["r"][token]
+                g["r"][token] += dq * plain["c"][place]
+    for k, rate in {"r": 1, "e": 1, "c": 1, "b": 0.1}.items():
+        assert np.abs(p[k] - before[k]).max() > 0
+        step = g[k] / m
+        assert p[k] == pytest.approx(plain[k] - lm_scoring.RATE * rate * step / np.sqrt(1e-3 + step**2), abs=2e-5)
+
+
 # --- what is learned, against plain computations
 
 
