@@ -126,6 +126,24 @@ def test_large_leaf_needs_no_matrix_of_pairs():
     tracemalloc.stop()
 
 
+def test_partitions_of_a_leaf_go_together_over_distinct_rows():
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(90, 3)) * [30, 8000, 0.01], rng.integers(1, 5, 90), axis=0)
+    for m, tol, turns in ((2, 1e-5, 60), (2, 0.5, 60), (3, 1e-2, 40), (2, 1e-5, 1)):
+        for c, got in enumerate(local.c_means(x, range(1, 6), m, turns, tol, 1), 1):
+            u = np.random.default_rng(1).random((len(x), c))
+            u /= u.sum(axis=1, keepdims=True)
+            for _ in range(turns):
+                w, before = u**m, u
+                centers = (w.T @ x) / w.sum(axis=0)[:, None]
+                u = np.maximum(np.stack([np.linalg.norm(x - v, axis=1) for v in centers], axis=1), 1e-10) ** (-2 / (m - 1))
+                u /= u.sum(axis=1, keepdims=True)
+                if np.linalg.norm(u - before) < tol:
+                    break
+            assert np.allclose(got, centers, rtol=1e-6, atol=1e-6)
+            assert np.allclose(local.memberships(x, got, m).T, u, atol=1e-6)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_least_distances_along_lines_equal_all_pairs_without_boxes(seed, monkeypatch):
     rng = np.random.default_rng(seed)
